@@ -138,24 +138,29 @@ def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: st
     """Pairs (id_a < id_b) of points of different owners at most ``radius_m`` and ``seconds`` apart, each pair once.
 
     ``points`` has one row a point id. Null ids, owners, times and unusable coordinates match nothing. Each point lies in
-    one cell of space and time, and a copy goes to each cell that its reach touches (2 to 4 in all), so that one equi-join
-    finds all pairs. Points in the same eighth-size cell are near by construction; others get the exact distance.
+    one cell of space and time, and copies go to the later cells that its reach touches (half a copy a point on average),
+    so that one equi-join finds all pairs. Points in the same small cell are near by construction; others get the exact
+    distance.
     """
     reach = radius_m / geo.EARTH_M * geo.FACE_RATE
-    level = max(0, min(20, math.floor(math.log2(1 / (1.6 * reach)))))
+    level = max(0, min(20, math.floor(math.log2(1 / (3.2 * reach)))))
     # A cell of this finer level is at most 90 degrees / 2**sub wide; its diagonal is within the radius.
     sub = max(level, math.ceil(math.log2(math.pi / 2 * geo.EARTH_M * math.sqrt(2) / radius_m) + 1e-9))
-    width = 4 * seconds
-    x, y, z = geo.unit_vector(F.col(lat), F.col(lon))
+    width = 8 * seconds
+    x, y, z = geo.unit_vector(F.col("lat"), F.col("lon"))
     good = points.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull() & F.col(owner).isNotNull() & F.col(at).isNotNull())
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    spots = good.select(F.col(point_id).alias("id"), F.col(owner).alias("own"), micros.alias("us"), x.alias("x"), y.alias("y"), z.alias("z"))
+    spots = good.select(F.col(point_id).alias("id"), F.col(owner).alias("own"), micros.alias("us"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    spots = spots.select("*", x.alias("x"), y.alias("y"), z.alias("z"))
     face, s, t = geo.home_face(F.col("x"), F.col("y"), F.col("z"))
     slot = lambda shift: F.floor((F.col("us") + shift) / F.lit(width * 1_000_000)).cast("long")
     spots = spots.select("*", face.alias("face"), geo.step(s, sub).alias("fi"), geo.step(t, sub).alias("fj"))
     home_cell = geo.cell_id(level, F.col("face"), F.shiftright("fi", sub - level), F.shiftright("fj", sub - level))
-    spots = spots.select("id", "own", "us", "x", "y", "z", home_cell.alias("home"), (F.col("fi") * (1 << sub) + F.col("fj")).alias("part"))
-    one = spots.select("home", slot(0).alias("slot"), *[F.col(c).alias(f"a_{c}") for c in ("id", "own", "us", "x", "y", "z", "part")])
+    below = (1 << (sub - level)) - 1
+    part = (F.col("fi").bitwiseAND(below) * (below + 1) + F.col("fj").bitwiseAND(below)).cast("int")
+    spots = spots.select("id", "own", "us", "lat", "lon", "x", "y", "z", home_cell.alias("home"), slot(0).alias("now"), part.alias("part"))
+    kept = ("id", "own", "us", "lat", "lon")
+    one = spots.select("home", F.col("now").alias("slot"), *[F.col(c).alias(f"a_{c}") for c in (*kept, "part")])
 
     touched = []
     for axis in range(3):
@@ -165,11 +170,14 @@ def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: st
         # A cell is wider than twice the reach, so each axis touches two cells at most.
         cells = F.array_distinct(F.array(*[geo.cell_id(level, f, i[m], j[n]) for m in (0, 1) for n in (0, 1)]))
         touched.append(F.when((F.abs(s) <= limit) & (F.abs(t) <= limit), cells).otherwise(F.array().cast("array<bigint>")))
-    two = spots.select("id", "own", "us", "x", "y", "z", "part", "home", F.explode(F.concat(*touched)).alias("cell"))
+    two = spots.select(*kept, "part", "home", "now", F.explode(F.concat(*touched)).alias("cell"))
     two = two.withColumn("slot", F.explode(F.sequence(slot(-seconds * 1_000_000), slot(seconds * 1_000_000))))
-    two = two.select(F.col("cell").alias("home"), "slot", *[F.col(c).alias(f"b_{c}") for c in ("id", "own", "us", "x", "y", "z")], F.when(F.col("cell") == F.col("home"), F.col("part")).otherwise(F.lit(-1)).alias("b_part"))
+    # Of two points in different cells, the one in the lesser cell is copied; that finds the pair once.
+    same = (F.col("cell") == F.col("home")) & (F.col("slot") == F.col("now"))
+    two = two.where(same | (F.col("cell") > F.col("home")) | ((F.col("cell") == F.col("home")) & (F.col("slot") > F.col("now"))))
+    two = two.select(F.col("cell").alias("home"), "slot", *[F.col(c).alias(f"b_{c}") for c in kept], F.when(F.col("cell") == F.col("home"), F.col("part")).otherwise(F.lit(-1)).alias("b_part"), same.alias("b_home"))
+    within = geo.distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= radius_m
     met = one.join(two, ["home", "slot"]).where(
-        (F.col("a_id") < F.col("b_id")) & (F.col("a_own") != F.col("b_own")) & (F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000)
-        & ((F.col("a_part") == F.col("b_part")) | (_gap2("a_", "b_") <= geo.chord2(radius_m)))
+        (F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000) & (F.col("a_own") != F.col("b_own")) & (~F.col("b_home") | (F.col("a_id") < F.col("b_id"))) & ((F.col("a_part") == F.col("b_part")) | ((F.abs(F.col("a_lat") - F.col("b_lat")) <= math.degrees(radius_m / geo.EARTH_M) * 1.000001) & within))
     )
-    return met.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    return met.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
