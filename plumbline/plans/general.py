@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import proximity
+from plumbline.functions.identity import imo_is_valid
+from plumbline.operators import history, profile, proximity, spikes, timestamps
 from plumbline.sources.tables import table
 
 LAT, LON, AT = "last_position_latitude", "last_position_longitude", "last_position_updateTimestamp"
@@ -26,5 +27,173 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return at_port.unionByName(met.select(F.lit("vessel").alias("near_kind"), "id_a", "id_b"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+CALLSIGN = "^[A-Z0-9]{4,7}$"
+
+
+def _load_values(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.value_counts(spark, f"{folder}/registry_loads.parquet", "load_id", ["imo", "callsign", "deadweight"])
+
+
+def p2_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every measure of every load: (load_id, column_name, measure, value); null where it has no rows to stand on."""
+    counts = _load_values(spark, folder).where(F.col("load_id").isNotNull())
+    name, value = F.col("column_name"), F.col("value")
+    blank = (name == "callsign") & (F.trim(value) == "")
+    # A deadweight that is not a number is ill-formed; it is in no quantile.
+    weight = value.try_cast("double")
+    good = F.when(name == "imo", imo_is_valid(value.try_cast("long"))).when(name == "callsign", value.rlike(CALLSIGN)).otherwise((weight > 0) & (weight <= 600_000))
+    wide = profile.shares(counts, "load_id", blank, good)
+    names = ("null_share", "bad_share", "distinct_share")
+    measures = wide.select("load_id", "column_name", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])).alias("m")).select("load_id", "column_name", "m.*")
+    weights = counts.where((name == "deadweight") & weight.isNotNull() & ~F.isnan(weight)).select("load_id", weight.alias("value"), "n")
+    q = profile.quantiles(weights, "load_id", {"median": 0.5, "p90": 0.9}).select("load_id", F.lit("deadweight").alias("column_name"), F.col("name").alias("measure"), F.col("x").alias("value"))
+    return measures.unionByName(q)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures in which a load differs from the load before it in its series."""
+    loads = table(spark, folder, "registry_loads", "load_id", "series_id", "load_no").where(F.col("load_id").isNotNull()).groupBy("load_id").agg(F.min("series_id").alias("series_id"), F.min("load_no").alias("load_no"))
+    measures = p2_measures(spark, folder).join(loads, "load_id").where(F.col("value").isNotNull())
+    before = measures.select("series_id", (F.col("load_no") + 1).alias("load_no"), "column_name", "measure", F.col("value").alias("old"))
+    pair = measures.join(before, ["series_id", "load_no", "column_name", "measure"])
+    ratio = F.col("measure").isin("median", "p90")
+    case = F.when(ratio, (F.col("value") < 0.8 * F.col("old")) | (F.col("value") > 1.25 * F.col("old"))).otherwise(F.abs(F.col("value") - F.col("old")) > 0.11)
+    return pair.where(case).select("load_id", "column_name", "measure")
+
+
+def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls, extremes and distinct values of every column of the register's loads.
+
+    Nulls and extremes of numbers come from footers, distinct values from dictionaries; the columns that these don't
+    settle in every chunk are scanned in one pass.
+    """
+    path = f"{folder}/registry_loads.parquet"
+    df = spark.read.parquet(path)
+    numbers = [n for n, k in df.dtypes if k in ("bigint", "int")]
+    others = [n for n, k in df.dtypes if k == "string"]
+    chunks = profile.footers(spark, path, numbers + others)
+    sums = chunks.groupBy("column_name").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), F.min("low").alias("low"), F.max("high").alias("high"), F.min((F.col("nulls").isNotNull() & (F.col("low").isNotNull() | (F.col("nulls") == F.col("rows")))).cast("int")).alias("sure"), F.min(F.col("dictionary").cast("int")).alias("coded"), F.min(F.col("nulls").isNotNull().cast("int")).alias("counted")).collect()
+    by = {r["column_name"]: r for r in sums}  # a row a column
+    coded = [c for c in by if by[c]["coded"]]
+    words = profile.dictionary_values(spark, chunks.where(F.col("column_name").isin(coded))).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    scans = []
+    for c in numbers + others:
+        r = by.get(c)
+        number = c in numbers
+        if r is None or not r["counted"] or (number and not r["sure"]):
+            scans += [F.count(F.lit(1)).alias(f"{c}:rows"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}:null")] + ([F.min(c).cast("double").alias(f"{c}:low"), F.max(c).cast("double").alias(f"{c}:high")] if number else [])
+        if c not in coded:
+            scans.append(F.count_distinct(c).alias(f"{c}:distinct"))
+    seen = df.agg(*scans).first().asDict() if scans else {}
+    rows = []
+    for c in numbers + others:
+        r = by.get(c)
+        get = lambda what, old, c=c: seen.get(f"{c}:{what}", old)
+        rows.append((c, get("rows", r and r["n_rows"]), get("null", r and r["n_null"]), get("low", r["low"]) if c in numbers and r else None, get("high", r["high"]) if c in numbers and r else None, seen.get(f"{c}:distinct")))
+    base = spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, low double, high double, scanned long")
+    return base.join(F.broadcast(words), "column_name", "left").select("column_name", "n_rows", "n_null", "low", "high", F.coalesce("scanned", "n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+TEXT_TIMES = ["eta", "last_position_updateTimestamp", "staticData_updateTimestamp", "UpdateDate"]
+
+
+def _clocks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "feeds").select(F.col("feed_code").alias("source"), F.col("clock_zone").alias("zone"), F.col("date_order").alias("order"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every time text of the raw feed that denotes an instant from 2000 to 2035, in UTC."""
+    feed = table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES)
+    return timestamps.to_utc(feed, "raw_id", "source", "InsertDate", TEXT_TIMES, "eta", _clocks(spark, folder))
+
+
+def p3_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """The zone that the rows themselves suggest for each source, beside the declared one."""
+    feed = table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES[1:])
+    clocks = F.broadcast(_clocks(spark, folder).withColumnRenamed("source", "_source"))
+    long = timestamps.fields_long(feed, "raw_id", "source", "InsertDate", TEXT_TIMES[1:]).join(clocks, F.col("source") == F.col("_source"), "left")
+    read = timestamps.read(long, "field_text", F.lit(False), "order", "InsertDate")
+    best = timestamps.estimate_zones(read.drop("zone", "_source", "order"), "source", "InsertDate", list(timestamps.CANDIDATES))
+    return best.join(clocks, F.col("source") == F.col("_source"), "left").select("source", best["zone"].alias("best_zone"), F.coalesce(clocks["zone"], F.lit("UTC")).alias("declared_zone"), "violations", "rows")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible speeds and positions of all reports."""
+    return spikes.implausible(table(spark, folder, "position_reports"), reports_once)
+
+
+def p4_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """The tail cutoff of speed residuals that the reports of each source give."""
+    reports, raw = spikes.readings(table(spark, folder, "position_reports"), reports_once)
+    series = spikes.speed_series(reports, raw, 60.0, 8, 3.0)
+    return spikes.cutoffs(series).groupBy("source").agg(F.first("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("hours"))
+
+
+def _said(c: str) -> F.Column:
+    t = F.upper(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")))
+    return F.when((t != "") & (t != "0"), t)
+
+
+def p5_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The register's bitemporal ledger: every state of knowledge about flag, name and mmsi of each valid imo."""
+    rows = table(spark, folder, "registry_loads", "row_id", "imo", "flag", "name", "mmsi", "InsertDate", "UpdateDate").where(imo_is_valid(F.col("imo")))
+    return history.ledger(rows, "imo", "UpdateDate", "InsertDate", "row_id", ["flag", "name", "mmsi"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of flag, name and mmsi by what is known now, with the time for which each was valid."""
+    now = p5_ledger(spark, folder).where("current")
+    fields = {"flag": _said("flag"), "name": _said("name"), "mmsi": F.when(F.col("mmsi") != 0, F.col("mmsi").cast("string"))}
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return history.versions(now, "imo", "valid_from", fields).select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_profile, p3_found, p3_zones, p4_found, p4_cutoffs, p5_found, p5_ledger)}
+
+_IMO_SQL = "({0} between 1000000 and 9999999 and ((({0}//1000000)%10)*7+(({0}//100000)%10)*6+(({0}//10000)%10)*5+(({0}//1000)%10)*4+(({0}//100)%10)*3+(({0}//10)%10)*2)%10={0}%10)"
+
+SQL: dict[str, str] = {
+    "p1_found": """
+with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_updateTimestamp) ts from position_reports group by 1),
+u as (select * from r where la between -90 and 90 and lo between -180 and 180 and not (la = 0 and lo = 0)),
+p as (select port_id, matchedPort_latitude la, matchedPort_longitude lo from ports)
+select 'port' near_kind, report_id id_a, port_id id_b from u join p on abs(u.la - p.la) < 0.02
+ and 2*6371008.8*asin(least(1, sqrt(sin(radians(p.la-u.la)/2)**2 + cos(radians(u.la))*cos(radians(p.la))*sin(radians(p.lo-u.lo)/2)**2))) <= 1500
+union all
+select 'vessel', a.report_id, b.report_id from u a join u b on a.report_id < b.report_id and a.mmsi <> b.mmsi
+ and b.ts between a.ts - interval 120 second and a.ts + interval 120 second and abs(a.la - b.la) < 0.01
+ and 2*6371008.8*asin(least(1, sqrt(sin(radians(b.la-a.la)/2)**2 + cos(radians(a.la))*cos(radians(b.la))*sin(radians(b.lo-a.lo)/2)**2))) <= 500""",
+    "p2_found": f"""
+with m as (select load_id, min(series_id) series_id, min(load_no) load_no, count(*) n,
+ count(imo) i_n, count_if(imo is not null and not {_IMO_SQL.format("imo")}) i_bad, count(distinct imo) i_d,
+ count(nullif(trim(callsign), '')) c_n, count_if(trim(callsign) <> '' and not regexp_full_match(callsign, '[A-Z0-9]{{4,7}}')) c_bad, count(distinct case when trim(callsign) <> '' then callsign end) c_d,
+ count(deadweight) d_n, count_if(deadweight is not null and not (deadweight > 0 and deadweight <= 600000)) d_bad, count(distinct deadweight) d_d,
+ quantile_cont(deadweight, 0.5) med, quantile_cont(deadweight, 0.9) p90 from registry_loads group by load_id),
+l as (select load_id, series_id, load_no, unnest(['imo','imo','imo','callsign','callsign','callsign','deadweight','deadweight','deadweight','deadweight','deadweight']) column_name,
+ unnest(['null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','median','p90']) measure,
+ unnest([(n-i_n)/n, i_bad/nullif(i_n,0), i_d/nullif(i_n,0), (n-c_n)/n, c_bad/nullif(c_n,0), c_d/nullif(c_n,0), (n-d_n)/n, d_bad/nullif(d_n,0), d_d/nullif(d_n,0), med, p90]) v from m)
+select a.load_id, a.column_name, a.measure from l a join l b on a.series_id = b.series_id and a.load_no = b.load_no + 1 and a.column_name = b.column_name and a.measure = b.measure
+where case when a.measure in ('median','p90') then a.v < 0.8*b.v or a.v > 1.25*b.v else abs(a.v-b.v) > 0.11 end""",
+    "p4_found": """
+with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_speed) v, min(last_position_updateTimestamp) ts from position_reports group by 1),
+s as (select report_id, mmsi, ts, v, lag(v) over w p, lead(v) over w n, row_number() over w - row_number() over (partition by mmsi, v order by ts, report_id) g
+ from r where v between 0 and 60 and ts is not null and mmsi is not null window w as (partition by mmsi order by ts, report_id)),
+s2 as (select *, count(*) over (partition by mmsi, v, g) k from s),
+q as (select * from r where la between -90 and 90 and lo between -180 and 180 and not (la = 0 and lo = 0) and ts is not null and mmsi is not null),
+q1 as (select *, coalesce(v > 3, false) sails, lag(la) over w pla, lag(lo) over w plo, lag(ts) over w pts, lead(la) over w nla, lead(lo) over w nlo, lead(ts) over w nts,
+ row_number() over w - row_number() over (partition by mmsi, la, lo, coalesce(v > 3, false) order by ts, report_id) g from q window w as (partition by mmsi order by ts, report_id)),
+q2 as (select *, count(*) over (partition by mmsi, la, lo, sails, g) k,
+ 2*6371008.8*asin(least(1, sqrt(sin(radians(pla-la)/2)**2 + cos(radians(la))*cos(radians(pla))*sin(radians(plo-lo)/2)**2))) dp,
+ 2*6371008.8*asin(least(1, sqrt(sin(radians(nla-la)/2)**2 + cos(radians(la))*cos(radians(nla))*sin(radians(nlo-lo)/2)**2))) dn,
+ abs(epoch_us(ts) - epoch_us(pts)) / 1e6 tp, abs(epoch_us(nts) - epoch_us(ts)) / 1e6 tn from q1)
+select report_id, 'speed' reading from r where v < 0 or v > 60
+union all select report_id, 'speed' from s2 where v - greatest(p, n) > 8 and p is not null and n is not null or least(p, n) - v > 8 and p is not null and n is not null or (v > 3 and k >= 8)
+union all select report_id, 'position' from r where la is not null and lo is not null and not (la between -90 and 90 and lo between -180 and 180 and not (la = 0 and lo = 0))
+union all select report_id, 'position' from q2 where (dp > 5000 and dn > 5000 and dp > 100*1852/3600.0*tp and dn > 100*1852/3600.0*tn) or (sails and k >= 8)""",
+    "p5_found": rf"""
+with r as (select * from registry_loads where {_IMO_SQL.format("imo")} and UpdateDate is not null qualify row_number() over (partition by imo, UpdateDate order by InsertDate desc nulls last, row_id desc) = 1),
+l as (select imo, UpdateDate ts, 'flag' field_name, upper(trim(regexp_replace(flag, '\s+', ' ', 'g'))) v from r union all select imo, UpdateDate, 'name', upper(trim(regexp_replace(name, '\s+', ' ', 'g'))) from r union all select imo, UpdateDate, 'mmsi', cast(mmsi as varchar) from r),
+s as (select *, lag(v) over (partition by imo, field_name order by ts) p from l where v is not null and v not in ('', '0')),
+c as (select * from s where p is null or p <> v)
+select imo, field_name, v field_value, strftime(ts, '%Y-%m-%d %H:%M:%S') valid_from, coalesce(strftime(lead(ts) over (partition by imo, field_name order by ts), '%Y-%m-%d %H:%M:%S'), 'open') valid_to from c""",
+}
