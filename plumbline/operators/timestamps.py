@@ -52,6 +52,16 @@ def parts(text: Column) -> Column:
     return found
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _micros(fraction: Column) -> Column:
+    """Microseconds of the digits after the point; further digits are dropped."""
+    return F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
@@ -89,40 +99,47 @@ def read(rows: DataFrame, text: str, yearless: Column, order: str, arrived: str)
     ``yearless`` tells the rows whose text may lack the year; it is then the first such time in UTC not before
     ``arrived``. ``order`` holds dmy, mdy or ymd for dates in digits alone; null reads as dmy.
     """
-    df = rows.withColumn("_p", F.split(parts(tidy(F.col(text))), r"\|"))
-    p = lambda k: F.get("_p", k)
-    kind = p(0)
-    a, b, c = p(1), p(2), p(3)
     o = F.coalesce(F.col(order), F.lit("dmy"))
-    dealt = kind == "dealt"
-    year = F.when(dealt & (o == "ymd"), a).when(dealt, c).otherwise(a)
-    month = F.when(dealt & (o == "dmy"), b).when(dealt & (o == "mdy"), a).otherwise(b)
-    day = F.when(dealt & (o == "dmy"), a).when(dealt & (o == "mdy"), b).otherwise(c)
-    y = F.when(F.length(year) == 2, _int(year) + 2000).otherwise(_int(year))
-    m = F.when(month.rlike("^[A-Z]"), F.when((F.instr(F.lit(MONTHS), month) % 3 == 1), (F.instr(F.lit(MONTHS), month) + 2) / 3).cast("int")).otherwise(_int(month))
-    df = df.select("*", kind.alias("_k"), y.alias("_y"), m.alias("_m"), _int(day).alias("_d"), _int(p(4)).alias("_h"), F.coalesce(_int(p(5)), F.lit(0)).alias("_mi"), F.coalesce(_int(p(6)), F.lit(0)).alias("_s"), p(7).alias("_f"), p(8).alias("_half"), p(9).alias("_z"))
-    h, mi, s = F.col("_h"), F.col("_mi"), F.col("_s")
-    half = F.col("_half")
-    hour = F.when(h.isNull(), 0).when(half.isin("AM", "PM"), F.when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))).otherwise(h)
-    micros = F.coalesce(F.rpad(F.substring("_f", 1, 6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
-    end_of_day = (hour == 24) & (mi == 0) & (s == 0) & (micros == 0)
-    of_day = F.when((hour.between(0, 23) | end_of_day) & mi.between(0, 59) & s.between(0, 59), (hour * 3600 + mi * 60 + s).cast("long") * 1_000_000 + micros)
-    ordinal = F.when(F.col("_d").between(1, 366) & F.col("_y").between(1, 9999), F.when(F.year(F.date_add(F.make_date(F.col("_y"), F.lit(1), F.lit(1)), F.col("_d") - 1)) == F.col("_y"), F.unix_date(F.make_date(F.col("_y"), F.lit(1), F.lit(1))) + F.col("_d") - 1))
-    df = df.withColumn("_t", of_day)
-    days = F.when(F.col("_k") == "date", _days(F.col("_y"), F.col("_m"), F.col("_d"))).when(F.col("_k") == "dealt", _days(F.col("_y"), F.col("_m"), F.col("_d"))).when(F.col("_k") == "ordinal", ordinal)
     since = F.unix_micros(F.col(arrived).cast("timestamp"))
-    first_year = F.year(F.date_from_unix_date(F.floor(since / DAY).cast("int")))
-    tries = F.transform(F.sequence(first_year - 1, first_year + 8), lambda n: _days(n, F.col("_m"), F.col("_d")).cast("long") * DAY + F.col("_t"))
-    coming = F.get(F.filter(tries, lambda t: t >= since), F.lit(0))
-    digits, fraction = p(1), F.coalesce(F.rpad(F.substring(p(2), 1, 6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
-    n = digits.try_cast("long")
-    counted = F.when(F.length(digits) <= 11, n * 1_000_000 + fraction).when(F.length(digits) == 13, n * 1000 + F.floor(fraction / 1000)).when(F.length(digits) == 16, n).otherwise(F.floor(n / 1000))
-    wall = F.when(F.col("_k") == "count", counted).when(F.col("_k") == "yearless", F.when(yearless & since.isNotNull(), coming)).otherwise(days.cast("long") * DAY + F.col("_t"))
-    bare = F.coalesce(F.col("_z"), F.lit("")) == ""
-    utc = F.col("_k").isin("count", "yearless")
-    offset = F.when(utc, 0).when(~bare, _offset(F.col("_z")))
-    wall = F.when(utc | bare | offset.isNotNull(), wall)
-    return df.withColumns({"wall": wall.cast("long"), "offset": offset, "zoneless": ~utc & bare}).drop("_p", "_k", "_y", "_m", "_d", "_h", "_mi", "_s", "_f", "_half", "_z", "_t")
+
+    def numbers(p: Column) -> Column:
+        kind, a, b, c = (F.get(p, F.lit(k)) for k in range(4))
+        dealt = kind == "dealt"
+        year = F.when(dealt & (o == "ymd"), a).when(dealt, c).otherwise(a)
+        month = F.when(dealt & (o == "dmy"), b).when(dealt & (o == "mdy"), a).otherwise(b)
+        day = F.when(dealt & (o == "dmy"), a).when(dealt & (o == "mdy"), b).otherwise(c)
+        named = F.instr(F.lit(MONTHS), month)
+        m = F.when(month.rlike("^[A-Z]"), F.when(named % 3 == 1, ((named + 2) / 3).cast("int"))).otherwise(_int(month))
+        rest = [_int(F.get(p, F.lit(k))) for k in (4, 5, 6)]
+        return F.struct(
+            F.when(dealt, F.lit("date")).otherwise(kind).alias("k"), a.alias("a"), b.alias("b"), F.when(F.length(year) == 2, _int(year) + 2000).otherwise(_int(year)).alias("y"), m.alias("m"), _int(day).alias("d"), rest[0].alias("h"),
+            F.coalesce(rest[1], F.lit(0)).alias("mi"), F.coalesce(rest[2], F.lit(0)).alias("s"), _micros(F.get(p, F.lit(7))).alias("f"), F.get(p, F.lit(8)).alias("half"), F.coalesce(F.get(p, F.lit(9)), F.lit("")).alias("z"),
+        )
+
+    def clock(n: Column) -> Column:
+        h, mi, s, f, half = (n[k] for k in ("h", "mi", "s", "f", "half"))
+        hour = F.when(h.isNull(), 0).when(half.isin("AM", "PM"), F.when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))).otherwise(h)
+        return _let(hour, lambda x: F.when((x.between(0, 23) | ((x == 24) & (mi == 0) & (s == 0) & (f == 0))) & mi.between(0, 59) & s.between(0, 59), (x * 3600 + mi * 60 + s).cast("long") * 1_000_000 + f))
+
+    def instant(n: Column) -> Column:
+        kind, y, m, d = (n[k] for k in ("k", "y", "m", "d"))
+        new_year = F.when(y.between(1, 9999), F.make_date(y, F.lit(1), F.lit(1)))
+        ordinal = F.when(d.between(1, 366) & (F.year(F.date_add(new_year, d - 1)) == y), F.unix_date(new_year) + d - 1)
+        days = F.when(kind == "date", _days(y, m, d)).when(kind == "ordinal", ordinal)
+        first_year = F.year(F.date_from_unix_date(F.floor(since / DAY).cast("int")))
+        coming = _let(clock(n), lambda t: F.get(F.filter(F.transform(F.sequence(first_year - 1, first_year + 8), lambda x: _days(x, m, d).cast("long") * DAY + t), lambda x: x >= since), F.lit(0)))
+        count, fraction = n["a"].try_cast("long"), _micros(n["b"])
+        size = F.length(n["a"])
+        counted = F.when(size <= 11, count * 1_000_000 + fraction).when(size == 13, count * 1000 + F.floor(fraction / 1000)).when(size == 16, count).otherwise(F.floor(count / 1000))
+        wall = F.when(kind == "count", counted).when(kind == "yearless", F.when(yearless & since.isNotNull(), coming)).otherwise(days.cast("long") * DAY + clock(n))
+        utc = kind.isin("count", "yearless")
+        offset = F.when(utc, F.lit(0)).when(n["z"] != "", _offset(n["z"]))
+        zoneless = ~utc & (n["z"] == "")
+        return F.struct(F.when(zoneless | offset.isNotNull(), wall).cast("long").alias("wall"), offset.cast("long").alias("offset"), zoneless.alias("zoneless"))
+
+    # Each step binds its value once; written out, the expression would exceed what can be compiled.
+    done = _let(_let(_let(tidy(F.col(text)), lambda t: F.split(parts(t), r"\|")), numbers), instant)
+    return rows.withColumn("_t", done).select(*rows.columns, "_t.*")
 
 
 def estimate_zones(read_rows: DataFrame, source: str, arrived: str, zones: list[str]) -> DataFrame:
