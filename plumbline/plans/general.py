@@ -110,22 +110,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_zones(spark: SparkSession, folder: str) -> DataFrame:
     """The zone that the rows themselves suggest for each source, beside the declared one."""
     feed = table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES[1:])
-    clocks = F.broadcast(_clocks(spark, folder).withColumnRenamed("source", "_source"))
+    clocks = F.broadcast(_clocks(spark, folder).select(F.col("source").alias("_source"), F.coalesce("zone", F.lit("UTC")).alias("declared_zone"), "order"))
     long = timestamps.fields_long(feed, "raw_id", "source", "InsertDate", TEXT_TIMES[1:]).join(clocks, F.col("source") == F.col("_source"), "left")
-    read = timestamps.read(long, "field_text", F.lit(False), "order", "InsertDate")
-    best = timestamps.estimate_zones(read.drop("zone", "_source", "order"), "source", "InsertDate", list(timestamps.CANDIDATES))
-    return best.join(clocks, F.col("source") == F.col("_source"), "left").select("source", best["zone"].alias("best_zone"), F.coalesce(clocks["zone"], F.lit("UTC")).alias("declared_zone"), "violations", "rows")
+    read = timestamps.read(long, "field_text", F.lit(False), "order", "InsertDate").drop("_source", "declared_zone", "order")
+    best = timestamps.estimate_zones(read, "source", "InsertDate", list(timestamps.CANDIDATES))
+    return best.join(clocks, F.col("source") == F.col("_source"), "left").select("source", F.col("zone").alias("best_zone"), "declared_zone", "violations", "rows")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Implausible speeds and positions of all reports."""
-    return spikes.implausible(table(spark, folder, "position_reports"), reports_once)
+    return spikes.implausible(table(spark, folder, "position_reports"))
 
 
 def p4_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """The tail cutoff of speed residuals that the reports of each source give."""
-    reports, raw = spikes.readings(table(spark, folder, "position_reports"), reports_once)
-    series = spikes.speed_series(reports, raw, 60.0, 8, 3.0)
+    reports, counted = spikes.reports_in_order(table(spark, folder, "position_reports"))
+    series = spikes.speed_series(reports, counted, 60.0, 8, 3.0)
     return spikes.cutoffs(series).groupBy("source").agg(F.first("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("hours"))
 
 
