@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import imo_is_valid
-from plumbline.llm import components, leakage, mixture, survivor
+from plumbline.llm import components, leakage, mixture, pii, survivor
 from plumbline.sources.tables import table
 
 #: Folder of the public tokenizers' files; the same on every executor.
@@ -77,7 +77,17 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-_ALL = (p6_found, p6_groups, p7_found, p7_survivors, p8_found, p8_coverage, p9_selection, p9_shares)
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal information in every document, each distinct piece as it is written."""
+    return pii.found(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return pii.masked(table(spark, folder, "documents", "doc_id", "text"), "text")
+
+
+_ALL = (p6_found, p6_groups, p7_found, p7_survivors, p8_found, p8_coverage, p9_selection, p9_shares, p10_found, p10_masked)
 
 _IMO = "(r.imo between 1000000 and 9999999 and (((r.imo//1000000)%10)*7+((r.imo//100000)%10)*6+((r.imo//10000)%10)*5+((r.imo//1000)%10)*4+((r.imo//100)%10)*3+((r.imo//10)%10)*2)%10=r.imo%10)"
 
