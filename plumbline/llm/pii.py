@@ -292,7 +292,7 @@ def pieces(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
                 i = int(t - first[k])
                 kind = LABELS[labels[t]]
                 spans = out[order[a + k]]
-                if kind[0] == "I" and spans:
+                if kind[0] == "I" and spans and gaps[t] != 2:  # no piece goes over a line break
                     spans[-1] = (spans[-1][0], ends[k][i], spans[-1][2])
                 else:
                     spans.append((starts[k][i], ends[k][i], kind[2:]))
