@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import general
+from plumbline.plans import general, records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**general.QUERIES}
+    return {**general.QUERIES, **records.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**general.SQL}
+    return {**general.SQL, **records.SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general.p1_found(spark, folder)
+    return records.v_summary_by_rule(spark, folder)
