@@ -33,10 +33,10 @@ def chord2(metres: float) -> float:
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance by the haversine formula."""
+    """Great-circle distance by the haversine formula; null if a coordinate is."""
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), F.lit(2.0)) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * EARTH_M) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def face_coordinates(x: Column, y: Column, z: Column, axis: int) -> tuple[Column, Column, Column]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +36,6 @@ def sweep(updates: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int
             now[valid] = [number, old[1], recorded]
             continue
         k = bisect_right(known, valid)
-        if k < len(known) or not known or known[-1] < valid:
-            pass
         if k and known[k - 1] == valid:
             continue
         before = now.get(known[k - 1]) if k else None
@@ -56,8 +53,8 @@ def ledger(updates: DataFrame, key: str, valid: str, recorded: str, tie: str, va
     """Bitemporal rows (key, valid_from, valid_to, recorded_from, recorded_to, tie, values...); open ends are null.
 
     Updates without key or valid time say nothing. A null recorded time counts as the earliest. Updates with equal valid
-    and recorded time follow each other by ``tie``, and the later one supersedes. Each update adds two rows at most. An
-    entity with more than ``per_piece`` updates is cut along valid time; a piece then also sees those updates of later
+    and recorded time follow each other by ``tie``, and the later one supersedes; what no moment of record ever saw has no
+    row. Each update adds two rows at most. An entity with more than ``per_piece`` updates is cut along valid time; a piece then also sees those updates of later
     pieces that were, when learned, the earliest known after it.
     """
     kinds = {f.name: f.dataType for f in updates.schema.fields}
@@ -74,37 +71,39 @@ def ledger(updates: DataFrame, key: str, valid: str, recorded: str, tie: str, va
     schema = T.StructType([T.StructField("key", kinds[key]), *[T.StructField(c, T.LongType()) for c in ("v", "until", "r", "closed")], T.StructField("tie", kinds[tie]), *[T.StructField(f"value_{c}", kinds[c]) for c in values]])
 
     def run(batches):
-        held: list[pd.DataFrame] = []
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            take, cols = [], [[], [], [], []]
-            breaks = (pdf["key"].ne(pdf["key"].shift()) | pdf["piece"].ne(pdf["piece"].shift())).to_numpy().nonzero()[0].tolist() + [len(pdf)]
-            v, r, ours = pdf["v"].tolist(), pdf["r"].tolist(), pdf["ours"].tolist()
-            for a, b in zip(breaks, breaks[1:], strict=False):
-                for number, start, until, since, closed in sweep([(i, v[i], r[i], ours[i]) for i in range(a, b)]):
-                    take.append(number)
-                    for c, x in zip(cols, (start, until, since, closed), strict=True):
+        import pyarrow as pa
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            keys = list(zip(table["key"].to_pylist(), table["piece"].to_pylist(), strict=True))
+            v, r, ours = (table[c].to_pylist() for c in ("v", "r", "ours"))
+            take, cols, a = [], [[], [], [], []], 0
+            while a < len(keys):
+                b = bisect_right(keys, keys[a], lo=a)
+                for row in sweep([(i, v[i], r[i], ours[i]) for i in range(a, b)]):
+                    for c, x in zip((take, *cols), row, strict=True):
                         c.append(x)
-            out = pdf[["key", "tie", *named]].iloc[take].reset_index(drop=True)
-            for name, c in zip(("v", "until", "r", "closed"), cols, strict=True):
-                out[name] = pd.array(c, dtype="Int64")
-            return out[["key", "v", "until", "r", "closed", "tie", *named]]
-
-        for pdf in batches:
-            if not len(pdf):
+                a = b
+            picked = table.take(pa.array(take, pa.int64()))
+            out = pa.table([picked["key"], *[pa.array(c, pa.int64()) for c in cols], picked["tie"], *[picked[c] for c in named]], names=["key", "v", "until", "r", "closed", "tie", *named])
+            return out.combine_chunks().to_batches()[0] if len(out) else pa.RecordBatch.from_pylist([], out.schema)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            held.append(pdf)
-            last = pdf.iloc[-1]
-            if (held[0].iloc[0][["key", "piece"]] == last[["key", "piece"]]).all():
+            held.append(batch)
+            keys, parts = batch.column("key"), batch.column("piece")
+            last = keys[batch.num_rows - 1].as_py(), parts[batch.num_rows - 1].as_py()
+            if (held[0].column("key")[0].as_py(), held[0].column("piece")[0].as_py()) == last:
                 continue  # one entity still
-            whole = pd.concat(held, ignore_index=True)
-            rest = ((whole["key"] == last["key"]) & (whole["piece"] == last["piece"])).to_numpy()
-            yield flush(whole[~rest].reset_index(drop=True))
-            held = [whole[rest]]
+            # Rows are sorted, so the last entity's rows are the end of the last batch; it may go on in the next.
+            n = bisect_left(range(batch.num_rows), True, key=lambda i: (keys[i].as_py(), parts[i].as_py()) == last)
+            yield flush(pa.Table.from_batches([*held[:-1], batch.slice(0, n)]))
+            held = [batch.slice(n)]
         if held:
-            yield flush(pd.concat(held, ignore_index=True))
+            yield flush(pa.Table.from_batches(held))
 
-    out = ordered.mapInPandas(run, schema)
+    out = ordered.mapInArrow(run, schema).where(F.col("closed").isNull() | (F.col("closed") > F.col("r")))
     stamp = lambda c: F.timestamp_micros(F.when(F.col(c) > -(2**62), F.col(c)))
     return out.select(F.col("key").alias(key), stamp("v").alias("valid_from"), stamp("until").alias("valid_to"), stamp("r").alias("recorded_from"), stamp("closed").alias("recorded_to"), F.col("closed").isNull().alias("current"), F.col("tie").alias(tie), *[F.col(f"value_{c}").alias(c) for c in values])
 
