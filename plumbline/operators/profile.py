@@ -32,7 +32,7 @@ def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     Extremes of numbers go to low and high, those of strings to low_text and high_text (whole texts only, as writers may
     shorten long ones: 16 bytes or fewer are taken). Floating extremes are ignored where they are not numbers.
-    ``dictionary`` tells that every data page is dictionary-encoded.
+    ``dictionary`` tells that the chunk has a dictionary page.
     """
     files = spark.read.parquet(path).inputFiles()
     wanted = set(columns)
@@ -58,8 +58,7 @@ def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                                 low, high = float(s.min), float(s.max)
                             elif isinstance(s.min, str) and len(s.min.encode()) <= 16 and len(s.max.encode()) <= 16:
                                 low_text, high_text = s.min, s.max
-                        only = set(chunk.encodings) <= {"PLAIN_DICTIONARY", "RLE_DICTIONARY", "RLE", "BIT_PACKED"}
-                        out.append((uri, g, group.num_rows, chunk.path_in_schema, nulls, low, high, low_text, high_text, only))
+                        out.append((uri, g, group.num_rows, chunk.path_in_schema, nulls, low, high, low_text, high_text, chunk.has_dictionary_page))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOOTER.split(", ")])
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 256)))
@@ -67,10 +66,10 @@ def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def dictionary_values(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    """(column_name, value) of the dictionaries of chunks that are dictionary-encoded throughout, each value once.
+    """(column_name, value) of chunks with a dictionary, each value once.
 
-    Only dictionaries are decoded into values; row values stay codes. A dictionary may hold a value that no row uses only
-    if the writer left one, which Parquet writers don't.
+    Rows of texts stay codes, and only their dictionary becomes values; what a writer put outside the dictionary, once it
+    was full, Arrow adds to it while reading. Numbers are read and made distinct in the chunk.
     """
 
     def read(batches):
