@@ -174,6 +174,7 @@ l as (select load_id, series_id, load_no, unnest(['imo','imo','imo','callsign','
  unnest([(n-i_n)/n, i_bad/nullif(i_n,0), i_d/nullif(i_n,0), (n-c_n)/n, c_bad/nullif(c_n,0), c_d/nullif(c_n,0), (n-d_n)/n, d_bad/nullif(d_n,0), d_d/nullif(d_n,0), med, p90]) v from m)
 select a.load_id, a.column_name, a.measure from l a join l b on a.series_id = b.series_id and a.load_no = b.load_no + 1 and a.column_name = b.column_name and a.measure = b.measure
 where case when a.measure in ('median','p90') then a.v < 0.8*b.v or a.v > 1.25*b.v else abs(a.v-b.v) > 0.11 end""",
+    "p2_profile": " union all ".join(f"select '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {low} low, {high} high, count(distinct {c}) n_distinct from registry_loads" for c, low, high in [(c, f"min({c})::double", f"max({c})::double") for c in ("row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "builtYear")] + [(c, "null::double", "null::double") for c in ("name", "callsign", "flag", "vessel_type")]),
     "p4_found": """
 with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_speed) v, min(last_position_updateTimestamp) ts from position_reports group by 1),
 s as (select report_id, mmsi, ts, v, lag(v) over w p, lead(v) over w n, row_number() over w - row_number() over (partition by mmsi, v order by ts, report_id) g

@@ -90,7 +90,7 @@ class Tools:
     def register(self, name: str, function: Callable[..., Any]) -> None:
         self.functions[name] = function
 
-    def call(self, name: str, **arguments: Any) -> Any:
+    def call(self, name: str, /, **arguments: Any) -> Any:
         if name not in self.functions:
             raise KeyError(f"no tool {name}; there are {sorted(self.functions)}")
         began = time.time()

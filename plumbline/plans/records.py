@@ -378,7 +378,10 @@ def q_vessel_details(spark, folder):
 # --- ontology and graph -----------------------------------------------------------------------------------------------
 
 
-@query("select coalesce(vessel_type, '') vessel_type, count(*) n, case vessel_type when 'Dry Bulk' then 'Cargo Vessels' when 'General Cargo' then 'Cargo Vessels' when 'Reefer' then 'Cargo Vessels' when 'Container' then 'Container Vessels' when 'Chemical Tanker' then 'Tanker Vessels' when 'Crude Tanker' then 'Tanker Vessels' when 'Product Tanker' then 'Tanker Vessels' when 'Dredger' then 'Service Vessels' when 'Tug' then 'Service Vessels' when 'Research Vessel' then 'Service Vessels' when 'LNG Carrier' then 'Gas Carriers' when 'Ro-Ro/Passenger' then 'Passenger Vessels' when 'High Speed Craft' then 'Passenger Vessels' else '' end category from vessel_records group by all")
+_TREE = "(values " + ", ".join(f"('{t}', '{c}')" for c, types in ontology.CATEGORIES.items() for t in types) + ") t(type, category)"
+
+
+@query(f"select coalesce(vessel_type, '') vessel_type, case when trim(coalesce(vessel_type, '')) = '' then '' else coalesce(category, 'Other') end category, count(*) n from vessel_records left join {_TREE} on vessel_type = t.type group by all")
 def o_category(spark, folder):
     return records(spark, folder).groupBy(F.coalesce("vessel_type", F.lit("")).alias("vessel_type"), ontology.category_of(F.col("vessel_type")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
