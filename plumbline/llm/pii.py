@@ -184,17 +184,18 @@ def train(count: int = 3600, rounds: int = 24, seed: int = 11, ridge: float = 1e
             for n, i in enumerate(inside):
                 gold[first[k] + i] = LABELS.index(("B-" if n == 0 else "I-") + kind)
     field.start()
-    k = len(LABELS)
     may = _allowed()
     opening = np.array([0.0 if x[0] != "I" else -1e9 for x in LABELS])
     grad2 = [np.full_like(w, 1e-3) for w in (field.votes, field.gap, field.joint, field.pair)]
     order = np.random.default_rng(seed).permutation(len(data))
-    parts = np.array_split(order, 6)
+    by_word, by_form = _Sums(word[:, 0]), [_Sums(form[:, c]) for c in range(2)]
+    parts = []
+    for part in np.array_split(order, 6):
+        rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
+        f = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in part])])
+        parts.append((part, ids[rows], gaps[rows], gold[rows], f, (_Sums(ids[rows]), by_word, by_form)))
     for _ in range(rounds):
-        for part in parts:
-            rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
-            f = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in part])])
-            x, g, y = ids[rows], gaps[rows], gold[rows]
+        for part, x, g, y, f, sums in parts:
             score = field.score(x, g, f, word, form)
             node, edge = _marginals(score, f, np.where(may, field.pair, -1e9), opening)
             node[np.arange(len(y)), y] -= 1.0
@@ -202,13 +203,12 @@ def train(count: int = 3600, rounds: int = 24, seed: int = 11, ridge: float = 1e
             inner[f[:-1]] = False
             at = np.flatnonzero(inner)
             np.add.at(edge, (y[at - 1], y[at]), -1.0)
-            grads = _gradients(field, node, x, g, f, word, form) + (np.where(may, edge, 0.0),)
+            grads = _gradients(field, node, x, g, f, word, form, sums) + (np.where(may, edge, 0.0),)
             for w, d, h in zip((field.votes, field.gap, field.joint, field.pair), grads, grad2, strict=True):
                 d = d + ridge * len(part) * w
                 h += d * d
                 w -= 0.5 * d / np.sqrt(h)
             field.votes[:, -1] = 0.0
-    assert k == field.pair.shape[0]
     return field
 
 
@@ -245,26 +245,42 @@ def _marginals(score, first, pair, opening):
     return node, edge
 
 
-def _gradients(field: Field, node, ids, gaps, first, word, form):
+class _Sums:
+    """Sums of rows by a fixed index, by one sort and segment sums."""
+
+    def __init__(self, index: np.ndarray):
+        self.order = np.argsort(index, kind="stable")
+        self.keys, self.starts = np.unique(index[self.order], return_index=True)
+
+    def add(self, out: np.ndarray, rows: np.ndarray) -> None:
+        if len(self.keys):
+            out[self.keys] += np.add.reduceat(rows[self.order], self.starts, axis=0)
+
+
+def _gradients(field: Field, node, ids, gaps, first, word, form, sums):
     votes, gap = np.zeros_like(field.votes), np.zeros_like(field.gap)
+    by_id, by_word, by_form = sums
     size = np.diff(first)
     pos = np.arange(len(ids)) - np.repeat(first[:-1], size)
     rest = np.repeat(size, size) - pos
     for k, at in enumerate(WORD_AT):
         where = np.flatnonzero((pos + at >= 0) & (rest - at > 0))
+        seen = np.zeros_like(node)
+        seen[where + at] = node[where]
         by_type = np.zeros((len(word), node.shape[1]))
-        np.add.at(by_type, ids[where + at], node[where])
-        np.add.at(votes[k], word[:, 0], by_type)
+        by_id.add(by_type, seen)
+        by_word.add(votes[k], by_type)
         if at in SHAPE_AT:
-            for c in range(2):
-                np.add.at(votes[k], form[:, c], by_type)
+            for one in by_form:
+                one.add(votes[k], by_type)
     for k, at in enumerate((0, 1, -1)):
         ok = np.flatnonzero((pos + at >= 0) & (rest - at > 0))
-        np.add.at(gap[k], gaps[ok + at], node[ok])
+        for g in range(3):
+            gap[k, g] += node[ok[gaps[ok + at] == g]].sum(0)
     votes[:, -1] = 0.0
     joint = np.zeros_like(field.joint)
     for k, (code, ok) in enumerate(field.joints(ids, gaps, pos, form)):
-        np.add.at(joint[k], code, node[ok])
+        _Sums(code).add(joint[k], node[ok])
     return votes, gap, joint
 
 
