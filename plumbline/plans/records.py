@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ontology
 from plumbline.functions.text import char_jaccard, name_similarity, tidy_name
-from plumbline.operators import graph, quality, resolve, temporal, validate
+from plumbline.operators import alerts, graph, quality, resolve, temporal, validate
 from plumbline.plans import cypher as cy
 from plumbline.plans import language
 from plumbline.plans import query as q
@@ -115,6 +115,16 @@ def v_tool_checks(spark, folder):
     return validate.check_record(records(spark, folder)).select("record_id", c["imo_error"].isNull().alias("imo_ok"), c["mmsi_error"].isNull().alias("mmsi_ok"), c["position"]["valid"].alias("position_ok"))
 
 
+@query(f"with {_CHECKS}, f as (select *, row_number() over (partition by rule_id order by record_id) k from long where not is_valid) select rule_id alert_type, severity, count(*) affected, array_to_string(list_sort(list(record_id) filter (where k <= 100)), ',') sample from f group by 1, 2")
+def v_rule_alerts(spark, folder):
+    return joined(alerts.rule_alerts(_long(spark, folder), "record_id"), "sample")
+
+
+@query(f"with {_CHECKS}, a as (select rule_id alert_type, severity from long where not is_valid group by 1, 2) select case when grouping(severity) = 0 then 'severity' when grouping(alert_type) = 0 then 'alert_type' else 'total' end as by, coalesce(severity, alert_type, 'all') as name, count(*) n from a group by grouping sets ((severity), (alert_type), ())")
+def v_alert_summary(spark, folder):
+    return alerts.summary(alerts.rule_alerts(_long(spark, folder), "record_id"))
+
+
 # --- profiles and cross-record findings -------------------------------------------------------------------------------
 
 _PROFILED = ["imo", "mmsi", "name", "callsign", "length", "width", "vessel_type", "flag", "deadweight", "grossTonnage", "builtYear", "shipBuilder", "draught", "destination"]
@@ -243,9 +253,17 @@ def a_statistics(spark, folder):
     return quality.dataset_statistics(records(spark, folder))
 
 
-@query()
-def a_anomaly_summary(spark, folder):
-    return quality.anomalies(records(spark, folder)).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
+@query(f"""
+with n as (select distinct imo, upper(trim(name)) n from vessel_records where imo > 0 and trim(name) <> ''), p as (select a.imo, a.n name_a, b.n name_b from n a join n b on a.imo = b.imo and a.n < b.n),
+l as (select imo, 'grossTonnage' attribute, grossTonnage number, cast(grossTonnage as varchar) kind from vessel_records union all select imo, 'length', length, cast(length as varchar) from vessel_records union all select imo, 'width', width, cast(width as varchar) from vessel_records
+ union all select imo, 'builtYear', null, cast(builtYear as varchar) from vessel_records union all select imo, 'shipBuilder', null, shipBuilder from vessel_records),
+g as (select imo, attribute, max(number) hi, min(number) lo, count(distinct kind) n_values from l where imo > 0 and kind is not null group by 1, 2),
+f as (select 'suspicious_name_change' anomaly_type from p where round_even({_jaccard('name_a', 'name_b')}, 4) < 0.3 union all select 'mmsi_switching' from vessel_records where imo > 0 and mmsi is not null group by imo having count(distinct mmsi) > 2
+ union all select 'mmsi_reuse' from vessel_records where imo > 0 and mmsi is not null group by mmsi having count(distinct imo) > 1 union all select 'attribute_inconsistency' from g where case when attribute in ('grossTonnage', 'length', 'width') then hi > 0 and (hi - lo) / hi > 0.1 else n_values > 1 end
+ union all select 'unrealistic_speed' from vessel_records where last_position_speed > 50)
+select anomaly_type alert_type, case when anomaly_type = 'mmsi_reuse' then 'high' else 'medium' end severity, count(*) affected, 0.85::double confidence from f group by 1""")
+def a_anomaly_alerts(spark, folder):
+    return alerts.anomaly_alerts(quality.anomalies(records(spark, folder)), {"mmsi_reuse": "high"})
 
 
 @query("select column_name, min(low) low, max(high) high, max(n) non_null from (" + " union all ".join(f"select '{c}' column_name, min({c})::double low, max({c})::double high, count({c}) n from vessel_records" for c in ("length", "width", "grossTonnage", "builtYear")) + ") group by 1")
@@ -572,6 +590,7 @@ def h_learned_thresholds(spark, folder):
     return resolve.learned_thresholds(_scored(spark, folder), "overall", F.coalesce(F.col("a_mmsi") == F.col("b_mmsi"), F.lit(False)))
 
 
-@query()
+@query(f"""with {_PAIRS_SQL}, {_SCORES_SQL}, d as (select coalesce(am = bm, false) same, unnest(['imo', 'name', 'mmsi', 'length', 'width', 'gross_tonnage', 'built_year', 'builder']) attribute, unnest([s1, s2, s3, s4, s5, s6, s7, s8]) x from o),
+g as (select attribute, abs(avg(x) filter (where same) - avg(x) filter (where not same)) gap from d where x is not null group by 1 having gap is not null) select attribute, round_even(gap / sum(gap) over (), 4) weight from g""")
 def h_learned_weights(spark, folder):
     return resolve.learned_weights(_scored(spark, folder), "scores", F.coalesce(F.col("a_mmsi") == F.col("b_mmsi"), F.lit(False)))
