@@ -97,6 +97,12 @@ with recursive e as (select distinct upper(trim(record_a_id)) a, upper(trim(reco
 s as (select a, b from e union select b, a from e),
 r(a, b) as (select a, a from s union select r.a, s.b from r join s on r.b = s.a)
 select a record_id, min(b) group_root from r group by 1""",
+    "p6_groups": """
+with recursive e as (select distinct upper(trim(record_a_id)) a, upper(trim(record_b_id)) b from entity_matches where confidence_score between 0.85 and 1 and upper(trim(record_a_id)) <> upper(trim(record_b_id))),
+s as (select a, b from e union select b, a from e),
+r(a, b) as (select a, a from s union select r.a, s.b from r join s on r.b = s.a),
+g as (select a, min(b) group_root from r group by 1)
+select group_root, count(*) members from g group by 1""",
     "p7_found": f"""
 with q as (select r.*, coalesce(f.trust_rank, 2147483647) trust from vessel_records r left join feeds f on r.source = f.feed_code where group_id is not null),
 c as (select group_id, 'imo' field_name, record_id, trust, UpdateDate from q r where {_IMO}
