@@ -25,11 +25,14 @@ _MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
+def plain(text: str) -> str:
+    """The text without case, accents and characters that have no width."""
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.casefold()))
+
+
 def words(text: str) -> list[str]:
-    """Runs of letters and digits, without case, accents and characters that have no width."""
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFD", text.casefold())))
+    """Runs of letters and digits of the plain text."""
+    return _WORD.findall(plain(text))
 
 
 @dataclass
@@ -108,7 +111,8 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     get, coded, starts, at = index.codes.get, [], [], 0
     for t in texts:
         starts.append(at)
-        one = [get(w, 0) for w in words(t)] if t else []
+        # Words become numbers one by one, so that a long text needs 8 bytes a word.
+        one = np.fromiter((get(m.group(), 0) for m in _WORD.finditer(plain(t))), np.int64) if t else np.zeros(0, np.int64)
         coded.append(one)
         at += len(one) + 1
     flat = np.zeros(at, np.int64)
@@ -132,7 +136,7 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     out = []
     for (d, p), where in seeds.items():
         passage = index.passages[p]
-        found = tiles(np.array(coded[d], dtype=np.int64), passage, where, index.size)
+        found = tiles(coded[d], passage, where, index.size)
         if found:
             out.append((d, index.ids[p], sum(n for *_, n in found), len(passage), max(n for *_, n in found), len(found)))
     return out

@@ -26,8 +26,8 @@ _TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
 STREETS = ("straße", "strasse", "gasse", "weg")
 #: Places, seen from a token, at which another's word and shape count.
 WORD_AT, SHAPE_AT = range(-5, 6), range(-4, 5)
-#: Characters decoded at once; longer texts are decoded alone, whole.
-BATCH_CHARS = 400_000
+#: Characters decoded at once, and characters above which a text is decoded in parts.
+BATCH_CHARS, PART_CHARS = 400_000, 1_000_000
 
 
 def tokens(text: str) -> tuple[list[str], list[int], list[int], list[int]]:
@@ -290,8 +290,29 @@ def model() -> bytes:
     return cloudpickle.dumps(train())
 
 
+def parts(text: str, most: int = PART_CHARS) -> list[tuple[int, str]]:
+    """(start, part) of a text: one up to ``most`` characters, else several that end at line breaks, or at blanks where a
+    part has no line break, or anywhere where it has neither."""
+    out, a = [], 0
+    while len(text) - a > most:
+        b = text.rfind("\n", a, a + most)
+        b = b if b > a else text.rfind(" ", a, a + most)
+        b = b + 1 if b > a else a + most
+        out.append((a, text[a:b]))
+        a = b
+    return [*out, (a, text[a:])]
+
+
 def pieces(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of personal information in each text, in order; whole texts are read."""
+    split = [(k, a, p) for k, t in enumerate(texts) for a, p in parts(t)]
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for (k, a, p), spans in zip(split, _decoded([p for *_, p in split], field), strict=True):
+        out[k] += [(x[0] + a, x[1] + a, x[2]) for s in spans if (x := trimmed(p, *s))]
+    return out
+
+
+def _decoded(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     a = 0
@@ -313,7 +334,7 @@ def pieces(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
                 else:
                     spans.append((starts[k][i], ends[k][i], kind[2:]))
         a = b
-    return [[x for s in spans if (x := trimmed(t, *s))] for spans, t in zip(out, texts, strict=True)]
+    return out
 
 
 _AFTER_NAME = regex.compile(r"(?<=\p{L}{2})\.|[\n\t]")

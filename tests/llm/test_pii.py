@@ -38,6 +38,13 @@ def test_batches_don_t_change_results(field):
     assert pii.pieces(texts, field) == alone and len(alone[-1]) == 3
 
 
+def test_long_texts_go_in_parts(field):
+    text = ("The crew found water in hold 2.\n" * 40_000) + CASES[0][0] + (" word" * 300_000)
+    assert "".join(p for _, p in pii.parts(text)) == text and all(text[a : a + len(p)] == p and len(p) <= pii.PART_CHARS for a, p in pii.parts(text))
+    assert {(k, text[a:b]) for a, b, k in pii.pieces([text], field)[0]} == CASES[0][1]
+    assert pii.parts("x" * 25, 10) == [(0, "x" * 10), (10, "x" * 10), (20, "x" * 5)]
+
+
 def test_decoder_finds_the_best_path():
     r = np.random.default_rng(1)
     k = len(pii.LABELS)
