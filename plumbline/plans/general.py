@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.identity import imo_is_valid
 from plumbline.operators import history, profile, proximity, spikes, timestamps
+from plumbline.session import spread
 from plumbline.sources.tables import table
 
 LAT, LON, AT = "last_position_latitude", "last_position_longitude", "last_position_updateTimestamp"
@@ -103,7 +104,7 @@ def _clocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every time text of the raw feed that denotes an instant from 2000 to 2035, in UTC."""
-    feed = table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES)
+    feed = spread(table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES), "raw_id")
     return timestamps.to_utc(feed, "raw_id", "source", "InsertDate", TEXT_TIMES, "eta", _clocks(spark, folder))
 
 

@@ -39,3 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df``, a plain scan, in as many partitions as the cluster has cores, if the files give fewer.
+
+    Large tables have more splits than cores and stay as they are; a table in one small file would keep one core busy.
+    The hash of ``key`` places rows, so that a task that runs again gets the same ones.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
