@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.identity import imo_is_valid
 from plumbline.llm import components, leakage, mixture, pii, survivor
+from plumbline.session import spread
 from plumbline.sources.tables import table
 
 #: Folder of the public tokenizers' files; the same on every executor.
@@ -48,7 +49,7 @@ def p7_survivors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaked(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
+    return leakage.leaked(spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +64,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs, targets = table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mixture_targets")
+    docs, targets = spread(table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id"), table(spark, folder, "mixture_targets")
     return mixture.mix(docs, "doc_id", "text", "source", targets, "target_share", "max_repeats", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
@@ -79,12 +80,12 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in every document, each distinct piece as it is written."""
-    return pii.found(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return pii.found(spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with typed placeholders in place of personal information."""
-    return pii.masked(table(spark, folder, "documents", "doc_id", "text"), "text")
+    return pii.masked(spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id"), "text")
 
 
 _ALL = (p6_found, p6_groups, p7_found, p7_survivors, p8_found, p8_coverage, p9_selection, p9_shares, p10_found, p10_masked)
