@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return at_port.unionByName(met.select(F.lit("vessel").alias("near_kind"), "id_a", "id_b"))
 
 
-CALLSIGN = "^[A-Z0-9]{4,7}$"
+CALLSIGN = r"\A[A-Z0-9]{4,7}\z"
 
 
 def _load_values(spark: SparkSession, folder: str) -> DataFrame:
