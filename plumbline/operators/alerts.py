@@ -32,3 +32,14 @@ def summary(alerts: DataFrame) -> DataFrame:
     sets = alerts.groupingSets([["severity"], ["alert_type"], []], "severity", "alert_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("severity").alias("gs"), F.grouping("alert_type").alias("gt"))
     by = F.when(F.col("gs") == 0, "severity").when(F.col("gt") == 0, "alert_type").otherwise("total")
     return sets.select(by.alias("by"), F.coalesce(F.when(F.col("gs") == 0, F.col("severity")), F.when(F.col("gt") == 0, F.col("alert_type")), F.lit("all")).alias("name"), "n")
+
+
+def report(statuses: DataFrame, matches: DataFrame, alerts: DataFrame, high: float = 0.9) -> DataFrame:
+    """(measure, n): records with and without issues, sure matches, and alerts by severity.
+
+    ``statuses`` has validation_status, ``matches`` overall, ``alerts`` severity and affected.
+    """
+    records = statuses.groupBy("validation_status").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("records_"), "validation_status").alias("measure"), "n")
+    sure = matches.agg(F.count_if(F.col("overall") >= high).alias("n")).select(F.lit("sure_matches").alias("measure"), "n")
+    by = alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("alerts_"), "severity").alias("measure"), "n")
+    return records.unionByName(sure).unionByName(by)

@@ -26,6 +26,11 @@ def _filled(c: str) -> Column:
     return F.when((F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0") & (F.col(c).cast("string") != "0.0"), F.col(c))
 
 
+def colour(label: Column, status: Column) -> Column:
+    """The colour in which a node is drawn (fixed values): vessels by status, ontology nodes, and all others."""
+    return F.when((label == "Vessel") & (status == "invalid"), "#e74c3c").when(label == "Vessel", "#2ecc71").when(label == "Category", "#9b59b6").otherwise("#3498db")
+
+
 def vessel_nodes(records: DataFrame, seq: str) -> DataFrame:
     """One row a vessel: the last filled value of changing properties and the first of lasting ones, in order of ``seq``."""
     rows = records.withColumn("node_id", entity_key()).where("node_id is not null")
@@ -105,6 +110,27 @@ def reached_by(edge_rows: DataFrame, rel_type: str, dst: str) -> DataFrame:
     return edge_rows.where((F.col("rel_type") == rel_type) & (F.col("dst") == dst)).select("src", "ts")
 
 
+def with_type(vessels: DataFrame, edge_rows: DataFrame, limit: int = 2000) -> DataFrame:
+    """(node_id, type_id, category_id): vessels with their type and its category where they have them; ``limit`` is the
+    view's page size, in order of node_id."""
+    kind = edge_rows.where("rel_type = 'IS_TYPE'").select(F.col("src").alias("node_id"), F.col("dst").alias("type_id"))
+    up = category_edges(vessels.sparkSession).select(F.col("src").alias("type_id"), F.col("dst").alias("category_id"))
+    return vessels.select("node_id").join(kind, "node_id", "left").join(F.broadcast(up), "type_id", "left").select("node_id", "type_id", "category_id").orderBy("node_id").limit(limit)
+
+
+def many_targets(edge_rows: DataFrame, rel_type: str, more_than: int) -> DataFrame:
+    """(src, n): nodes that a relation leads to more than ``more_than`` different ones."""
+    return edge_rows.where(F.col("rel_type") == rel_type).groupBy("src").agg(F.count_distinct("dst").alias("n")).where(F.col("n") > more_than)
+
+
+def entities_of(records: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, entities): each record's vessel with the relations it states, as one list a record; no shuffle."""
+    flat = lambda rel, dst: F.when(dst.isNotNull(), F.struct(F.lit(rel).alias("rel_type"), dst.alias("dst")))
+    text = lambda c: F.col(c).cast("string")
+    each = F.array_compact(F.array(flat("HAS_IMO", F.when(F.col("imo") > 0, F.concat(F.lit("imo_"), text("imo")))), flat("USES_MMSI", F.concat(F.lit("mmsi_"), text("mmsi"))), flat("REGISTERED_UNDER", F.concat(F.lit("flag_"), F.nullif("flag", F.lit("")))), flat("BUILT_BY", F.when(F.col("shipBuilder") != "", hashed("builder_", "shipBuilder"))), flat("IS_TYPE", F.when(F.col("vessel_type") != "", hashed("type_", "vessel_type")))))
+    return records.select(key, F.struct(entity_key().alias("entity_id"), F.col(at).alias("ts"), each.alias("relations")).alias("entities"))
+
+
 def statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """(kind, name, n): nodes by label and edges by relation."""
     return node_rows.groupBy(F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("kind"), "name", "n").unionByName(edge_rows.groupBy(F.col("rel_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "name", "n"))

@@ -12,6 +12,7 @@ from plumbline.functions.text import char_jaccard, closeness, name_similarity
 #: Weights of the attributes (fixed values); other sets are passed as parameters.
 WEIGHTS = {"imo": 0.30, "name": 0.20, "mmsi": 0.10, "length": 0.10, "width": 0.08, "gross_tonnage": 0.07, "built_year": 0.08, "builder": 0.07}
 TOOL_WEIGHTS = {"imo": 0.30, "name": 0.20, "mmsi": 0.10, "length": 0.10, "width": 0.08, "gross_tonnage": 0.08, "built_year": 0.07, "builder": 0.07}
+BASIC_WEIGHTS = {"name": 0.30, "imo": 0.25, "mmsi": 0.15, "length": 0.10, "width": 0.10, "built_year": 0.10}
 COLUMNS = ("imo", "name", "mmsi", "length", "width", "grossTonnage", "builtYear", "shipBuilder")
 
 
@@ -83,6 +84,11 @@ def attribute_scores(tolerance: float = 0.05, names: str = "full") -> dict[str,
     return {"imo": equal("imo", True), "name": alike("name"), "mmsi": equal("mmsi", False), "length": near("length"), "width": near("width"), "gross_tonnage": near("grossTonnage"), "built_year": equal("builtYear", False), "builder": alike("shipBuilder")}
 
 
+def _four(c: Column) -> Column:
+    """Four places, half up; noise of the last bits is rounded off first, so that a tie is one in any engine."""
+    return F.round(F.round(c, 10), 4)
+
+
 def scored(pairs: DataFrame, weights: dict[str, float] = WEIGHTS, tolerance: float = 0.05, names: str = "full", conflict: float = 0.3) -> DataFrame:
     """Pairs side by side with ``scores`` (map), ``overall``, ``confidence``, ``matching`` and ``conflicting``.
 
@@ -99,7 +105,7 @@ def scored(pairs: DataFrame, weights: dict[str, float] = WEIGHTS, tolerance: flo
     overall = F.coalesce(F.try_divide(top, weight), F.lit(0.0))
     parts = F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in s.items()])
     df = df.withColumns({
-        "exact": exact, "overall": F.when(exact, F.lit(1.0)).otherwise(F.bround(overall, 4)), "confidence": F.when(exact, F.lit(1.0)).otherwise(F.bround(overall * seen / len(weights), 4)),
+        "exact": exact, "overall": F.when(exact, F.lit(1.0)).otherwise(_four(overall)), "confidence": F.when(exact, F.lit(1.0)).otherwise(_four(overall * seen / len(weights))),
         "scores": F.map_from_entries(F.filter(parts, lambda p: p["value"].isNotNull())),
         "matching": F.array_compact(F.array(*[F.when(c > 0.9, F.lit(n)) for n, c in s.items()])), "conflicting": F.array_compact(F.array(*[F.when(c < conflict, F.lit(n)) for n, c in s.items()])),
     })

@@ -161,12 +161,14 @@ def a_top_duplicate_names(spark, folder):
 
 def _variation_sql(key: str, column: str, limit: int) -> str:
     positive = " and imo > 0" if key == "imo" else ""
-    return f"select {key}, count(distinct {column}) n_distinct, array_to_string(list_sort(list(distinct {column}) filter (where {column} is not null)), ',') {column}_values, count(*) n_rows from vessel_records where {key} is not null{positive} group by 1 having count(distinct {column}) > 1 order by 1 limit {limit}"
+    listed = "" if column == "grossTonnage" else f" array_to_string(list_sort(list(distinct {column}) filter (where {column} is not null)), ',') {column}_values,"
+    return f"select {key}, count(distinct {column}) n_distinct,{listed} count(*) n_rows from vessel_records where {key} is not null{positive} group by 1 having count(distinct {column}) > 1 order by 1 limit {limit}"
 
 
 def _variation(name: str, key: str, column: str, limit: int) -> None:
     def f(spark, folder):
-        return joined(quality.variation(records(spark, folder), key, [column], limit), f"{column}_values")
+        found = quality.variation(records(spark, folder), key, [column], limit)
+        return found.drop(f"{column}_values") if column == "grossTonnage" else joined(found, f"{column}_values")
 
     f.__name__ = name
     query(_variation_sql(key, column, limit))(f)
@@ -178,6 +180,8 @@ _variation("a_name_changes", "imo", "name", 20)
 _variation("a_flag_changes", "imo", "flag", 20)
 _variation("a_type_changes", "imo", "vessel_type", 10)
 _variation("a_length_variation", "imo", "length", 5)
+_variation("a_width_variation", "imo", "width", 5)
+_variation("a_tonnage_variation", "imo", "grossTonnage", 5)
 
 
 @query("""
@@ -442,6 +446,29 @@ def g_vessels_by_flag(spark, folder):
     return graph.reached_by(graph.edges(records(spark, folder), "UpdateDate", "record_id"), "REGISTERED_UNDER", "flag_LR")
 
 
+@query(f"with {_K}, {_EDGES_SQL} select src, ts from edges_ where rel_type = 'VISITED' and dst = (select min(dst) from edges_ where rel_type = 'VISITED')")
+def g_vessels_by_port(spark, folder):
+    edges = graph.edges(records(spark, folder), "UpdateDate", "record_id")
+    port = edges.where("rel_type = 'VISITED'").agg(F.min("dst")).first()[0]
+    return graph.reached_by(edges, "VISITED", port or "")
+
+
+@query(f"with {_K}, {_EDGES_SQL} select src, count(distinct dst) n from edges_ where rel_type = 'VISITED' group by 1 having count(distinct dst) > 5")
+def g_many_ports(spark, folder):
+    return graph.many_targets(graph.edges(records(spark, folder), "UpdateDate", "record_id"), "VISITED", 5)
+
+
+@query()
+def g_typed_vessels(spark, folder):
+    rows = records(spark, folder)
+    return graph.with_type(graph.vessel_nodes(rows, "record_id"), graph.edges(rows, "UpdateDate", "record_id"))
+
+
+@query()
+def g_record_entities(spark, folder):
+    return graph.entities_of(records(spark, folder), "record_id", "UpdateDate").select("record_id", F.to_json("entities").alias("entities"))
+
+
 @query(f"with {_K}, {_EDGES_SQL}, {_NODES_SQL} select distinct e.src, e.rel_type, e.dst, n.label, n.value from edges_ e join values_ n on e.dst = n.node_id where e.src in (select entity from k where flag = 'NO')")
 def g_neighbourhood(spark, folder):
     rows = records(spark, folder)
@@ -545,12 +572,23 @@ def _name_sql(a: str, b: str) -> str:
 
 _PAIRS_SQL = """p as (select distinct least(upper(trim(record_a_id)), upper(trim(record_b_id))) a, greatest(upper(trim(record_a_id)), upper(trim(record_b_id))) b from entity_matches where record_a_id is not null and record_b_id is not null and upper(trim(record_a_id)) <> upper(trim(record_b_id))),
  j as (select p.a, p.b, x.imo ai, y.imo bi, x.name an, y.name bn, x.mmsi am, y.mmsi bm, x.length al, y.length bl, x.width aw, y.width bw, x.grossTonnage ag, y.grossTonnage bg, x.builtYear ay, y.builtYear by_, x.shipBuilder ab, y.shipBuilder bb from p join vessel_records x on p.a = x.record_id join vessel_records y on p.b = y.record_id)"""
-_NEAR = "case when {0} > 0 and {1} > 0 then greatest(0.0, 1 - abs({0} - {1}) / greatest({0}, {1}) / 0.05::double) end"
-_SCORES_SQL = f"""s as (select *, case when ai > 0 and bi > 0 then (ai = bi)::int::double end s1, case when an <> '' and bn <> '' then {_name_sql('an', 'bn')} end s2, case when am <> 0 and bm <> 0 then (am = bm)::int::double end s3, {_NEAR.format('al', 'bl')} s4, {_NEAR.format('aw', 'bw')} s5, {_NEAR.format('ag', 'bg')} s6, case when ay <> 0 and by_ <> 0 then (ay = by_)::int::double end s7, case when ab <> '' and bb <> '' then {_name_sql('ab', 'bb')} end s8 from j),
- w as (select *, coalesce(s1*0.30::double,0)+coalesce(s2*0.20::double,0)+coalesce(s3*0.10::double,0)+coalesce(s4*0.10::double,0)+coalesce(s5*0.08::double,0)+coalesce(s6*0.07::double,0)+coalesce(s7*0.08::double,0)+coalesce(s8*0.07::double,0) top,
- (case when s1 is null then 0::double else 0.30::double end)+(case when s2 is null then 0::double else 0.20::double end)+(case when s3 is null then 0::double else 0.10::double end)+(case when s4 is null then 0::double else 0.10::double end)+(case when s5 is null then 0::double else 0.08::double end)+(case when s6 is null then 0::double else 0.07::double end)+(case when s7 is null then 0::double else 0.08::double end)+(case when s8 is null then 0::double else 0.07::double end) weight,
- (s1 is not null)::int+(s2 is not null)::int+(s3 is not null)::int+(s4 is not null)::int+(s5 is not null)::int+(s6 is not null)::int+(s7 is not null)::int+(s8 is not null)::int seen, coalesce(ai > 0 and ai = bi, false) exact from s),
- o as (select *, case when exact then 1.0::double else round_even(case when weight > 0 then top / weight else 0::double end, 4) end overall, case when exact then 1.0::double else round_even((case when weight > 0 then top / weight else 0::double end) * seen / 8, 4) end confidence from w)"""
+
+
+def _scores(weights: dict[str, float], tolerance: float, names: str) -> str:
+    near = lambda c: f"case when a{c} > 0 and b{c} > 0 then greatest(0.0, 1 - abs(a{c} - b{c}) / greatest(a{c}, b{c}) / {tolerance}::double) end"
+    packed = lambda c: f"replace(upper({c}), ' ', '')"
+    name = _name_sql if names == "full" else lambda x, y: f"round_even({_jaccard(packed(x), packed(y))}, 4)"
+    s = {"imo": "case when ai > 0 and bi > 0 then (ai = bi)::int::double end", "name": f"case when an <> '' and bn <> '' then {name('an', 'bn')} end", "mmsi": "case when am <> 0 and bm <> 0 then (am = bm)::int::double end", "length": near("l"), "width": near("w"), "gross_tonnage": near("g"), "built_year": "case when ay <> 0 and by_ <> 0 then (ay = by_)::int::double end", "builder": f"case when ab <> '' and bb <> '' then {name('ab', 'bb')} end"}
+    columns = ", ".join(f"{e} s{k}" for k, e in enumerate(s.values(), 1))
+    of = {n: f"s{k}" for k, n in enumerate(s, 1)}
+    top = " + ".join(f"coalesce({of[n]} * {w}::double, 0)" for n, w in weights.items())
+    weight = " + ".join(f"(case when {of[n]} is null then 0::double else {w}::double end)" for n, w in weights.items())
+    seen = " + ".join(f"({of[n]} is not null)::int" for n in weights)
+    return f"""s as (select *, {columns} from j), w as (select *, {top} top, {weight} weight, {seen} seen, coalesce(ai > 0 and ai = bi, false) exact from s),
+ o as (select *, case when exact then 1.0::double else round(cast(case when weight > 0 then top / weight else 0::double end as decimal(18, 10)), 4)::double end overall, case when exact then 1.0::double else round(cast((case when weight > 0 then top / weight else 0::double end) * seen / {len(weights)} as decimal(18, 10)), 4)::double end confidence from w)"""
+
+
+_SCORES_SQL = _scores(resolve.WEIGHTS, 0.05, "full")
 
 
 @query(f"with {_PAIRS_SQL} select a, b, {_name_sql('an', 'bn')} similarity from j where an <> '' and bn <> ''")
@@ -568,6 +606,16 @@ def r_pair_scores(spark, folder):
     return _scored(spark, folder).select("a", "b", "overall", "confidence")
 
 
+@query(f"with {_PAIRS_SQL}, {_scores(resolve.TOOL_WEIGHTS, 0.10, 'chars')} select a, b, overall, confidence from o")
+def r_tool_scores(spark, folder):
+    return resolve.scored(_pairs(spark, folder), resolve.TOOL_WEIGHTS, 0.10, "chars").select("a", "b", "overall", "confidence")
+
+
+@query(f"with {_PAIRS_SQL}, {_scores(resolve.BASIC_WEIGHTS, 0.10, 'chars')} select a, b, overall, confidence from o")
+def r_basic_scores(spark, folder):
+    return resolve.scored(_pairs(spark, folder), resolve.BASIC_WEIGHTS, 0.10, "chars", conflict=0.5).select("a", "b", "overall", "confidence")
+
+
 @query(f"""with {_PAIRS_SQL}, {_SCORES_SQL}, m as (select *, case when exact then 'exact_imo_match' when overall >= 0.9 then 'high_confidence' when overall >= 0.6 then 'probable_match' when overall >= 0.3 then 'uncertain' else 'no_match' end match_type from o)
 select a, b, match_type, exact or overall >= 0.6 same_entity, not exact and (match_type in ('probable_match', 'uncertain') or (coalesce(ai > 0 and bi > 0 and ai <> bi, false) and am is not distinct from bm)) needs_review from m""")
 def r_match_classes(spark, folder):
@@ -594,3 +642,9 @@ def h_learned_thresholds(spark, folder):
 g as (select attribute, abs(avg(x) filter (where same) - avg(x) filter (where not same)) gap from d where x is not null group by 1 having gap is not null) select attribute, round_even(gap / sum(gap) over (), 4) weight from g""")
 def h_learned_weights(spark, folder):
     return resolve.learned_weights(_scored(spark, folder), "scores", F.coalesce(F.col("a_mmsi") == F.col("b_mmsi"), F.lit(False)))
+
+
+@query()
+def z_report(spark, folder):
+    rows = validate.with_status(records(spark, folder), validate.standard_rules(AS_OF))
+    return alerts.report(rows, _scored(spark, folder), alerts.rule_alerts(_long(spark, folder), "record_id"))
