@@ -7,6 +7,8 @@ with their history of offsets, the one wins whose instants agree best with the t
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +59,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _settled(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` with new columns that later filters read instead of computing them again: none is pushed below a generator."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select(*keep, made).select(*keep, "_made.*")
+
+
 def _micros(fraction: Column) -> Column:
     """Microseconds of the digits after the point; further digits are dropped."""
     return F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
@@ -102,44 +110,40 @@ def read(rows: DataFrame, text: str, yearless: Column, order: str, arrived: str)
     o = F.coalesce(F.col(order), F.lit("dmy"))
     since = F.unix_micros(F.col(arrived).cast("timestamp"))
 
-    def numbers(p: Column) -> Column:
-        kind, a, b, c = (F.get(p, F.lit(k)) for k in range(4))
-        dealt = kind == "dealt"
-        year = F.when(dealt & (o == "ymd"), a).when(dealt, c).otherwise(a)
-        month = F.when(dealt & (o == "dmy"), b).when(dealt & (o == "mdy"), a).otherwise(b)
-        day = F.when(dealt & (o == "dmy"), a).when(dealt & (o == "mdy"), b).otherwise(c)
-        named = F.instr(F.lit(MONTHS), month)
-        m = F.when(month.rlike("^[A-Z]"), F.when(named % 3 == 1, ((named + 2) / 3).cast("int"))).otherwise(_int(month))
-        rest = [_int(F.get(p, F.lit(k))) for k in (4, 5, 6)]
-        return F.struct(
-            F.when(dealt, F.lit("date")).otherwise(kind).alias("k"), a.alias("a"), b.alias("b"), F.when(F.length(year) == 2, _int(year) + 2000).otherwise(_int(year)).alias("y"), m.alias("m"), _int(day).alias("d"), rest[0].alias("h"),
-            F.coalesce(rest[1], F.lit(0)).alias("mi"), F.coalesce(rest[2], F.lit(0)).alias("s"), _micros(F.get(p, F.lit(7))).alias("f"), F.get(p, F.lit(8)).alias("half"), F.coalesce(F.get(p, F.lit(9)), F.lit("")).alias("z"),
-        )
-
-    def clock(n: Column) -> Column:
-        h, mi, s, f, half = (n[k] for k in ("h", "mi", "s", "f", "half"))
-        hour = F.when(h.isNull(), 0).when(half.isin("AM", "PM"), F.when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))).otherwise(h)
-        return _let(hour, lambda x: F.when((x.between(0, 23) | ((x == 24) & (mi == 0) & (s == 0) & (f == 0))) & mi.between(0, 59) & s.between(0, 59), (x * 3600 + mi * 60 + s).cast("long") * 1_000_000 + f))
-
-    def instant(n: Column) -> Column:
-        kind, y, m, d = (n[k] for k in ("k", "y", "m", "d"))
-        new_year = F.when(y.between(1, 9999), F.make_date(y, F.lit(1), F.lit(1)))
-        ordinal = F.when(d.between(1, 366) & (F.year(F.date_add(new_year, d - 1)) == y), F.unix_date(new_year) + d - 1)
-        days = F.when(kind == "date", _days(y, m, d)).when(kind == "ordinal", ordinal)
-        first_year = F.year(F.date_from_unix_date(F.floor(since / DAY).cast("int")))
-        coming = _let(clock(n), lambda t: F.get(F.filter(F.transform(F.sequence(first_year - 1, first_year + 8), lambda x: _days(x, m, d).cast("long") * DAY + t), lambda x: x >= since), F.lit(0)))
-        count, fraction = n["a"].try_cast("long"), _micros(n["b"])
-        size = F.length(n["a"])
-        counted = F.when(size <= 11, count * 1_000_000 + fraction).when(size == 13, count * 1000 + F.floor(fraction / 1000)).when(size == 16, count).otherwise(F.floor(count / 1000))
-        wall = F.when(kind == "count", counted).when(kind == "yearless", F.when(yearless & since.isNotNull(), coming)).otherwise(days.cast("long") * DAY + clock(n))
-        utc = kind.isin("count", "yearless")
-        offset = F.when(utc, F.lit(0)).when(n["z"] != "", _offset(n["z"]))
-        zoneless = ~utc & (n["z"] == "")
-        return F.struct(F.when(zoneless | offset.isNotNull(), wall).cast("long").alias("wall"), offset.cast("long").alias("offset"), zoneless.alias("zoneless"))
-
-    # Each step binds its value once; written out, the expression would exceed what can be compiled.
-    done = _let(_let(_let(tidy(F.col(text)), lambda t: F.split(parts(t), r"\|")), numbers), instant)
-    return rows.withColumn("_t", done).select(*rows.columns, "_t.*")
+    # The patterns run once a text, inside a function of one array element: written out, they would exceed what can be
+    # compiled. Each later step is a projection of its own, so that no expression is repeated in the next.
+    df = rows.withColumn("_p", _let(tidy(F.col(text)), lambda t: F.split(parts(t), r"\|")))
+    p = lambda k: F.get("_p", F.lit(k))
+    df = df.withColumns({"_kind": p(0), "_a": p(1), "_b": p(2), "_c": p(3), "_half": p(8), "_z": F.coalesce(p(9), F.lit(""))})
+    kind, x, y, z = (F.col(c) for c in ("_kind", "_a", "_b", "_c"))
+    dealt = kind == "dealt"
+    df = df.withColumns({"_year": F.when(dealt & (o == "ymd"), x).when(dealt, z).otherwise(x), "_month": F.when(dealt & (o == "dmy"), y).when(dealt & (o == "mdy"), x).otherwise(y), "_day": F.when(dealt & (o == "dmy"), x).when(dealt & (o == "mdy"), y).otherwise(z)})
+    named = F.instr(F.lit(MONTHS), F.col("_month"))
+    month = F.when(F.col("_month") >= "A", F.when(named % 3 == 1, ((named + 2) / 3).cast("int"))).otherwise(_int(F.col("_month")))
+    df = df.withColumns({
+        "_y": F.when(F.length("_year") == 2, _int(F.col("_year")) + 2000).otherwise(_int(F.col("_year"))), "_m": month, "_d": _int(F.col("_day")),
+        "_h": _int(p(4)), "_mi": F.coalesce(_int(p(5)), F.lit(0)), "_s": F.coalesce(_int(p(6)), F.lit(0)), "_f": _micros(p(7)),
+    })
+    h, mi, sec, f, half = (F.col(c) for c in ("_h", "_mi", "_s", "_f", "_half"))
+    df = df.withColumn("_hour", F.when(h.isNull(), 0).when(half.isin("AM", "PM"), F.when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))).otherwise(h))
+    hour = F.col("_hour")
+    of_day = F.when((hour.between(0, 23) | ((hour == 24) & (mi == 0) & (sec == 0) & (f == 0))) & mi.between(0, 59) & sec.between(0, 59), (hour * 3600 + mi * 60 + sec).cast("long") * 1_000_000 + f)
+    year, m, d = F.col("_y"), F.col("_m"), F.col("_d")
+    first = F.when(year.between(1, 9999), F.when(kind == "ordinal", F.make_date(year, F.lit(1), F.lit(1))).when(m.between(1, 12), F.make_date(year, m, F.lit(1))))
+    df = df.withColumns({"_t": of_day, "_first": F.when(kind.isin("date", "dealt", "ordinal"), first)})
+    start = F.col("_first")
+    last = F.when(kind == "ordinal", F.dayofyear(F.add_months(start, 12) - F.expr("interval 1 day"))).otherwise(F.day(F.last_day(start)))
+    days = F.when(d.between(1, last), F.unix_date(start) + d - 1)
+    first_year = F.year(F.date_from_unix_date(F.floor(since / DAY).cast("int")))
+    tries = F.transform(F.sequence(first_year - 1, first_year + 8), lambda n: _days(n, m, d).cast("long") * DAY + F.col("_t"))
+    coming = F.get(F.filter(tries, lambda t: t >= since), F.lit(0))
+    count, fraction, size = x.try_cast("long"), _micros(y), F.length(x)
+    counted = F.when(size <= 11, count * 1_000_000 + fraction).when(size == 13, count * 1000 + F.floor(fraction / 1000)).when(size == 16, count).otherwise(F.floor(count / 1000))
+    wall = F.when(kind == "count", counted).when(kind == "yearless", F.when(yearless & since.isNotNull(), coming)).otherwise(days.cast("long") * DAY + F.col("_t"))
+    utc = kind.isin("count", "yearless")
+    df = df.withColumns({"_wall": wall, "offset": F.when(utc, F.lit(0)).when(F.col("_z") != "", _offset(F.col("_z"))).cast("long"), "zoneless": ~utc & (F.col("_z") == "")})
+    wall = F.when(F.col("zoneless") | F.col("offset").isNotNull(), F.col("_wall")).cast("long")
+    return _settled(df, rows.columns, {"wall": wall, "offset": F.col("offset"), "zoneless": F.col("zoneless")})
 
 
 def estimate_zones(read_rows: DataFrame, source: str, arrived: str, zones: list[str]) -> DataFrame:
@@ -183,10 +187,10 @@ def to_utc(rows: DataFrame, row_id: str, source: str, arrived: str, fields: list
     done = done.join(F.broadcast(guessed), F.col(source) == F.col("_guess"), "left")
     zone = F.coalesce("_zone", "_guessed")
     instant = F.when(F.col("zoneless"), F.when(zone == "UTC", F.col("wall")).otherwise(_on_clock(F.col("wall"), zone))).otherwise(F.col("wall") - F.col("offset").cast("long") * 60_000_000)
-    done = done.select(row_id, "field_name", instant.alias("us")).where(F.col("us").isNotNull())
+    since, until = (int((dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days) * DAY for y in (first_year, last_year + 1))
+    done = _settled(done, [row_id, "field_name"], {"us": instant}).where((F.col("us") >= since) & (F.col("us") < until))
     day = F.date_from_unix_date(F.floor(F.col("us") / DAY).cast("int"))
-    done = done.where(F.col("us").between(-2 * 10**15, 2 * 10**16)).withColumn("_day", day).where(F.year("_day").between(first_year, last_year))
     second = F.floor(F.pmod(F.col("us"), F.lit(DAY)) / 1_000_000).cast("int")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    text = F.concat(F.col("_day").cast("string"), F.lit(" "), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60), F.lit("."), F.lpad(F.pmod(F.col("us"), F.lit(1_000_000)).cast("string"), 6, "0"))
+    text = F.concat(day.cast("string"), F.lit(" "), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60), F.lit("."), F.lpad(F.pmod(F.col("us"), F.lit(1_000_000)).cast("string"), 6, "0"))
     return done.select(row_id, "field_name", text.alias("utc_time"))
