@@ -48,6 +48,20 @@ def p7_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(rows, "group_id", "record_id", "UpdateDate", fields)
 
 
+def p7_golden(spark: SparkSession, folder: str) -> DataFrame:
+    """One record for each reviewed group, built field by field: the values and the records that give them; null where no
+    record of the group has a good value."""
+    rows, fields = _records(spark, folder)
+    chosen = survivor.surviving_fields(rows, "group_id", "record_id", "UpdateDate", fields)
+    own = {"imo": "imo", "gross_tonnage": "grossTonnage", "built_year": "builtYear"}
+    # record_id is unique, so each choice meets one row.
+    values = chosen.join(rows.select(F.col("record_id"), *own.values()), "record_id")
+    pick = lambda c, n: F.max(F.when(F.col("field_name") == n, F.col(c)))
+    groups = rows.where("group_id is not null").select("group_id").distinct()
+    built = values.groupBy("group_id").agg(*[pick(c, n).alias(n) for n, c in own.items()], *[pick("record_id", n).alias(f"{n}_from") for n in own])
+    return groups.join(built, "group_id", "left")
+
+
 def _leaked(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -88,7 +102,7 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
     return pii.masked(spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id"), "text")
 
 
-_ALL = (p6_found, p6_groups, p7_found, p7_survivors, p8_found, p8_coverage, p9_selection, p9_shares, p10_found, p10_masked)
+_ALL = (p6_found, p6_groups, p7_found, p7_golden, p7_survivors, p8_found, p8_coverage, p9_selection, p9_shares, p10_found, p10_masked)
 
 _IMO = "(r.imo between 1000000 and 9999999 and (((r.imo//1000000)%10)*7+((r.imo//100000)%10)*6+((r.imo//10000)%10)*5+((r.imo//1000)%10)*4+((r.imo//100)%10)*3+((r.imo//10)%10)*2)%10=r.imo%10)"
 
@@ -104,6 +118,12 @@ s as (select a, b from e union select b, a from e),
 r(a, b) as (select a, a from s union select r.a, s.b from r join s on r.b = s.a),
 g as (select a, min(b) group_root from r group by 1)
 select group_root, count(*) members from g group by 1""",
+    "p7_golden": f"""
+with q as (select r.*, coalesce(f.trust_rank, 2147483647) trust from vessel_records r left join feeds f on r.source = f.feed_code where group_id is not null),
+b as (select group_id, max(imo) imo, max(record_id) imo_from from (select * from q r where {_IMO} qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1),
+g as (select group_id, max(grossTonnage) gross_tonnage, max(record_id) gross_tonnage_from from (select * from q where grossTonnage > 0 and grossTonnage <= 300000 qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1),
+y as (select group_id, max(builtYear) built_year, max(record_id) built_year_from from (select * from q where builtYear between 1900 and 2025 qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1)
+select d.group_id, imo, gross_tonnage, built_year, imo_from, gross_tonnage_from, built_year_from from (select distinct group_id from q) d left join b using (group_id) left join g using (group_id) left join y using (group_id)""",
     "p7_found": f"""
 with q as (select r.*, coalesce(f.trust_rank, 2147483647) trust from vessel_records r left join feeds f on r.source = f.feed_code where group_id is not null),
 c as (select group_id, 'imo' field_name, record_id, trust, UpdateDate from q r where {_IMO}
