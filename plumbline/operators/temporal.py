@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import entity_key
+from plumbline.operators.ordered import ROWS_PER_PIECE, with_neighbours
 
 
 def observations(records: DataFrame, attributes: dict[str, str], at: str, seq: str) -> DataFrame:
@@ -15,27 +16,49 @@ def observations(records: DataFrame, attributes: dict[str, str], at: str, seq: s
     return records.select(entity_key().alias("entity_id"), F.col(at).alias("ts"), F.col(seq).alias("seq"), F.explode(each).alias("o")).select("entity_id", "o.attribute", "o.value", "ts", "seq").where("entity_id is not null and value is not null and ts is not null")
 
 
-def _by(order: str) -> W:
-    own = W.partitionBy("entity_id", "attribute")
-    return own.orderBy("seq") if order == "arrival" else own.orderBy("ts", "seq")
+def _in_order(rows: DataFrame, order: str, rows_per_piece: int) -> tuple[DataFrame, W]:
+    """``rows`` with ``piece`` and ``guest``, and the window in which each row sees its neighbours of (entity, attribute).
+
+    A hot entity is cut along time (see ``ordered``); in order of arrival, whose keys may be texts, entities stay whole.
+    """
+    own = rows.withColumns({"_key": F.xxhash64("entity_id", "attribute"), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    if order == "arrival":
+        return own.withColumns({"piece": F.lit(0), "guest": F.lit(False)}), W.partitionBy("entity_id", "attribute").orderBy("seq")
+    # The hash only counts and cuts; windows are by the names themselves.
+    cut = with_neighbours(own, "_key", "_at", "seq", 1, own.select("_key", "_at"), rows_per_piece)
+    return cut, W.partitionBy("entity_id", "attribute", "piece").orderBy("_at", "seq")
 
 
-def intervals(obs: DataFrame, order: str = "time") -> DataFrame:
+def intervals(obs: DataFrame, order: str = "time", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """(…, valid_from, valid_to): each observation until the next one; ``order`` time or arrival."""
-    return obs.select("entity_id", "attribute", "value", "seq", F.col("ts").alias("valid_from"), F.lead("ts").over(_by(order)).alias("valid_to"))
+    rows, w = _in_order(obs, order, rows_per_piece)
+    return rows.withColumn("valid_to", F.lead("ts").over(w)).where(~F.col("guest")).select("entity_id", "attribute", "value", "seq", F.col("ts").alias("valid_from"), "valid_to")
 
 
-def timeline(obs: DataFrame, order: str = "time") -> DataFrame:
+def timeline(obs: DataFrame, order: str = "time", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """(…, ts, old_value, value): observations with the value before."""
-    return obs.select("entity_id", "attribute", "ts", "seq", F.lag("value").over(_by(order)).alias("old_value"), "value")
+    rows, w = _in_order(obs, order, rows_per_piece)
+    return rows.withColumn("old_value", F.lag("value").over(w)).where(~F.col("guest")).select("entity_id", "attribute", "ts", "seq", "old_value", "value")
 
 
-def islands(obs: DataFrame, order: str = "time") -> DataFrame:
-    """(entity_id, attribute, value, start_date, end_date, n): runs of equal values; a run ends where the next starts."""
-    w = _by(order)
-    marked = obs.withColumn("run", F.sum(F.when(F.col("value").eqNullSafe(F.lag("value").over(w)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = marked.groupBy("entity_id", "attribute", "run").agg(F.first("value").alias("value"), F.min("ts").alias("start_date"), F.count(F.lit(1)).alias("n"))
-    return runs.withColumn("end_date", F.lead("start_date").over(W.partitionBy("entity_id", "attribute").orderBy("run"))).select("entity_id", "attribute", "value", "start_date", "end_date", "n", "run")
+def islands(obs: DataFrame, order: str = "time", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """(entity_id, attribute, value, start_date, end_date, n, run, old_value): runs of equal values.
+
+    A run ends where the next starts, and ``run`` (the place of its first row) orders an attribute's runs. Rows are only
+    compared with the one before; a run's length is the distance between starts, so no task needs to hold a whole run.
+    """
+    rows, w = _in_order(obs, order, rows_per_piece)
+    rows = rows.withColumn("old_value", F.lag("value").over(w)).where(~F.col("guest"))
+    rows = rows.withColumn("_place", F.row_number().over(w))
+    sizes = rows.groupBy("entity_id", "attribute", "piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = W.partitionBy("entity_id", "attribute")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_all": F.sum("_n").over(own)}).drop("_n")
+    starts = rows.where(~F.col("value").eqNullSafe(F.col("old_value"))).join(sizes, ["entity_id", "attribute", "piece"])
+    starts = starts.withColumn("run", F.col("_before") + F.col("_place")).drop("piece", "guest", "_place", "_before", "_key", "_at")
+    near, w = _in_order(starts, order, rows_per_piece)
+    near = near.withColumns({"end_date": F.lead("ts").over(w), "_next": F.lead("run").over(w)}).where(~F.col("guest"))
+    return near.select("entity_id", "attribute", "value", F.col("ts").alias("start_date"), "end_date", (F.coalesce("_next", F.col("_all") + 1) - F.col("run")).alias("n"), "run", "old_value")
 
 
 def state_at(spans: DataFrame, moment) -> DataFrame:
@@ -79,6 +102,5 @@ def canonical_entities(runs: DataFrame) -> DataFrame:
 
 def changes(runs: DataFrame, attribute: str, since=None) -> DataFrame:
     """(entity_id, old_value, value, changed_at): real changes of an attribute, optionally from ``since`` on."""
-    w = W.partitionBy("entity_id").orderBy("run")
-    out = runs.where(F.col("attribute") == attribute).select("entity_id", F.lag("value").over(w).alias("old_value"), "value", F.col("start_date").alias("changed_at")).where("old_value is not null")
+    out = runs.where((F.col("attribute") == attribute) & F.col("old_value").isNotNull()).select("entity_id", "old_value", "value", F.col("start_date").alias("changed_at"))
     return out.where(F.col("changed_at") >= F.lit(since).cast("timestamp_ntz")) if since is not None else out

@@ -526,7 +526,7 @@ def t_timeline(spark, folder):
 
 @query(f"with {_OBS}, {_RUNS} select entity_id, attribute, value, start_date, end_date, n from spans")
 def t_islands(spark, folder):
-    return temporal.islands(_obs(spark, folder)).drop("run")
+    return temporal.islands(_obs(spark, folder)).drop("run", "old_value")
 
 
 @query(f"with {_OBS}, i as (select *, lead(ts) over {_W} valid_to from obs) select entity_id, attribute, arg_min(value, seq) as value from i where ts <= timestamp '2024-01-01' and (valid_to is null or timestamp '2024-01-01' < valid_to) group by 1, 2")

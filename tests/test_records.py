@@ -133,6 +133,20 @@ def test_time(spark):
     assert sorted(x["seq"] for x in temporal.states_for(temporal.intervals(same), probes).collect()) == ["2", "5"]
 
 
+def test_hot_entities_give_the_same_states(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(r.choice("eeef"), r.choice(["flag", "name"]), r.choice("AAB"), dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randint(0, 90)), f"{i:04d}") for i in range(600)]
+    obs = spark.createDataFrame(rows, "entity_id string, attribute string, value string, ts timestamp_ntz, seq string")
+    for f in (temporal.intervals, temporal.timeline, temporal.islands):
+        whole, cut = (sorted(map(tuple, f(obs, "time", n).collect()), key=str) for n in (10**6, 40))
+        assert whole == cut and len(whole) > 100
+    runs = temporal.islands(obs, "time", 40)
+    assert runs.agg(F.sum("n")).first()[0] == 600
+    assert temporal.islands(obs, "arrival").agg(F.sum("n")).first()[0] == 600
+
+
 def test_quality(spark):
     df = fleet(spark)
     assert {tuple(x)[:2] for x in quality.identifier_conflicts(df).collect()} == {("imo_to_mmsi", 9528574)}
