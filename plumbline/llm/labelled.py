@@ -14,6 +14,9 @@ Please contact {NAME} on {PHONE} or by mail to {EMAIL}.
 You may call {NAME} ({PHONE}) for the gate pass.
 {NAME} signed on with passport {ID_NUMBER}.
 {NAME} signed off in {town}, passport {ID_NUMBER}.
+{NAME} joined with passport {ID_NUMBER}.
+{NAME} signed on at {town} with passport {ID_NUMBER}.
+{NAME} is reached on {PHONE}.
 National id {ID_NUMBER}, home address {ADDRESS}, tel {PHONE}
 Tax no. {ID_NUMBER} / {NAME}
 Next of kin lives at {ADDRESS}.
@@ -25,6 +28,8 @@ Copies of the invoice to {EMAIL}.
 According to {NAME} the seal was intact; ring {PHONE} after hours.
 rgds\n{NAME}\n{PHONE}\n{EMAIL}
 Best regards\n{NAME}\n{EMAIL}
+regards\n{NAME}\n{PHONE}
+Rgds\n{NAME}\n{PHONE}\n{EMAIL}
 Send the spare parts to {ADDRESS}, {town}, attention {NAME}.
 Seaman book {ID_NUMBER} was not on board.
 Seaman's book {ID_NUMBER} of {NAME} has expired.
@@ -173,11 +178,11 @@ IDS = "AA-99999/99;AA9999999;AA 99 99 99 A;999-99-9999;9999 9999 9999 99;A999999
 
 
 def _address(r: random.Random) -> str:
-    number = str(r.randint(1, 240)) + r.choice(["", "", "", "a", "b", "A", "B", "-3"])
+    number = str(r.randint(1, 240)) + r.choice(["", "", "", "a", "b", "A", "B", "-3", "-3"])
     place = r.choice(TOWN_A) + r.choice(TOWN_B + [x.lower() for x in TOWN_A])
     form = r.random()
     if form < 0.5:
-        return ("Flat 2, " if r.random() < 0.2 else "") + f"{number} {place} {r.choice(['Street', 'Road', 'Lane', 'Ave.', 'Crescent'])}"
+        return ("Flat 2, " if r.random() < 0.35 else "") + f"{number} {place} {r.choice(['Street', 'Road', 'Lane', 'Ave.', 'Crescent'])}"
     if form < 0.67:
         return f"{place}{r.choice(['straße', 'weg', 'gasse'])} {number}"
     if form < 0.84:
@@ -231,7 +236,7 @@ def vocabulary() -> set[str]:
 
 
 def sequences(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``count`` texts of one to four sentences with their labelled spans (start, end, type); a tenth is in capitals.
+    """``count`` texts of one to four sentences with their labelled spans (start, end, type); about a sixth is in capitals.
 
     A quarter has no personal information; of these, half have Capitals At All Words."""
     import re
@@ -259,7 +264,7 @@ def sequences(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str
         if r.random() < 0.05:
             text, spans = f"<p>{text}</p>", [(a + 3, b + 3, kind) for a, b, kind in spans]
         draw = r.random()
-        if draw < 0.1 and len(text.upper()) == len(text):
+        if draw < 0.18 and len(text.upper()) == len(text):
             text = text.upper().replace("<P>", "<p>").replace("</P>", "</p>")
         elif not spans and draw < 0.5:
             text = text.title()

@@ -172,7 +172,7 @@ def decode(score: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray
     return out
 
 
-def train(count: int = 3600, rounds: int = 24, seed: int = 11, ridge: float = 1e-4) -> Field:
+def train(count: int = 8000, rounds: int = 24, seed: int = 11, ridge: float = 1e-4) -> Field:
     """Maximum-likelihood weights by AdaGrad over ``count`` labelled sequences; exact gradients by forward-backward."""
     data = labelled.sequences(count, seed)
     field = Field(labelled.vocabulary())
@@ -364,6 +364,8 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
     start += len(head.group()) if head else 0
     tail = regex.search(r"[^\d]+$" if kind == "PHONE" else r"[^\p{L}\p{N}.]+$" if kind == "ADDRESS" else r"[^\p{L}\p{N}]+$", text[start:end])
     end -= len(tail.group()) if tail else 0
+    if kind == "ADDRESS" and text[end : end + 1] == "." and regex.search(r"(?i)\b(?:Ave|Av|St|Str|Rd|Ln|Blvd)$", text[start:end]):
+        end += 1  # the stop of an abbreviation belongs to it
     piece = text[start:end]
     digits = sum(c.isdigit() for c in piece)
     good = {"NAME": digits == 0 and sum(c.isalpha() for c in piece) >= 2, "PHONE": digits >= 7, "ID_NUMBER": digits >= 5, "ADDRESS": digits >= 1 and any(c.isalpha() for c in piece), "EMAIL": "@" in piece or "at" in piece.lower()}[kind]
