@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_FOOTER = "file string, row_group int, rows long, column_name string, nulls long, low double, high double, low_text string, high_text string, dictionary boolean"
+_FOOTER = "file string, row_group int, rows long, column_name string, nulls long, low double, high double, low_text string, high_text string, low_time string, high_time string, dictionary boolean"
 
 
 def _open(uri: str, dictionary: list[str] | None = None):
@@ -31,13 +31,15 @@ def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """One row for each column chunk, read from the footers by tasks; statistics that are missing or unsure are null.
 
     Extremes of numbers go to low and high, those of strings to low_text and high_text (whole texts only, as writers may
-    shorten long ones: 16 bytes or fewer are taken). Floating extremes are ignored where they are not numbers.
+    shorten long ones: 16 bytes or fewer are taken), those of times, as text with microseconds, to low_time and
+    high_time. Floating extremes are ignored where they are not numbers.
     ``dictionary`` tells that the chunk has a dictionary page.
     """
     files = spark.read.parquet(path).inputFiles()
     wanted = set(columns)
 
     def read(batches):
+        import datetime as dt
         import math
 
         for pdf in batches:
@@ -52,13 +54,15 @@ def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                             continue
                         s = chunk.statistics
                         nulls = s.null_count if s is not None and s.has_null_count else None
-                        low = high = low_text = high_text = None
+                        low = high = low_text = high_text = low_time = high_time = None
                         if s is not None and s.has_min_max:
                             if isinstance(s.min, (int, float)) and not (isinstance(s.min, float) and (math.isnan(s.min) or math.isnan(s.max))):
                                 low, high = float(s.min), float(s.max)
                             elif isinstance(s.min, str) and len(s.min.encode()) <= 16 and len(s.max.encode()) <= 16:
                                 low_text, high_text = s.min, s.max
-                        out.append((uri, g, group.num_rows, chunk.path_in_schema, nulls, low, high, low_text, high_text, chunk.has_dictionary_page))
+                            elif isinstance(s.min, dt.datetime):
+                                low_time, high_time = (x.isoformat(" ", "microseconds")[:26] for x in (s.min, s.max))
+                        out.append((uri, g, group.num_rows, chunk.path_in_schema, nulls, low, high, low_text, high_text, low_time, high_time, chunk.has_dictionary_page))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOOTER.split(", ")])
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 256)))

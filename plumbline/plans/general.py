@@ -62,37 +62,57 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.where(case).select("load_id", "column_name", "measure")
 
 
-def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, nulls, extremes and distinct values of every column of the register's loads.
+def _profile(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows, nulls, extremes and distinct values of the columns of the register's loads, or those of ``kinds`` alone.
 
-    Nulls and extremes of numbers come from footers, distinct values from dictionaries; the columns that these don't
-    settle in every chunk are scanned in one pass.
+    Extremes of numbers are in low and high, those of texts and times in low_text and high_text. Nulls and extremes come
+    from footers, distinct values from dictionaries; what these don't settle in every chunk is scanned in one pass. A
+    footer doesn't tell whether a floating column holds NaN, so these are scanned.
     """
     path = f"{folder}/registry_loads.parquet"
-    df = spark.read.parquet(path)
-    numbers = [n for n, k in df.dtypes if k in ("bigint", "int")]
-    others = [n for n, k in df.dtypes if k == "string"]
-    chunks = profile.footers(spark, path, numbers + others)
-    sums = chunks.groupBy("column_name").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), F.min("low").alias("low"), F.max("high").alias("high"), F.min((F.col("nulls").isNotNull() & (F.col("low").isNotNull() | (F.col("nulls") == F.col("rows")))).cast("int")).alias("sure"), F.min(F.col("dictionary").cast("int")).alias("coded"), F.min(F.col("nulls").isNotNull().cast("int")).alias("counted")).collect()
+    df = table(spark, folder, "registry_loads")
+    kind = {n: k for n, k in df.dtypes if kinds is None or k in kinds}
+    sets = {"number": ("bigint", "int", "smallint", "tinyint"), "text": ("string",), "time": ("timestamp", "timestamp_ntz")}
+    of = {n: next((s for s, ks in sets.items() if k in ks), "scanned") for n, k in kind.items()}
+    chunks = profile.footers(spark, path, list(kind))
+    low, high = F.coalesce("low_text", "low_time"), F.coalesce("high_text", "high_time")
+    some = F.col("low").isNotNull() | low.isNotNull()
+    sums = chunks.groupBy("column_name").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(low).alias("low_text"), F.max(high).alias("high_text"), F.min((F.col("nulls").isNotNull() & (some | (F.col("nulls") == F.col("rows")))).cast("int")).alias("sure"), F.min(F.col("dictionary").cast("int")).alias("coded"), F.min(F.col("nulls").isNotNull().cast("int")).alias("counted")).collect()
     by = {r["column_name"]: r for r in sums}  # a row a column
-    coded = [c for c in by if by[c]["coded"]]
+    coded = [c for c in by if by[c]["coded"] and of[c] != "scanned"]
     words = profile.dictionary_values(spark, chunks.where(F.col("column_name").isin(coded))).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    scans = []
-    for c in numbers + others:
+    scans, seen_here = [], set()
+    for c in kind:
         r = by.get(c)
-        number = c in numbers
-        if r is None or not r["counted"] or (number and not r["sure"]):
-            scans += [F.count(F.lit(1)).alias(f"{c}:rows"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}:null")] + ([F.min(c).cast("double").alias(f"{c}:low"), F.max(c).cast("double").alias(f"{c}:high")] if number else [])
+        if r is None or not r["counted"]:
+            scans += [F.count(F.lit(1)).alias(f"{c}:rows"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}:null")]
+        if r is None or not r["sure"] or of[c] == "scanned":
+            seen_here.add(c)
+            as_number = kind[c] in (*sets["number"], "double", "float") or kind[c].startswith("decimal")
+            shown = (lambda x: x.cast("double")) if as_number else (lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")) if of[c] == "time" else (lambda x: x.cast("string"))
+            end = "" if as_number else "_text"
+            scans += [shown(F.min(c)).alias(f"{c}:low{end}"), shown(F.max(c)).alias(f"{c}:high{end}")]
         if c not in coded:
             scans.append(F.count_distinct(c).alias(f"{c}:distinct"))
     seen = df.agg(*scans).first().asDict() if scans else {}
     rows = []
-    for c in numbers + others:
+    for c in kind:
         r = by.get(c)
-        get = lambda what, old, c=c: seen.get(f"{c}:{what}", old)
-        rows.append((c, get("rows", r and r["n_rows"]), get("null", r and r["n_null"]), get("low", r["low"]) if c in numbers and r else None, get("high", r["high"]) if c in numbers and r else None, seen.get(f"{c}:distinct")))
-    base = spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, low double, high double, scanned long")
-    return base.join(F.broadcast(words), "column_name", "left").select("column_name", "n_rows", "n_null", "low", "high", F.coalesce("scanned", "n_distinct", F.lit(0)).alias("n_distinct"))
+        ends = [seen.get(f"{c}:{x}") if c in seen_here else r[x] for x in ("low", "high", "low_text", "high_text")]
+        rows.append((c, seen.get(f"{c}:rows", r and r["n_rows"]), seen.get(f"{c}:null", r and r["n_null"]), *ends, seen.get(f"{c}:distinct")))
+    base = spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, low double, high double, low_text string, high_text string, scanned long")
+    return base.join(F.broadcast(words), "column_name", "left").select("column_name", "n_rows", "n_null", "low", "high", "low_text", "high_text", F.coalesce("scanned", "n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls, extremes of numbers and distinct values of the whole-number and text columns of the register's loads;
+    p2_profile_all has every column."""
+    return _profile(spark, folder, ("bigint", "int", "string")).drop("low_text", "high_text")
+
+
+def p2_profile_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls, extremes and distinct values of every column of the register's loads, texts and times too."""
+    return _profile(spark, folder)
 
 
 TEXT_TIMES = ["eta", "last_position_updateTimestamp", "staticData_updateTimestamp", "UpdateDate"]
@@ -149,9 +169,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.versions(now, "imo", "valid_from", fields).select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_profile, p3_found, p3_zones, p4_found, p4_cutoffs, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_profile, p2_profile_all, p3_found, p3_zones, p4_found, p4_cutoffs, p5_found, p5_ledger)}
 
 _IMO_SQL = "({0} between 1000000 and 9999999 and ((({0}//1000000)%10)*7+(({0}//100000)%10)*6+(({0}//10000)%10)*5+(({0}//1000)%10)*4+(({0}//100)%10)*3+(({0}//10)%10)*2)%10={0}%10)"
+_LOAD_COLUMNS = {"number": ["row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "deadweight", "grossTonnage", "builtYear"], "text": ["name", "callsign", "flag", "vessel_type"], "time": ["InsertDate", "UpdateDate"]}
+_SHOWN = {"number": "null::varchar", "text": "{0}", "time": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"}
 
 SQL: dict[str, str] = {
     "p1_found": """
@@ -176,6 +198,11 @@ l as (select load_id, series_id, load_no, unnest(['imo','imo','imo','callsign','
 select a.load_id, a.column_name, a.measure from l a join l b on a.series_id = b.series_id and a.load_no = b.load_no + 1 and a.column_name = b.column_name and a.measure = b.measure
 where case when a.measure in ('median','p90') then a.v < 0.8*b.v or a.v > 1.25*b.v else abs(a.v-b.v) > 0.11 end""",
     "p2_profile": " union all ".join(f"select '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {low} low, {high} high, count(distinct {c}) n_distinct from registry_loads" for c, low, high in [(c, f"min({c})::double", f"max({c})::double") for c in ("row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "builtYear")] + [(c, "null::double", "null::double") for c in ("name", "callsign", "flag", "vessel_type")]),
+    "p2_profile_all": " union all ".join(
+        f"select '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {f'min({c})::double' if kind == 'number' else 'null::double'} low, {f'max({c})::double' if kind == 'number' else 'null::double'} high,"
+        f" {_SHOWN[kind].format(f'min({c})')} low_text, {_SHOWN[kind].format(f'max({c})')} high_text, count(distinct {c}) n_distinct from registry_loads"
+        for kind, columns in _LOAD_COLUMNS.items() for c in columns
+    ),
     "p4_found": """
 with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_speed) v, min(last_position_updateTimestamp) ts from position_reports group by 1),
 s as (select report_id, mmsi, ts, v, lag(v) over w p, lead(v) over w n, row_number() over w - row_number() over (partition by mmsi, v order by ts, report_id) g

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile
+from plumbline.plans import general
 
 
 def write(path, loads, row_group_size):
@@ -62,3 +64,18 @@ def test_shares_of_nothing_are_null(spark):
 def test_empty_table(spark, tmp_path):
     path = write(tmp_path / "t", [[]], 10)
     assert profile.value_counts(spark, path, "load_id", ["a", "b"]).count() == 0
+
+
+def test_profile_has_every_column(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n, 1, 2, 3, 4)
+    t = pa.table({"row_id": pa.array([1, 2, 3]), "name": ["b", "a name of more than sixteen bytes", None], "flag": ["LR", "NO", "LR"], "deadweight": [2.5, None, float("nan")], "InsertDate": pa.array([day(2), day(1), None], pa.timestamp("us")), "UpdateDate": pa.array([None] * 3, pa.timestamp("us"))})
+    pq.write_table(t.slice(0, 2), (tmp_path / "registry_loads.parquet"))
+    whole = {x["column_name"]: tuple(x)[1:] for x in general.p2_profile_all(spark, str(tmp_path)).collect()}
+    assert whole["name"] == (2, 0, None, None, "a name of more than sixteen bytes", "b", 2) and whole["flag"] == (2, 0, None, None, "LR", "NO", 2)
+    assert whole["deadweight"] == (2, 1, 2.5, 2.5, None, None, 1) and whole["UpdateDate"] == (2, 2, None, None, None, None, 0)
+    assert whole["InsertDate"] == (2, 0, None, None, "2024-01-01 01:02:03.000004", "2024-01-02 01:02:03.000004", 2)
+    (tmp_path / "n").mkdir()
+    pq.write_table(t, tmp_path / "n" / "registry_loads.parquet", row_group_size=1)
+    whole = {x["column_name"]: tuple(x)[1:] for x in general.p2_profile_all(spark, str(tmp_path / "n")).collect()}
+    assert whole["deadweight"][:3] == (3, 1, 2.5) and whole["deadweight"][3] != whole["deadweight"][3] and whole["deadweight"][-1] == 2
+    assert whole["InsertDate"] == (3, 1, None, None, "2024-01-01 01:02:03.000004", "2024-01-02 01:02:03.000004", 2)
