@@ -413,6 +413,12 @@ def o_tree_counts(spark, folder):
     return graph.tree_counts(records(spark, folder)).where(F.col("type").isin("Dry Bulk", "Container", "Tug", "Yacht", "Icebreaker", "Crude Tanker")).select("type", "n")
 
 
+@query(f"select t.category, t.type, count(v.vessel_type) n from {_TREE} left join vessel_records v on v.vessel_type = t.type group by grouping sets ((t.category, t.type), (t.category))")
+def o_tree(spark, folder):
+    """The whole ontology tree with its counts, zero rows and the totals of categories (type null); o_tree_counts has six types of it."""
+    return graph.tree_counts(records(spark, folder))
+
+
 _NODES_SQL = f"""values_ as (select 'imo_' || imo node_id, 'IMO' as label, cast(imo as varchar) as value from k where imo > 0 union select 'mmsi_' || mmsi, 'MMSI', cast(mmsi as varchar) from k where mmsi is not null union select 'flag_' || flag, 'Flag', flag from k where flag <> ''
  union select 'builder_' || md5(shipBuilder)[1:12], 'ShipBuilder', shipBuilder from k where shipBuilder <> '' union select case when coalesce(matchedPort_unlocode, '') <> '' then 'port_' || matchedPort_unlocode else 'port_' || md5(matchedPort_name)[1:12] end, 'Port', coalesce(matchedPort_unlocode, matchedPort_name) from k where coalesce(matchedPort_unlocode, matchedPort_name) <> ''
  union select 'type_' || md5(vessel_type)[1:12], 'VesselType', vessel_type from k where vessel_type <> '')"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ontology, text
 from plumbline.operators import graph, quality, resolve, temporal, validate
+from plumbline.plans import records as plans
 from plumbline.sources import vessels
 
 AS_OF = dt.datetime(2024, 6, 1)
@@ -110,6 +111,13 @@ def test_graph(spark):
     assert tree["Cargo Vessels", "Dry Bulk"] == 2 and tree["Cargo Vessels", None] == 2 and tree["Naval Vessels", "Naval Vessel"] == 0 and len(tree) == 59 + 11
 
 
+def test_tree_query_is_whole(spark, tmp_path):
+    fleet(spark).write.parquet(str(tmp_path / "vessel_records.parquet"))
+    tree = {(x["category"], x["type"]): x["n"] for x in plans.o_tree(spark, str(tmp_path)).collect()}
+    assert set(tree) == {(c, t) for c, types in ontology.CATEGORIES.items() for t in [*types, None]}
+    assert tree["Container Vessels", "Container"] == 1 and tree["Cargo Vessels", None] == 2 and tree["Gas Carriers", None] == 0
+
+
 def test_graph_is_written_by_kind(spark, tmp_path):
     df = fleet(spark)
     graph.write_graph(graph.nodes(df), graph.edges(df, "UpdateDate", "record_id"), str(tmp_path / "g"))
