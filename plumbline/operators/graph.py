@@ -110,12 +110,13 @@ def reached_by(edge_rows: DataFrame, rel_type: str, dst: str) -> DataFrame:
     return edge_rows.where((F.col("rel_type") == rel_type) & (F.col("dst") == dst)).select("src", "ts")
 
 
-def with_type(vessels: DataFrame, edge_rows: DataFrame, limit: int = 2000) -> DataFrame:
+def with_type(vessels: DataFrame, edge_rows: DataFrame, limit: int | None = 2000) -> DataFrame:
     """(node_id, type_id, category_id): vessels with their type and its category where they have them; ``limit`` is the
-    view's page size, in order of node_id."""
+    page size of an interactive view, in order of node_id; None gives all, in no order."""
     kind = edge_rows.where("rel_type = 'IS_TYPE'").select(F.col("src").alias("node_id"), F.col("dst").alias("type_id"))
     up = category_edges(vessels.sparkSession).select(F.col("src").alias("type_id"), F.col("dst").alias("category_id"))
-    return vessels.select("node_id").join(kind, "node_id", "left").join(F.broadcast(up), "type_id", "left").select("node_id", "type_id", "category_id").orderBy("node_id").limit(limit)
+    typed = vessels.select("node_id").join(kind, "node_id", "left").join(F.broadcast(up), "type_id", "left").select("node_id", "type_id", "category_id")
+    return typed if limit is None else typed.orderBy("node_id").limit(limit)
 
 
 def many_targets(edge_rows: DataFrame, rel_type: str, more_than: int) -> DataFrame:

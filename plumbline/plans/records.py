@@ -464,10 +464,10 @@ def g_many_ports(spark, folder):
     return graph.many_targets(graph.edges(records(spark, folder), "UpdateDate", "record_id"), "VISITED", 5)
 
 
-@query()
+@query(f"with {_K}, {_EDGES_SQL} select v.node_id, l.dst type_id, 'category_' || md5(t.category)[1:12] category_id from (select distinct entity node_id from k) v left join (select src, dst from lasting where rel_type = 'IS_TYPE') l on v.node_id = l.src left join {_TREE} on l.dst = 'type_' || md5(t.type)[1:12]")
 def g_typed_vessels(spark, folder):
     rows = records(spark, folder)
-    return graph.with_type(graph.vessel_nodes(rows, "record_id"), graph.edges(rows, "UpdateDate", "record_id"))
+    return graph.with_type(graph.vessel_nodes(rows, "record_id"), graph.edges(rows, "UpdateDate", "record_id"), limit=None)
 
 
 @query()

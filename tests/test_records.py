@@ -118,6 +118,15 @@ def test_tree_query_is_whole(spark, tmp_path):
     assert tree["Container Vessels", "Container"] == 1 and tree["Cargo Vessels", None] == 2 and tree["Gas Carriers", None] == 0
 
 
+def test_typed_vessels_are_all_there(spark, tmp_path):
+    rows = spark.range(1, 2102).select(*[(F.col("id").cast("string") if f == "record_id" else F.col("id") if f == "imo" else F.lit("Tug") if f == "vessel_type" else F.lit(None)).cast(k).alias(f) for f, k in (x.split() for x in GRAPH.split(", "))])
+    rows.write.parquet(str(tmp_path / "vessel_records.parquet"))
+    typed = plans.g_typed_vessels(spark, str(tmp_path))
+    assert typed.count() == 2101 and typed.where("type_id is null or category_id is null").count() == 0
+    edges = graph.edges(rows, "UpdateDate", "record_id")
+    assert graph.with_type(graph.vessel_nodes(rows, "record_id"), edges).count() == 2000
+
+
 def test_graph_is_written_by_kind(spark, tmp_path):
     df = fleet(spark)
     graph.write_graph(graph.nodes(df), graph.edges(df, "UpdateDate", "record_id"), str(tmp_path / "g"))
