@@ -21,32 +21,82 @@ def record_key(seq: str) -> Column:
     return F.coalesce(F.nullif(F.col("imo"), F.lit(0)).cast("string"), F.col("mmsi").cast("string"), F.col(seq).cast("string"))
 
 
-def blocks(records: DataFrame, key: str) -> DataFrame:
-    """(record, block): the keys that a record shares with possible partners: IMO, MMSI, each word of the name, and type
-    with built year. Words of fewer than three letters don't block."""
+def _block_keys() -> Column:
     words = F.filter(F.split(F.upper(F.trim(F.coalesce("name", F.lit("")))), r"\s+"), lambda w: F.length(w) >= 3)
-    keys = F.concat(
+    return F.concat(
         F.array_compact(F.array(F.when(F.col("imo") > 0, F.concat(F.lit("i:"), F.col("imo").cast("string"))), F.when(F.col("mmsi").isNotNull(), F.concat(F.lit("m:"), F.col("mmsi").cast("string"))), F.concat(F.lit("t:"), F.col("vessel_type"), F.lit(":"), F.col("builtYear").cast("string")))),
         F.transform(F.array_distinct(words), lambda w: F.concat(F.lit("n:"), w)),
     )
-    return records.select(F.col(key).alias("record"), F.explode(keys).alias("block"))
 
 
-def candidate_pairs(records: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """(a, b), a < b: records that share a block, each pair once.
+def blocks(records: DataFrame, key: str) -> DataFrame:
+    """(record, block): the keys that a record shares with possible partners: IMO, MMSI, each word of the name, and type
+    with built year. Words of fewer than three letters don't block."""
+    return records.select(F.col(key).alias("record"), F.explode(_block_keys()).alias("block"))
 
-    ``most`` leaves out blocks with more records, except that such a record still meets its partners through its other
-    blocks; None keeps all. Identical records should be merged before (see ``distinct_records``), so that no block holds
-    copies.
-    """
+
+def candidate_pairs(records: DataFrame, key: str) -> DataFrame:
+    """(a, b), a < b: records that share a block, each pair once; as many as the blocks hold, so for tables whose blocks
+    are small. ``duplicates`` finds the pairs above its score without making all of these."""
     keyed = blocks(records, key)
-    if most is not None:
-        small = keyed.groupBy("block").count().where(F.col("count") <= most).select("block")
-        keyed = keyed.join(small, "block", "left_semi")
     one, two = keyed.select("block", F.col("record").alias("a")), keyed.select("block", F.col("record").alias("b"))
     return one.join(two, "block").where("a < b").select("a", "b").distinct()
 
 
+#: The overall score above which a pair counts as a duplicate (fixed value).
+DUPLICATE = 0.85
+
+
+def duplicates(records: DataFrame, key: str) -> DataFrame:
+    """Every pair of ``candidate_pairs`` whose overall score by WEIGHTS is above DUPLICATE, classified.
+
+    Blocks of words, of type and year, and of MMSI 0 are split by second keys that lose no such pair. Its loss, the sum
+    of weight times (1 - score), is below 0.15 of the weights that can be compared, so:
+    two different IMO numbers (0.30) are too much, and without them that weight is at most 0.70;
+    two different MMSI numbers (0.10 of 0.105) leave nothing for a year that differs (0.08) or is missing (0.093 left);
+    else, if no MMSI is compared, the year is the same, or missing on a side, or it differs (0.08 of 0.09), and then all
+    the rest is there and lengths are within 0.5 %.
+    So a pair shares an IMO or MMSI number, or a block and the year (y), or a block in which its two records together
+    lack IMO, MMSI and year (b), or a block and a length (c) and together lack IMO and MMSI. What a record lacks is a set
+    of bits in the key: a left row has its own, a right row one for each set that completes its own.
+    """
+    there = lambda c: F.coalesce(c, F.lit(False))
+    no_imo, no_mmsi, no_year = (F.when(there(c), 0).otherwise(bit) for c, bit in ((F.col("imo") > 0, 1), (F.col("mmsi") != 0, 2), (F.col("builtYear") != 0, 4)))
+    of_number = lambda k: k.startswith("i:") | (k.startswith("m:") & (k != "m:0"))
+    keys = F.col("_keys")
+    numbers, shared = F.filter(keys, of_number), F.filter(keys, lambda k: ~of_number(k))
+    year, band = F.col("builtYear").cast("string"), F.floor(F.log(F.col("length")) / 0.0051)  # -ln(0.995) is less than a band
+
+    def made(route: str, sets: Column, *second: Column) -> Column:
+        return F.flatten(F.transform(sets, lambda q: F.transform(shared, lambda k: F.concat_ws("|", F.lit(route), q.cast("string"), *second, k))))
+
+    def full(own: Column, whole: int) -> Column:
+        return F.filter(F.array(*[F.lit(q) for q in range(whole + 1)]), lambda q: q.bitwiseOR(own) == whole)
+
+    none = F.array().cast("array<string>")
+    dated, measured = no_year == 0, (no_year == 0) & there(F.col("length") > 0)
+    left = F.concat(numbers, F.when(dated, made("y", F.array(no_imo), year)).otherwise(none), made("b", F.array(no_imo + no_mmsi + no_year)), F.when(measured, made("c", F.array(no_imo + no_mmsi), band.cast("string"))).otherwise(none))
+    near = F.concat(*[made("c", full(no_imo + no_mmsi, 3), (band + d).cast("string")) for d in (-1, 0, 1)])
+    right = F.concat(numbers, F.when(dated, made("y", full(no_imo, 1), year)).otherwise(none), made("b", full(no_imo + no_mmsi + no_year, 7)), F.when(measured, near).otherwise(none))
+
+    keyed = records.withColumn("_keys", _block_keys())
+    numeric = [c for c in COLUMNS if c not in ("name", "shipBuilder")]
+
+    def side(s: str, routes: Column) -> DataFrame:
+        filled = [there(F.col(c) != "").alias(f"{s}_has_{c}") for c in ("name", "shipBuilder")]
+        return keyed.select(F.explode(routes).alias("route"), F.col(key).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in numeric], *filled)
+
+    # The best score that a pair can have, with texts taken as equal, drops most pairs before texts are compared.
+    best = attribute_scores()
+    for n, c in (("name", "name"), ("builder", "shipBuilder")):
+        best[n] = F.when(F.col(f"a_has_{c}") & F.col(f"b_has_{c}"), F.lit(1.0))
+    top = reduce(lambda x, y: x + y, [F.coalesce(best[n] * F.lit(w), F.lit(0.0)) for n, w in WEIGHTS.items()])
+    weight = reduce(lambda x, y: x + y, [F.when(best[n].isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for n, w in WEIGHTS.items()])
+    same = there((F.col("a_imo") > 0) & (F.col("a_imo") == F.col("b_imo")))
+    pairs = side("a", left).join(side("b", right), "route").where((F.col("a") < F.col("b")) & (same | (top > weight * (DUPLICATE - 1e-9)))).select("a", "b").distinct()
+    return classified(scored(side_by_side(pairs, records, key))).where(F.col("overall") > DUPLICATE)
+
+
 def distinct_records(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(representatives, membership): records with equal compared attributes as one, the least key standing for them."""
     by = [c for c in (*COLUMNS, "vessel_type") if c in records.columns]

@@ -634,6 +634,24 @@ def r_exact_links(spark, folder):
     return rows.join(rows.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("n_links")), "class_id")
 
 
+_REPS_SQL = "reps as (select min(record_id) record_id, imo, name, mmsi, length, width, grossTonnage, builtYear, shipBuilder, vessel_type from vessel_records group by all)"
+_DUPLICATES_SQL = f"""{_REPS_SQL}, blocks as (select record_id, unnest(list_concat([case when imo > 0 then 'i:' || imo end, 'm:' || mmsi, 't:' || vessel_type || ':' || builtYear], list_transform(list_distinct(list_filter(regexp_split_to_array(upper(trim(coalesce(name, ''))), '\\s+'), lambda w: length(w) >= 3)), lambda w: 'n:' || w))) block from reps),
+ p as (select distinct x.record_id a, y.record_id b from blocks x join blocks y on x.block = y.block and x.record_id < y.record_id),
+ j as (select p.a, p.b, x.imo ai, y.imo bi, x.name an, y.name bn, x.mmsi am, y.mmsi bm, x.length al, y.length bl, x.width aw, y.width bw, x.grossTonnage ag, y.grossTonnage bg, x.builtYear ay, y.builtYear by_, x.shipBuilder ab, y.shipBuilder bb from p join reps x on p.a = x.record_id join reps y on p.b = y.record_id)"""
+
+
+@query(f"with {_DUPLICATES_SQL}, {_SCORES_SQL} select a, b, overall, confidence from o where overall > {resolve.DUPLICATE}::double")
+def r_duplicates(spark, folder):
+    """Duplicates among all records, not only the listed pairs; equal records are one here, r_equal_records has them."""
+    found, _ = resolve.distinct_records(source.sanitised(records(spark, folder)), "record_id")
+    return resolve.duplicates(found, "record_id").select("a", "b", "overall", "confidence")
+
+
+@query(f"with {_REPS_SQL} select v.record_id as member, r.record_id representative from vessel_records v join reps r on " + " and ".join(f"v.{c} is not distinct from r.{c}" for c in (*resolve.COLUMNS, "vessel_type")))
+def r_equal_records(spark, folder):
+    return resolve.distinct_records(source.sanitised(records(spark, folder)), "record_id")[1]
+
+
 @query(f"with {_PAIRS_SQL}, {_SCORES_SQL} select floor(overall * 10) / 10.0::double bin, count(*) total, count_if(coalesce(am = bm, false)) same, count_if(not coalesce(am = bm, false)) different from o group by 1")
 def h_score_bins(spark, folder):
     return resolve.score_bins(_scored(spark, folder), "overall", F.coalesce(F.col("a_mmsi") == F.col("b_mmsi"), F.lit(False)))

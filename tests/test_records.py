@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,31 @@ def test_pair_score_and_review(spark):
     assert rep.count() == 4 and members.where("representative = 'd'").count() == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_duplicates_are_all_candidates_above_the_score(spark, seed):
+    r = random.Random(seed)
+    some = lambda *values: r.choice([None, *values])
+    base = "record_id string, imo long, name string, mmsi long, length double, width double, grossTonnage double, builtYear int, shipBuilder string, vessel_type string"
+    rows = []
+    for k in range(400):  # a hot word in most names, values close enough that each way of being alike occurs
+        imo, mmsi = some(None, 0, 9528574, 9528575), some(None, 0, 1, 2, 3)
+        name = r.choice(["STAR", "OCEAN STAR", "OCEAN STAR", "STAR OF", "", None, "MOON"])
+        rows.append((f"{k:03}", imo, name, mmsi, some(100.0, 100.0, 100.3, 100.6, 104.0), some(20.0, 20.1), some(5000.0, 5010.0), some(0, 2001, 2002), some("YARD A", "YARD B"), some("Tug")))
+    df = spark.createDataFrame(rows, base)
+    every = resolve.scored(resolve.side_by_side(resolve.candidate_pairs(df, "record_id"), df, "record_id")).where(F.col("overall") > resolve.DUPLICATE)
+    want = {(x["a"], x["b"], x["overall"]) for x in every.collect()}
+    got = [(x["a"], x["b"], x["overall"]) for x in resolve.duplicates(df, "record_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    by = {x[0]: x for x in rows}
+    differ = lambda a, b, c: bool(by[a][c] and by[b][c] and by[a][c] != by[b][c])
+    assert any(differ(a, b, 3) for a, b, _ in want) and any(differ(a, b, 7) and not (by[a][1] and by[b][1]) for a, b, _ in want)
+
+
+def test_duplicates_outside_the_listed_pairs(spark, tmp_path):
+    fleet(spark).withColumn("record_id", F.concat(F.lit("x"), "record_id")).write.parquet(str(tmp_path / "vessel_records.parquet"))
+    assert {(x["a"], x["b"]) for x in plans.r_duplicates(spark, str(tmp_path)).collect()} == {("x1", "x2")}
+
+
 def test_learning(spark):
     rows = spark.createDataFrame([(i / 20, i > 10, {"x": i / 20, "y": 0.5}) for i in range(20)], "overall double, same boolean, scores map<string,double>")
     t = resolve.learned_thresholds(rows, "overall", F.col("same")).first()
