@@ -128,7 +128,20 @@ def v_alert_summary(spark, folder):
 # --- profiles and cross-record findings -------------------------------------------------------------------------------
 
 _PROFILED = ["imo", "mmsi", "name", "callsign", "length", "width", "vessel_type", "flag", "deadweight", "grossTonnage", "builtYear", "shipBuilder", "draught", "destination"]
-_PROFILE_SQL = " union all ".join(f"select '{c}' column_name, count({c}) non_null, count(*) - count({c}) n_null, round_even((count(*) - count({c})) * 100.0 / count(*), 2)::double null_pct, count(distinct {c}) n_distinct from vessel_records" for c in _PROFILED)
+#: All columns of vessel_records.
+_COLUMNS = {
+    "number": ["group_id", "imo", "mmsi", "length", "width", "deadweight", "grossTonnage", "netTonnage", "builtYear", "launchYear", "deadYear", "draught", "airDraught", "depth", "lengthOverall", "beamMoulded", "berthCount", "mainEngineCount", "propellerCount", "last_position_latitude", "last_position_longitude", "last_position_speed", "last_position_course", "last_position_heading", "matchedPort_latitude", "matchedPort_longitude"],
+    "text": ["record_id", "source", "name", "aisClass", "callsign", "vessel_type", "flag", "shipBuilder", "hullNumber", "mainEngineDesigner", "propulsionType", "engineDesignation", "propellerType", "destination", "matchedPort_name", "matchedPort_unlocode"],
+    "time": ["last_position_updateTimestamp", "eta", "staticData_updateTimestamp", "InsertDate", "UpdateDate"],
+}
+
+
+def _profile_sql(columns: list[str]) -> str:
+    return " union all ".join(f"select '{c}' column_name, count({c}) non_null, count(*) - count({c}) n_null, round_even((count(*) - count({c})) * 100.0 / count(*), 2)::double null_pct, count(distinct {c}) n_distinct from vessel_records" for c in columns)
+
+
+_PROFILE_SQL = _profile_sql(_PROFILED)
+_PROFILE_ALL_SQL = _profile_sql([c for columns in _COLUMNS.values() for c in columns])
 
 
 @query(_PROFILE_SQL)
@@ -141,6 +154,20 @@ def a_missing_report(spark, folder):
     return quality.missing_report(records(spark, folder), _PROFILED)
 
 
+@query(_PROFILE_ALL_SQL)
+def a_column_profile_all(spark, folder):
+    """Every column of the records; a_column_profile has fourteen of them."""
+    rows = records(spark, folder)
+    return quality.column_profile(rows, rows.columns)
+
+
+@query(f"select column_name, n_null, null_pct, non_null from ({_PROFILE_ALL_SQL})")
+def a_missing_report_all(spark, folder):
+    """Every column of the records; a_missing_report has fourteen of them."""
+    rows = records(spark, folder)
+    return quality.missing_report(rows, rows.columns)
+
+
 @query("select coalesce(sum(n - 1), 0)::bigint duplicate_rows from (select * exclude (raw_id), count(*) n from raw_feed group by all)")
 def a_exact_duplicates(spark, folder):
     return quality.exact_duplicates(table(spark, folder, "raw_feed").drop("raw_id"))

@@ -202,6 +202,15 @@ def test_quality(spark):
     assert quality.column_profile(empty, ["imo"]).first()["null_pct"] == 0.0 and quality.variation(empty, "imo", ["mmsi"]).count() == 0
 
 
+def test_reports_have_every_column(spark, tmp_path):
+    rows = fleet(spark).withColumn("deadYear", F.when(F.col("record_id") == "1", 2020))
+    rows.write.parquet(str(tmp_path / "vessel_records.parquet"))
+    profile = {x["column_name"]: x for x in plans.a_column_profile_all(spark, str(tmp_path)).collect()}
+    assert set(profile) == set(rows.columns) and (profile["deadYear"]["n_null"], profile["UpdateDate"]["n_distinct"]) == (3, 4)
+    missing = plans.a_missing_report_all(spark, str(tmp_path)).collect()
+    assert len(missing) == len(rows.columns) and (missing[0]["column_name"], missing[0]["null_pct"], missing[1]["column_name"], missing[1]["null_pct"]) == ("callsign", 100.0, "deadYear", 75.0)
+
+
 def test_csv_round_trip(spark, tmp_path):
     (tmp_path / "v.csv").write_text("imo,mmsi,name,length,UpdateDate,odd\n9074729,636013854.0,STAR,NaN,2024-01-02 03:04:05,z\nx,, ,12.5,yesterday,\n")
     df = vessels.read_csv(spark, str(tmp_path / "v.csv"))
