@@ -302,6 +302,16 @@ def s_inspect(spark, folder):
     return source.inspect(records(spark, folder).select("length", "width", "grossTonnage", "builtYear", "flag")).where("column_name <> 'flag'").select("column_name", "low", "high", "non_null")
 
 
+@query(" union all ".join(
+    f"select '{c}' column_name, count(*) as rows, count({c}) non_null, min({c})::double low, max({c})::double high, round_even(avg({c}), 4) mean, null::bigint kinds, null::varchar sample from vessel_records" if kind == "number" else
+    f"select '{c}' column_name, count(*) as rows, count({c}) non_null, null::double low, null::double high, null::double mean, count(distinct {c}) kinds, case when count(distinct {c}) between 1 and 20 then array_to_string(list_sort(list(distinct cast({c} as varchar)) filter (where {c} is not null)), ',') end sample from vessel_records"
+    for kind, columns in _COLUMNS.items() for c in columns
+))
+def s_inspect_all(spark, folder):
+    """Every column of the records with extremes and mean or kinds and values; s_inspect has the extremes of four."""
+    return joined(source.inspect(records(spark, folder)), "sample").withColumn("mean", F.bround("mean", 4))
+
+
 @query()
 def s_column_domains(spark, folder):
     return source.column_domains(records(spark, folder))

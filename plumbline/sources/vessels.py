@@ -75,12 +75,12 @@ def column_domains(df: DataFrame) -> DataFrame:
 
 
 def inspect(df: DataFrame, most_values: int = 20) -> DataFrame:
-    """(column_name, rows, non_null, low, high, mean, kinds, sample): numbers get extremes and mean, texts their kinds.
+    """(column_name, rows, non_null, low, high, mean, kinds, sample): numbers get extremes and mean, all others their kinds.
 
-    ``sample`` lists the values of a text column in order if there are at most ``most_values``. One pass over the data.
+    ``sample`` lists the values of a column that is no number, as texts in order, if there are at most ``most_values``.
     """
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in numbers:
         aggs.append(F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), F.avg(c).alias("mean"), F.lit(None).cast("long").alias("kinds")).alias(c))
@@ -89,7 +89,7 @@ def inspect(df: DataFrame, most_values: int = 20) -> DataFrame:
     one = df.agg(*aggs)
     long = one.select("_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in numbers + texts])).alias("e"))
     out = long.select("e.column_name", F.col("_rows").alias("rows"), F.col("e.s.n").alias("non_null"), F.col("e.s.lo").alias("low"), F.col("e.s.hi").alias("high"), F.col("e.s.mean").alias("mean"), F.col("e.s.kinds").alias("kinds"))
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("v")) for c in texts])).alias("e")).select("e.*").where("v is not null").distinct()
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("string").alias("v")) for c in texts])).alias("e")).select("e.*").where("v is not null").distinct()
     few = out.where((F.col("kinds") <= most_values) & (F.col("kinds") > 0)).select(F.col("column_name").alias("of"))
     sample = values.join(F.broadcast(few), "of", "left_semi").groupBy("of").agg(F.array_sort(F.collect_list("v")).alias("sample"))
     return out.join(sample, F.col("column_name") == F.col("of"), "left").drop("of")

@@ -231,3 +231,12 @@ def test_inspect(spark):
     got = {x["column_name"]: x for x in vessels.inspect(fleet(spark)).collect()}
     assert (got["length"]["low"], got["length"]["high"], got["flag"]["kinds"], got["flag"]["sample"]) == (225.0, 300.0, 3, ["HK", "LR", "MH"])
     assert {x["domain"] for x in vessels.column_domains(fleet(spark)).collect()} >= {"identifier", "static", "other"}
+
+
+def test_inspect_query_is_whole(spark, tmp_path):
+    rows = fleet(spark)
+    rows.write.parquet(str(tmp_path / "vessel_records.parquet"))
+    got = {x["column_name"]: x for x in plans.s_inspect_all(spark, str(tmp_path)).collect()}
+    assert set(got) == set(rows.columns)
+    assert (got["flag"]["kinds"], got["flag"]["sample"]) == (3, "HK,LR,MH") and (got["length"]["rows"], got["length"]["mean"]) == (4, 262.5)
+    assert (got["UpdateDate"]["kinds"], got["UpdateDate"]["sample"][:19]) == (4, "2024-01-01 00:00:00") and got["callsign"]["sample"] is None
