@@ -79,7 +79,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = spread(table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id"), table(spark, folder, "mixture_targets")
-    return mixture.mix(docs, "doc_id", "text", "source", targets, "target_share", "max_repeats", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return mixture.mix(docs, "doc_id", "text", "source", targets, "target_share", "max_repeats", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", each_row=True)
 
 
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,6 +50,17 @@ def test_mixture_reaches_shares(spark, seed):
     assert {tuple(x) for x in again.collect()} == {tuple(x) for x in rows}
 
 
+def test_each_row_is_capacity(spark):
+    docs = [(i, f"harbour {i % 20} wind", "a") for i in range(30)] + [(0, "harbour 0 wind", "a")] + [(100 + i, f"crane {i} barge", "b") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, share double, most int")
+    both = [mixture.mix(df, "doc_id", "text", "source", targets, "share", "most", VOCABULARY, each_row=e) for e in (False, True)]
+    chosen = [{x["doc_id"]: x["copies"] for x in s.where("source = 'a'").collect()} for s, _ in both]
+    assert set(chosen[0]) == set(range(20)) and set(chosen[1]) == set(range(30)) and set(chosen[1].values()) == {2}
+    tokens = [{x["source"]: x["tokens"] for x in s.collect()} for _, s in both]
+    assert abs(tokens[1]["a"] / tokens[0]["a"] - 1.5) < 0.1 and abs(tokens[1]["a"] - tokens[1]["b"]) < 20
+
+
 def test_tokens_and_empty_tables(spark):
     df = spark.createDataFrame([("Hello, world's end", 1), ("", 2), (None, 3), ("<|endoftext|>", 4)], "text string, k int")
     got = {x["k"]: x["tokens"] for x in mixture.token_counts(df, "text", VOCABULARY).collect()}
