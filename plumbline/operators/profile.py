@@ -1,164 +1,234 @@
-"""Column profiles from Parquet: footers where they settle the matter, dictionaries for candidates, scans for the rest.
+"""Column profiles from Parquet: footers where they settle the matter, data pages of single chunks for the rest.
 
-What a column holds is kept as counts of its values by group (a load). A column chunk whose footer proves one value
-throughout, or nulls alone, gives its counts without being read; a file with any other chunk is scanned for its columns.
+The unit is the column chunk of one row group. What its footer proves (rows, nulls, extremes, one value throughout) is
+taken from there; only chunks whose footer is not enough are read, each by itself, texts as dictionary codes. If facts
+are wanted by group (a load), a row group counts as settled only where its footer proves one group.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_FOOTER = "file string, row_group int, rows long, column_name string, nulls long, low double, high double, low_text string, high_text string, low_time string, high_time string, dictionary boolean"
+_CHUNK = "file string, row_group int, column_name string, rows long, nulls long, low double, high double, low_text string, high_text string, one string, alone boolean, of string"
+_FACT = "of string, column_name string, rows long, nulls long, low double, high double, low_text string, high_text string"
+_COUNT = "of string, column_name string, value string, n long"
+#: Rows of a chunk that are decoded at once.
+ROWS_AT_ONCE = 1 << 18
+
+
+def _arrow(ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def _open(uri: str, dictionary: list[str] | None = None):
     """A Parquet file named by Spark, on any file system that Arrow knows."""
-    from urllib.parse import unquote
-
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     if uri.startswith("file:"):
-        return pq.ParquetFile(unquote("/" + uri.removeprefix("file:").lstrip("/")), read_dictionary=dictionary)
+        return pq.ParquetFile("/" + uri.removeprefix("file:").lstrip("/"), read_dictionary=dictionary)
     system, path = fs.FileSystem.from_uri(uri)
     return pq.ParquetFile(path, filesystem=system, read_dictionary=dictionary)
 
 
-def footers(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """One row for each column chunk, read from the footers by tasks; statistics that are missing or unsure are null.
-
-    Extremes of numbers go to low and high, those of strings to low_text and high_text (whole texts only, as writers may
-    shorten long ones: 16 bytes or fewer are taken), those of times, as text with microseconds, to low_time and
-    high_time. Floating extremes are ignored where they are not numbers.
-    ``dictionary`` tells that the chunk has a dictionary page.
+def _proved(chunk) -> dict:
+    """What a chunk's footer proves. Extremes of texts only up to 16 bytes, as writers may shorten longer ones."""
+    import datetime as dt
+    import math
+
+    s = chunk.statistics
+    out = {"nulls": s.null_count if s is not None and s.has_null_count else None}
+    if s is None or not s.has_min_max:
+        return out
+    low, high = s.min, s.max
+    if isinstance(low, bool):
+        return out
+    if isinstance(low, (int, float)):
+        if not (math.isnan(low) or math.isnan(high)):
+            out |= {"low": float(low), "high": float(high)}
+        # Floating chunks may hold NaN that no footer tells, so only whole numbers prove one value.
+        one = str(low) if isinstance(low, int) and low == high else None
+    elif isinstance(low, dt.datetime):
+        low, high = (x.isoformat(" ", "microseconds")[:26] for x in (low, high))
+        out |= {"low_text": low, "high_text": high}
+        one = low if low == high else None
+    elif isinstance(low, str) and len(low.encode()) <= 16 and len(high.encode()) <= 16:
+        out |= {"low_text": low, "high_text": high}
+        one = low if low == high else None
+    else:
+        return out
+    return out | {"one": one if out["nulls"] == 0 else None}
+
+
+def chunks(spark: SparkSession, path: str, group: str | None, columns: list[str]) -> DataFrame:
+    """One row for each column chunk, read from the footers by tasks; what a footer doesn't prove is null.
+
+    Extremes of numbers are in low and high, those of texts and times (with microseconds) in low_text and high_text.
+    ``one`` is the value, as text, that the chunk holds throughout; ``alone`` tells that the row group holds one group,
+    ``of``, or that no group is asked for. A column that a file lacks is a chunk of nulls.
     """
-    files = spark.read.parquet(path).inputFiles()
-    wanted = set(columns)
+    # A scan of names alone: no content is read, and tasks grow in number with the bytes of the files.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+
+    schema = _arrow(_CHUNK)
 
     def read(batches):
-        import datetime as dt
-        import math
+        import pyarrow as pa
 
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for uri in pdf["file"]:
+            for uri in batch.column(0).to_pylist():
                 meta = _open(uri).metadata
                 for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for k in range(group.num_columns):
-                        chunk = group.column(k)
-                        if chunk.path_in_schema not in wanted:
-                            continue
-                        s = chunk.statistics
-                        nulls = s.null_count if s is not None and s.has_null_count else None
-                        low = high = low_text = high_text = low_time = high_time = None
-                        if s is not None and s.has_min_max:
-                            if isinstance(s.min, (int, float)) and not (isinstance(s.min, float) and (math.isnan(s.min) or math.isnan(s.max))):
-                                low, high = float(s.min), float(s.max)
-                            elif isinstance(s.min, str) and len(s.min.encode()) <= 16 and len(s.max.encode()) <= 16:
-                                low_text, high_text = s.min, s.max
-                            elif isinstance(s.min, dt.datetime):
-                                low_time, high_time = (x.isoformat(" ", "microseconds")[:26] for x in (s.min, s.max))
-                        out.append((uri, g, group.num_rows, chunk.path_in_schema, nulls, low, high, low_text, high_text, low_time, high_time, chunk.has_dictionary_page))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOOTER.split(", ")])
-
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 256)))
-    return listed.mapInPandas(read, _FOOTER)
-
-
-def dictionary_values(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    """(column_name, value) of chunks with a dictionary, each value once.
-
-    Rows of texts stay codes, and only their dictionary becomes values; what a writer put outside the dictionary, once it
-    was full, Arrow adds to it while reading. Numbers are read and made distinct in the chunk.
+                    row_group = meta.row_group(g)
+                    proved = {row_group.column(k).path_in_schema: _proved(row_group.column(k)) for k in range(row_group.num_columns)}
+                    of = proved.get(group, {}).get("one") if group else None
+                    for c in columns:
+                        known = proved.get(c, {"nulls": row_group.num_rows})
+                        out.append({"file": uri, "row_group": g, "column_name": c, "rows": row_group.num_rows, **known, "alone": group is None or of is not None, "of": of})
+            yield pa.RecordBatch.from_pylist(out, schema).select(names)
+
+    # Chunks are spread before any is read: the files of a small table may all lie in a few of the scan's tasks.
+    tasks = max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions())
+    return files.mapInArrow(read, _CHUNK).repartition(tasks, "file", "row_group", "column_name")
+
+
+def _from_chunks(found: DataFrame, group: str | None, wide: bool) -> DataFrame:
+    """The facts (``wide``) or value counts of chunks: from the footer where it settles them, else from the chunk's pages.
+
+    A chunk is decoded ``ROWS_AT_ONCE`` rows at a time, so counts and facts come in parts that the caller adds up.
     """
+    schema = _arrow(_FACT if wide else _COUNT)
 
-    def read(batches):
-        for pdf in batches:
-            out = []
-            for uri, part in pdf.groupby("file"):
-                for column, some in part.groupby("column_name"):
-                    f = _open(uri, [column])
-                    for g in some["row_group"]:
-                        col = f.read_row_group(int(g), columns=[column]).column(0)
-                        for piece in col.chunks:
-                            words = piece.dictionary if hasattr(piece, "dictionary") else piece.unique()
-                            out += [(column, str(w)) for w in words.to_pylist() if w is not None]
-            yield pd.DataFrame(sorted(set(out)), columns=["column_name", "value"])
+    def settled(r: dict) -> bool:
+        if not r["alone"] or r["nulls"] is None:
+            return False
+        empty = r["nulls"] == r["rows"]
+        return empty or (r["low"] is not None or r["low_text"] is not None if wide else r["one"] is not None)
 
-    return chunks.select("file", "row_group", "column_name").mapInPandas(read, "column_name string, value string").distinct()
+    def text(a):
+        import pyarrow as pa
 
+        return (a.cast(pa.timestamp("us")) if pa.types.is_timestamp(a.type) else a).cast(pa.string())
 
-def value_counts(spark: SparkSession, path: str, group: str, columns: list[str]) -> DataFrame:
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                c = r["column_name"]
+                if settled(r):
+                    done = {"of": r["of"], "column_name": c, "rows": r["rows"], "n": r["rows"], "value": r["one"], **{k: r[k] for k in ("nulls", "low", "high", "low_text", "high_text")}}
+                    yield pa.RecordBatch.from_pylist([{k: done[k] for k in schema.names}], schema)
+                    continue
+                keyed = not r["alone"]
+                for part in _open(r["file"], [c]).iter_batches(ROWS_AT_ONCE, [r["row_group"]], [group, c] if keyed else [c]):
+                    v = part.column(part.schema.get_field_index(c))
+                    words = None
+                    if pa.types.is_dictionary(v.type) and not wide:
+                        words, v = v.dictionary, v.indices
+                    elif pa.types.is_dictionary(v.type):
+                        v = v.dictionary_decode()
+                    if pa.types.is_floating(v.type):
+                        v = pc.add(v, pa.scalar(0.0, v.type))  # one zero
+                    of = part.column(part.schema.get_field_index(group)) if keyed else pa.nulls(len(v), pa.int8())
+                    t = pa.table({"of": of, "v": v})
+                    if wide:
+                        good = pc.if_else(pc.is_nan(v), None, v) if pa.types.is_floating(v.type) else v
+                        got = t.append_column("g", good).group_by("of").aggregate([("v", "count"), ("g", "min"), ("g", "max"), ([], "count_all")])
+                        number = pa.types.is_floating(v.type) or pa.types.is_integer(v.type) or pa.types.is_decimal(v.type)
+                        ends = [got["g_min"], got["g_max"]]
+                        none = pa.nulls(len(got))
+                        cols = {"rows": got["count_all"], "nulls": pc.subtract(got["count_all"], got["v_count"])}
+                        cols |= dict(zip(("low", "high"), [e.cast(pa.float64()) for e in ends] if number else [none, none], strict=True))
+                        cols |= dict(zip(("low_text", "high_text"), [none, none] if number else [text(e) for e in ends], strict=True))
+                    else:
+                        got = t.group_by(["of", "v"]).aggregate([([], "count_all")])
+                        value = got["v"].combine_chunks()
+                        cols = {"value": words.take(value).cast(pa.string()) if words is not None else text(value), "n": got["count_all"]}
+                    name = pa.array([c] * len(got), pa.string())
+                    whose = text(got["of"].combine_chunks()) if keyed else pa.array([r["of"]] * len(got), pa.string())
+                    made = pa.table({"of": whose, "column_name": name, **cols}).select(schema.names).cast(schema)
+                    yield from made.combine_chunks().to_batches()
+
+    return found.mapInArrow(read, _FACT if wide else _COUNT)
+
+
+def value_counts(spark: SparkSession, path: str, group: str | None, columns: list[str]) -> DataFrame:
     """(group, column_name, value, n): how often each value (as text; null for null) stands in each group's rows.
 
-    Files all of whose chunks of ``columns`` are settled by footers are not opened again: the group's chunk and the
-    column's chunk each prove a single value without nulls, or nulls alone. Other files are scanned for these columns.
+    Without ``group`` the whole table is one. Rows of a null group have a null group.
     """
-    kinds = dict(spark.read.parquet(path).dtypes)
-    chunks = footers(spark, path, [group, *columns])
-    # Numbers up to 2**53 keep their value as double; only then is an extreme an exact value.
-    single = ((F.col("nulls") == 0) & (F.col("low") == F.col("high")) & (F.abs("low") < 2.0**53)) | ((F.col("nulls") == 0) & (F.col("low_text") == F.col("high_text")))
-    empty = F.col("nulls") == F.col("rows")
-    settled = F.coalesce(single | (empty & (F.col("column_name") != group)), F.lit(False))
-    chunks = chunks.withColumn("settled", settled).withColumn("void", F.coalesce(empty, F.lit(False)))
-    by_file = {r["file"]: r["ok"] for r in chunks.groupBy("file").agg(F.min("settled").alias("ok")).collect()}  # one flag a file, as the listing has
-    known = [f for f, ok in by_file.items() if ok]
-    unsure = [f for f, ok in by_file.items() if not ok]
-    found = []
-    if known:
-        sure = chunks.where(F.col("file").isin(known))
-        keys = sure.where(F.col("column_name") == group).select("file", "row_group", F.coalesce(F.col("low").cast("long").cast("string"), "low_text").cast(kinds[group]).alias(group))
-        for c in columns:
-            value = F.col("low_text") if kinds[c] == "string" else F.col("low").cast(kinds[c]).cast("string")
-            found.append(sure.where(F.col("column_name") == c).join(keys, ["file", "row_group"]).select(group, F.lit(c).alias("column_name"), F.when(~F.col("void"), value).alias("value"), F.col("rows").alias("n")))
-    if unsure or not found:
-        rows = spark.read.parquet(*(unsure if known else [path])).select(group, *columns)
-        long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("v"))
-        found.append(long.groupBy(group, "v.column_name", "v.value").agg(F.count(F.lit(1)).alias("n")))
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    return counts if len(found) == 1 else counts.groupBy(group, "column_name", "value").agg(F.sum("n").alias("n"))
-
-
-def shares(counts: DataFrame, group: str, blank: Column, good: Column) -> DataFrame:
-    """(group, column_name, null_share, bad_share, distinct_share) from value counts; shares of nothing are null.
-
-    ``blank`` tells values that count as null, ``good`` well-formed ones; null counts as blank.
+    counts = _from_chunks(chunks(spark, path, group, columns), group, False)
+    by = [F.col("of").cast(dict(spark.read.parquet(path).dtypes)[group]).alias(group)] if group else []
+    return counts.groupBy(*by, "column_name", "value").agg(F.sum("n").alias("n"))
+
+
+def facts(spark: SparkSession, path: str, group: str | None, columns: list[str]) -> DataFrame:
+    """(group, column_name, n_rows, n_null, low, high, low_text, high_text) of ``columns``: rows, nulls and extremes.
+
+    Extremes of numbers are in low and high, NaN left out; those of texts and times in low_text and high_text.
     """
-    none = F.coalesce(F.col("value").isNull() | blank, F.lit(True))
-    n = F.col("n")
-    sums = counts.groupBy(group, "column_name").agg(
-        F.sum(n).alias("rows"), F.sum(F.when(none, n).otherwise(0)).alias("nulls"), F.sum(F.when(~none & ~F.coalesce(good, F.lit(False)), n).otherwise(0)).alias("bad"), F.sum(F.when(~none, 1).otherwise(0)).alias("kinds"),
-    )
-    there = F.col("rows") - F.col("nulls")
-    return sums.select(group, "column_name", "rows", F.try_divide("nulls", "rows").alias("null_share"), F.try_divide(F.col("bad"), there).alias("bad_share"), F.try_divide(F.col("kinds"), there).alias("distinct_share"))
+    found = _from_chunks(chunks(spark, path, group, columns), group, True)
+    by = [F.col("of").cast(dict(spark.read.parquet(path).dtypes)[group]).alias(group)] if group else []
+    ends = [f(c).alias(c) for c, f in (("low", F.min), ("high", F.max), ("low_text", F.min), ("high_text", F.max))]
+    return found.groupBy(*by, "column_name").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), *ends)
+
+
+def profile(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``facts`` of the whole table with ``n_distinct``, the number of distinct non-null values of each column."""
+    kinds = value_counts(spark, path, None, columns).groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+    return facts(spark, path, None, columns).join(kinds, "column_name")
 
 
-def quantiles(counts: DataFrame, group: str, fractions: dict[str, float], buckets: int = 1024) -> DataFrame:
-    """(group, name, x): linearly interpolated quantiles of ``value`` (double, no nulls) with multiplicity ``n``.
+def shares(counts: DataFrame, group: str, column: str, blank: Column, good: Column) -> list[Column]:
+    """Aggregates over value counts by ``group``: null_share, bad_share and distinct_share of ``column``.
 
-    Each group's range falls into ``buckets``; running totals over these find the ones that hold a wanted rank, and only
-    their values are put in order. No task orders a whole group.
+    ``blank`` tells values that count as null, ``good`` well-formed ones; null counts as blank. Shares of nothing are null.
+    """
+    here = F.col("column_name") == column
+    none = F.coalesce(F.col("value").isNull() | blank, F.lit(True))
+    n, one = F.col("n"), F.lit(1).cast("long")
+    total = lambda c, x: F.sum(F.when(here & c, x).otherwise(F.lit(0)))
+    there = total(~none, n)
+    return [
+        F.try_divide(total(none, n), total(F.lit(True), n)).alias(f"{column}:null_share"),
+        F.try_divide(total(~none & ~F.coalesce(good, F.lit(False)), n), there).alias(f"{column}:bad_share"),
+        F.try_divide(total(~none, one), there).alias(f"{column}:distinct_share"),
+    ]
+
+
+def quantiles(counts: DataFrame, group: str, fractions: dict[str, float], steps: int = 4096) -> DataFrame:
+    """(group, and one column a fraction): linearly interpolated quantiles of ``value`` (double, no nulls or NaN) with
+    multiplicity ``n``.
+
+    Values fall into buckets, ``steps`` for each doubling of their size, so no outlier spoils the width of others'.
+    Running totals over buckets find those that hold a wanted rank, and only their values are put in order: no task
+    orders a whole group.
     """
-    ends = counts.groupBy(group).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("all"))
-    bucket = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = counts.join(ends, group).select(group, "value", "n", "all", bucket.cast("int").alias("bucket"))
-    totals = placed.groupBy(group, "bucket").agg(F.sum("n").alias("held"), F.first("all").alias("all"))
-    before = F.coalesce(F.sum("held").over(W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("before", before)
-    found = None
-    for name, q in fractions.items():
-        at = F.lit(q) * (F.col("all") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = totals.where((rank >= F.col("before")) & (rank < F.col("before") + F.col("held"))).select(group, "bucket", F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"), "before", at.alias("at"))
-            found = hit if found is None else found.unionByName(hit)
-    order = W.partitionBy(group, "bucket", "name", "side").orderBy("value")
-    inside = placed.select(group, "bucket", "value", "n").join(found, [group, "bucket"])
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(order)).where(F.col("upto") > F.col("rank"))
-    ranks = inside.groupBy(group, "name").agg(F.min(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"), F.min(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"), F.first("at").alias("at"))
-    return ranks.select(group, "name", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("x"))
+    v = F.col("value")
+    size = F.floor(F.log2(F.abs(v)) * steps).cast("long") + 1100 * steps
+    bucket = F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+    placed = counts.select(group, v, "n", bucket.alias("bucket"))
+    totals = placed.groupBy(group, "bucket").agg(F.sum("n").alias("held"))
+    own = W.partitionBy(group)
+    upto = F.sum("held").over(own.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    totals = totals.withColumns({"before": upto - F.col("held"), "all": F.sum("held").over(own)})
+    at = {name: F.lit(q) * (F.col("all") - 1) for name, q in fractions.items()}
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(x).cast("long").alias("rank"), x.alias("at")) for name, x in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    inside = F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("held")))
+    hits = totals.withColumn("wanted", inside).where(F.size("wanted") > 0).select(F.col(group).alias("_g"), F.col("bucket").alias("_b"), "before", "wanted")
+    near = placed.join(hits, F.col(group).eqNullSafe(F.col("_g")) & (F.col("bucket") == F.col("_b")))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy(group, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto)
+    met = near.withColumn("w", F.explode(F.filter("wanted", lambda w: (w["rank"] < F.col("upto")) & (w["rank"] >= F.col("upto") - F.col("n")))))
+    side = lambda name, s: F.min(F.when((F.col("w.name") == name) & (F.col("w.side") == s), F.col("value")))
+    part = lambda name: F.min(F.when(F.col("w.name") == name, F.col("w.at") - F.floor("w.at")))
+    return met.groupBy(group).agg(*[(side(n, "lo") + (side(n, "hi") - side(n, "lo")) * part(n)).alias(n) for n in fractions])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import imo_is_valid
@@ -31,88 +32,57 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 CALLSIGN = r"\A[A-Z0-9]{4,7}\z"
 
 
-def _load_values(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.value_counts(spark, f"{folder}/registry_loads.parquet", "load_id", ["imo", "callsign", "deadweight"])
+PROFILED = ["imo", "callsign", "deadweight"]
 
 
-def p2_measures(spark: SparkSession, folder: str) -> DataFrame:
-    """Every measure of every load: (load_id, column_name, measure, value); null where it has no rows to stand on."""
-    counts = _load_values(spark, folder).where(F.col("load_id").isNotNull())
+def _load_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a load: series_id, load_no and every measure as a column named column:measure."""
+    path = f"{folder}/registry_loads.parquet"
+    counts = profile.value_counts(spark, path, "load_id", ["series_id", "load_no", *PROFILED]).where(F.col("load_id").isNotNull())
     name, value = F.col("column_name"), F.col("value")
-    blank = (name == "callsign") & (F.trim(value) == "")
     # A deadweight that is not a number is ill-formed; it is in no quantile.
     weight = value.try_cast("double")
-    good = F.when(name == "imo", imo_is_valid(value.try_cast("long"))).when(name == "callsign", value.rlike(CALLSIGN)).otherwise((weight > 0) & (weight <= 600_000))
-    wide = profile.shares(counts, "load_id", blank, good)
-    names = ("null_share", "bad_share", "distinct_share")
-    measures = wide.select("load_id", "column_name", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])).alias("m")).select("load_id", "column_name", "m.*")
-    weights = counts.where((name == "deadweight") & weight.isNotNull() & ~F.isnan(weight)).select("load_id", weight.alias("value"), "n")
-    q = profile.quantiles(weights, "load_id", {"median": 0.5, "p90": 0.9}).select("load_id", F.lit("deadweight").alias("column_name"), F.col("name").alias("measure"), F.col("x").alias("value"))
-    return measures.unionByName(q)
+    good = {"imo": imo_is_valid(value.try_cast("long")), "callsign": value.rlike(CALLSIGN), "deadweight": (weight > 0) & (weight <= 600_000)}
+    sums = [x for c in PROFILED for x in profile.shares(counts, "load_id", c, F.trim(value) == "" if c == "callsign" else F.lit(False), good[c])]
+    of = [F.min(F.when(name == c, value.try_cast(k))).alias(c) for c, k in (("series_id", "long"), ("load_no", "int"))]
+    wide = counts.groupBy("load_id").agg(*of, *sums)
+    # The condition reads n, a sum, with the name, so that it stays above the aggregation and both branches share it.
+    number = (name == "deadweight") & weight.isNotNull() & ~F.isnan(weight)
+    weights = counts.where(F.col("n") * number.cast("int") > 0).select("load_id", weight.alias("value"), "n")
+    q = profile.quantiles(weights, "load_id", {"deadweight:median": 0.5, "deadweight:p90": 0.9}).withColumnRenamed("load_id", "_load")
+    return wide.join(q, F.col("load_id") == F.col("_load"), "left").drop("_load")
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Measures in which a load differs from the load before it in its series."""
-    loads = table(spark, folder, "registry_loads", "load_id", "series_id", "load_no").where(F.col("load_id").isNotNull()).groupBy("load_id").agg(F.min("series_id").alias("series_id"), F.min("load_no").alias("load_no"))
-    measures = p2_measures(spark, folder).join(loads, "load_id").where(F.col("value").isNotNull())
-    before = measures.select("series_id", (F.col("load_no") + 1).alias("load_no"), "column_name", "measure", F.col("value").alias("old"))
-    pair = measures.join(before, ["series_id", "load_no", "column_name", "measure"])
-    ratio = F.col("measure").isin("median", "p90")
-    case = F.when(ratio, (F.col("value") < 0.8 * F.col("old")) | (F.col("value") > 1.25 * F.col("old"))).otherwise(F.abs(F.col("value") - F.col("old")) > 0.11)
-    return pair.where(case).select("load_id", "column_name", "measure")
+def _measures_long(wide: DataFrame, *keep: str) -> DataFrame:
+    pairs = [c.split(":") for c in wide.columns if ":" in c]
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("measure"), F.col(f"`{c}:{m}`").alias("value")) for c, m in pairs])
+    return wide.select("load_id", *keep, F.explode(each).alias("m")).select("load_id", *keep, "m.*")
 
 
-def _profile(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows, nulls, extremes and distinct values of the columns of the register's loads, or those of ``kinds`` alone.
+def p2_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every measure of every load: (load_id, column_name, measure, value); null where it has no rows to stand on."""
+    return _measures_long(_load_measures(spark, folder))
 
-    Extremes of numbers are in low and high, those of texts and times in low_text and high_text. Nulls and extremes come
-    from footers, distinct values from dictionaries; what these don't settle in every chunk is scanned in one pass. A
-    footer doesn't tell whether a floating column holds NaN, so these are scanned.
-    """
-    path = f"{folder}/registry_loads.parquet"
-    df = table(spark, folder, "registry_loads")
-    kind = {n: k for n, k in df.dtypes if kinds is None or k in kinds}
-    sets = {"number": ("bigint", "int", "smallint", "tinyint"), "text": ("string",), "time": ("timestamp", "timestamp_ntz")}
-    of = {n: next((s for s, ks in sets.items() if k in ks), "scanned") for n, k in kind.items()}
-    chunks = profile.footers(spark, path, list(kind))
-    low, high = F.coalesce("low_text", "low_time"), F.coalesce("high_text", "high_time")
-    some = F.col("low").isNotNull() | low.isNotNull()
-    sums = chunks.groupBy("column_name").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("n_null"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(low).alias("low_text"), F.max(high).alias("high_text"), F.min((F.col("nulls").isNotNull() & (some | (F.col("nulls") == F.col("rows")))).cast("int")).alias("sure"), F.min(F.col("dictionary").cast("int")).alias("coded"), F.min(F.col("nulls").isNotNull().cast("int")).alias("counted")).collect()
-    by = {r["column_name"]: r for r in sums}  # a row a column
-    coded = [c for c in by if by[c]["coded"] and of[c] != "scanned"]
-    words = profile.dictionary_values(spark, chunks.where(F.col("column_name").isin(coded))).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    scans, seen_here = [], set()
-    for c in kind:
-        r = by.get(c)
-        if r is None or not r["counted"]:
-            scans += [F.count(F.lit(1)).alias(f"{c}:rows"), F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}:null")]
-        if r is None or not r["sure"] or of[c] == "scanned":
-            seen_here.add(c)
-            as_number = kind[c] in (*sets["number"], "double", "float") or kind[c].startswith("decimal")
-            shown = (lambda x: x.cast("double")) if as_number else (lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")) if of[c] == "time" else (lambda x: x.cast("string"))
-            end = "" if as_number else "_text"
-            scans += [shown(F.min(c)).alias(f"{c}:low{end}"), shown(F.max(c)).alias(f"{c}:high{end}")]
-        if c not in coded:
-            scans.append(F.count_distinct(c).alias(f"{c}:distinct"))
-    seen = df.agg(*scans).first().asDict() if scans else {}
-    rows = []
-    for c in kind:
-        r = by.get(c)
-        ends = [seen.get(f"{c}:{x}") if c in seen_here else r[x] for x in ("low", "high", "low_text", "high_text")]
-        rows.append((c, seen.get(f"{c}:rows", r and r["n_rows"]), seen.get(f"{c}:null", r and r["n_null"]), *ends, seen.get(f"{c}:distinct")))
-    base = spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, low double, high double, low_text string, high_text string, scanned long")
-    return base.join(F.broadcast(words), "column_name", "left").select("column_name", "n_rows", "n_null", "low", "high", "low_text", "high_text", F.coalesce("scanned", "n_distinct", F.lit(0)).alias("n_distinct"))
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures in which a load differs from a load before it in its series, each once."""
+    measures = _measures_long(_load_measures(spark, folder), "series_id", "load_no").where(F.col("value").isNotNull() & F.col("series_id").isNotNull() & F.col("load_no").isNotNull())
+    before = F.collect_list("value").over(W.partitionBy("series_id", "column_name", "measure").orderBy("load_no").rangeBetween(-1, -1))
+    now = F.col("value")
+    ratio = F.col("measure").isin("median", "p90")
+    case = F.exists("before", lambda old: F.when(ratio, (now < 0.8 * old) | (now > 1.25 * old)).otherwise(F.abs(now - old) > 0.11))
+    return measures.withColumn("before", before).where(case).select("load_id", "column_name", "measure")
 
-def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, nulls, extremes of numbers and distinct values of the whole-number and text columns of the register's loads;
-    p2_profile_all has every column."""
-    return _profile(spark, folder, ("bigint", "int", "string")).drop("low_text", "high_text")
 
+def p2_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls and value range of imo, callsign and deadweight in each load."""
+    return profile.facts(spark, f"{folder}/registry_loads.parquet", "load_id", PROFILED).where(F.col("load_id").isNotNull())
 
-def p2_profile_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, nulls, extremes and distinct values of every column of the register's loads, texts and times too."""
-    return _profile(spark, folder)
+
+def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls, extremes and distinct values of every column of the register's loads."""
+    path = f"{folder}/registry_loads.parquet"
+    return profile.profile(spark, path, spark.read.parquet(path).columns)
 
 
 TEXT_TIMES = ["eta", "last_position_updateTimestamp", "staticData_updateTimestamp", "UpdateDate"]
@@ -143,11 +113,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.implausible(table(spark, folder, "position_reports"))
 
 
+def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings beyond the tail cutoff of their own source at a risk of 1 in 1,000."""
+    return spikes.flags(table(spark, folder, "position_reports"))
+
+
 def p4_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """The tail cutoff of speed residuals that the reports of each source give."""
-    reports, counted = spikes.reports_in_order(table(spark, folder, "position_reports"))
+    raw = table(spark, folder, "position_reports")
+    reports, counted = spikes.reports_in_order(raw)
     series = spikes.speed_series(reports, counted, 60.0, 8, 3.0)
-    return spikes.cutoffs(series).groupBy("source").agg(F.first("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("hours"))
+    found = spikes.cutoffs(series).groupBy("source").agg(F.first("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("hours"))
+    return spikes.named(found, raw)
 
 
 def _said(c: str) -> F.Column:
@@ -169,12 +146,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.versions(now, "imo", "valid_from", fields).select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_profile, p2_profile_all, p3_found, p3_zones, p4_found, p4_cutoffs, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_ranges, p2_profile, p3_found, p3_zones, p4_found, p4_flags, p4_cutoffs, p5_found, p5_ledger)}
 
 _IMO_SQL = "({0} between 1000000 and 9999999 and ((({0}//1000000)%10)*7+(({0}//100000)%10)*6+(({0}//10000)%10)*5+(({0}//1000)%10)*4+(({0}//100)%10)*3+(({0}//10)%10)*2)%10={0}%10)"
 _LOAD_COLUMNS = {"number": ["row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "deadweight", "grossTonnage", "builtYear"], "text": ["name", "callsign", "flag", "vessel_type"], "time": ["InsertDate", "UpdateDate"]}
 _SHOWN = {"number": "null::varchar", "text": "{0}", "time": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"}
 
+_MEASURES_SQL = f"""m as (select load_id, min(series_id) series_id, min(load_no) load_no, count(*) n,
+ count(imo) i_n, count_if(imo is not null and not {_IMO_SQL.format("imo")}) i_bad, count(distinct imo) i_d,
+ count(nullif(trim(callsign), '')) c_n, count_if(trim(callsign) <> '' and not regexp_full_match(callsign, '[A-Z0-9]{{4,7}}')) c_bad, count(distinct case when trim(callsign) <> '' then callsign end) c_d,
+ count(deadweight) d_n, count_if(deadweight is not null and not (deadweight > 0 and deadweight <= 600000)) d_bad, count(distinct deadweight) d_d,
+ quantile_cont(deadweight, 0.5) med, quantile_cont(deadweight, 0.9) p90 from registry_loads group by load_id),
+l as (select load_id, series_id, load_no, unnest(['imo','imo','imo','callsign','callsign','callsign','deadweight','deadweight','deadweight','deadweight','deadweight']) column_name,
+ unnest(['null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','median','p90']) measure,
+ unnest([(n-i_n)/n, i_bad/nullif(i_n,0), i_d/nullif(i_n,0), (n-c_n)/n, c_bad/nullif(c_n,0), c_d/nullif(c_n,0), (n-d_n)/n, d_bad/nullif(d_n,0), d_d/nullif(d_n,0), med, p90]) v from m)"""
+
 SQL: dict[str, str] = {
     "p1_found": """
 with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_updateTimestamp) ts from position_reports group by 1),
@@ -187,18 +173,15 @@ select 'vessel', a.report_id, b.report_id from u a join u b on a.report_id < b.r
  and b.ts between a.ts - interval 120 second and a.ts + interval 120 second and abs(a.la - b.la) < 0.01
  and 2*6371008.8*asin(least(1, sqrt(sin(radians(b.la-a.la)/2)**2 + cos(radians(a.la))*cos(radians(b.la))*sin(radians(b.lo-a.lo)/2)**2))) <= 500""",
     "p2_found": f"""
-with m as (select load_id, min(series_id) series_id, min(load_no) load_no, count(*) n,
- count(imo) i_n, count_if(imo is not null and not {_IMO_SQL.format("imo")}) i_bad, count(distinct imo) i_d,
- count(nullif(trim(callsign), '')) c_n, count_if(trim(callsign) <> '' and not regexp_full_match(callsign, '[A-Z0-9]{{4,7}}')) c_bad, count(distinct case when trim(callsign) <> '' then callsign end) c_d,
- count(deadweight) d_n, count_if(deadweight is not null and not (deadweight > 0 and deadweight <= 600000)) d_bad, count(distinct deadweight) d_d,
- quantile_cont(deadweight, 0.5) med, quantile_cont(deadweight, 0.9) p90 from registry_loads group by load_id),
-l as (select load_id, series_id, load_no, unnest(['imo','imo','imo','callsign','callsign','callsign','deadweight','deadweight','deadweight','deadweight','deadweight']) column_name,
- unnest(['null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','null_share','bad_share','distinct_share','median','p90']) measure,
- unnest([(n-i_n)/n, i_bad/nullif(i_n,0), i_d/nullif(i_n,0), (n-c_n)/n, c_bad/nullif(c_n,0), c_d/nullif(c_n,0), (n-d_n)/n, d_bad/nullif(d_n,0), d_d/nullif(d_n,0), med, p90]) v from m)
+with {_MEASURES_SQL}
 select a.load_id, a.column_name, a.measure from l a join l b on a.series_id = b.series_id and a.load_no = b.load_no + 1 and a.column_name = b.column_name and a.measure = b.measure
 where case when a.measure in ('median','p90') then a.v < 0.8*b.v or a.v > 1.25*b.v else abs(a.v-b.v) > 0.11 end""",
-    "p2_profile": " union all ".join(f"select '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {low} low, {high} high, count(distinct {c}) n_distinct from registry_loads" for c, low, high in [(c, f"min({c})::double", f"max({c})::double") for c in ("row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "builtYear")] + [(c, "null::double", "null::double") for c in ("name", "callsign", "flag", "vessel_type")]),
-    "p2_profile_all": " union all ".join(
+    "p2_measures": f"with {_MEASURES_SQL} select load_id, column_name, measure, v as value from l",
+    "p2_ranges": " union all ".join(
+        f"select load_id, '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {f'min({c})::double' if c != 'callsign' else 'null::double'} low, {f'max({c})::double' if c != 'callsign' else 'null::double'} high, {'min(callsign)' if c == 'callsign' else 'null::varchar'} low_text, {'max(callsign)' if c == 'callsign' else 'null::varchar'} high_text from registry_loads group by 1"
+        for c in PROFILED
+    ),
+    "p2_profile": " union all ".join(
         f"select '{c}' column_name, count(*) n_rows, count(*) - count({c}) n_null, {f'min({c})::double' if kind == 'number' else 'null::double'} low, {f'max({c})::double' if kind == 'number' else 'null::double'} high,"
         f" {_SHOWN[kind].format(f'min({c})')} low_text, {_SHOWN[kind].format(f'max({c})')} high_text, count(distinct {c}) n_distinct from registry_loads"
         for kind, columns in _LOAD_COLUMNS.items() for c in columns
