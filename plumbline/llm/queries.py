@@ -49,17 +49,11 @@ def p7_survivors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_golden(spark: SparkSession, folder: str) -> DataFrame:
-    """One record for each reviewed group, built field by field: the values and the records that give them; null where no
-    record of the group has a good value."""
+    """One record for each reviewed group: the policy's pick of the first layer of dominance, with what it lacks filled from
+    the layers in turn; null where no record of the group has a good value."""
     rows, fields = _records(spark, folder)
-    chosen = survivor.surviving_fields(rows, "group_id", "record_id", "UpdateDate", fields)
     own = {"imo": "imo", "gross_tonnage": "grossTonnage", "built_year": "builtYear"}
-    # record_id is unique, so each choice meets one row.
-    values = chosen.join(rows.select(F.col("record_id"), *own.values()), "record_id")
-    pick = lambda c, n: F.max(F.when(F.col("field_name") == n, F.col(c)))
-    groups = rows.where("group_id is not null").select("group_id").distinct()
-    built = values.groupBy("group_id").agg(*[pick(c, n).alias(n) for n, c in own.items()], *[pick("record_id", n).alias(f"{n}_from") for n in own])
-    return groups.join(built, "group_id", "left")
+    return survivor.golden(rows, "group_id", "record_id", "UpdateDate", {n: (c, fields[n]) for n, c in own.items()})
 
 
 def _leaked(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +100,12 @@ _ALL = (p6_found, p6_groups, p7_found, p7_golden, p7_survivors, p8_found, p8_cov
 
 _IMO = "(r.imo between 1000000 and 9999999 and (((r.imo//1000000)%10)*7+((r.imo//100000)%10)*6+((r.imo//10000)%10)*5+((r.imo//1000)%10)*4+((r.imo//100)%10)*3+((r.imo//10)%10)*2)%10=r.imo%10)"
 
+#: Reviewed records with trust, time (nulls last) and good values, and when record a dominates record b.
+_RATED_SQL = f"""s as (select r.group_id, r.record_id, coalesce(f.trust_rank, 2147483647) trust, coalesce(r.UpdateDate, timestamp '0001-01-01') moment, case when {_IMO} then r.imo end i, case when r.grossTonnage > 0 and r.grossTonnage <= 300000 then r.grossTonnage end g, case when r.builtYear between 1900 and 2025 then r.builtYear end y
+ from vessel_records r left join feeds f on r.source = f.feed_code where r.group_id is not null),
+q as (select *, (i is not null)::int + (g is not null)::int + (y is not null)::int complete from s)"""
+_DOMINATES = "a.group_id = b.group_id and a.complete >= b.complete and a.trust <= b.trust and a.moment >= b.moment and (a.complete > b.complete or a.trust < b.trust or a.moment > b.moment)"
+
 SQL: dict[str, str] = {
     "p6_found": """
 with recursive e as (select distinct upper(trim(record_a_id)) a, upper(trim(record_b_id)) b from entity_matches where confidence_score between 0.85 and 1 and upper(trim(record_a_id)) <> upper(trim(record_b_id))),
@@ -119,11 +119,24 @@ r(a, b) as (select a, a from s union select r.a, s.b from r join s on r.b = s.a)
 g as (select a, min(b) group_root from r group by 1)
 select group_root, count(*) members from g group by 1""",
     "p7_golden": f"""
-with q as (select r.*, coalesce(f.trust_rank, 2147483647) trust from vessel_records r left join feeds f on r.source = f.feed_code where group_id is not null),
-b as (select group_id, max(imo) imo, max(record_id) imo_from from (select * from q r where {_IMO} qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1),
-g as (select group_id, max(grossTonnage) gross_tonnage, max(record_id) gross_tonnage_from from (select * from q where grossTonnage > 0 and grossTonnage <= 300000 qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1),
-y as (select group_id, max(builtYear) built_year, max(record_id) built_year_from from (select * from q where builtYear between 1900 and 2025 qualify row_number() over (partition by group_id order by trust, UpdateDate desc nulls last, record_id desc) = 1) group by 1)
-select d.group_id, imo, gross_tonnage, built_year, imo_from, gross_tonnage_from, built_year_from from (select distinct group_id from q) d left join b using (group_id) left join g using (group_id) left join y using (group_id)""",
+with recursive {_RATED_SQL},
+c as (select * from q qualify row_number() over (partition by group_id, trust, i is not null, g is not null, y is not null order by moment desc, record_id desc) = 1),
+d as (select a.group_id, a.record_id over_id, b.record_id under_id from c a join c b on {_DOMINATES}),
+r(group_id, record_id, depth) as (select group_id, record_id, 1 from c union select r.group_id, d.under_id, r.depth + 1 from r join d on r.group_id = d.group_id and r.record_id = d.over_id),
+l as (select c.*, layer from c join (select group_id, record_id, max(depth) layer from r group by 1, 2) using (group_id, record_id)),
+p as (select * from l where layer = 1 qualify row_number() over (partition by group_id order by trust, moment desc, record_id desc) = 1),
+f as (select l.*, case when l.record_id = p.record_id then 0 else l.layer end turn from l join p using (group_id)),
+n as (select group_id, max(layer) layers from l group by 1),
+v1 as (select * from f where i is not null qualify row_number() over (partition by group_id order by turn, trust, moment desc, record_id desc) = 1),
+v2 as (select * from f where g is not null qualify row_number() over (partition by group_id order by turn, trust, moment desc, record_id desc) = 1),
+v3 as (select * from f where y is not null qualify row_number() over (partition by group_id order by turn, trust, moment desc, record_id desc) = 1)
+select p.group_id, p.record_id, layers, v1.i imo, v2.g gross_tonnage, v3.y built_year, v1.record_id imo_from, v2.record_id gross_tonnage_from, v3.record_id built_year_from
+from p join n using (group_id) left join v1 using (group_id) left join v2 using (group_id) left join v3 using (group_id)""",
+    "p7_survivors": f"""
+with {_RATED_SQL},
+c as (select * from q qualify row_number() over (partition by group_id, complete, trust, moment order by record_id desc) = 1),
+u as (select * from c b where not exists (select 1 from c a where {_DOMINATES}))
+select group_id, record_id, complete as filled, count(*) over (partition by group_id) layer_size from u qualify row_number() over (partition by group_id order by trust, moment desc, complete desc, record_id desc) = 1""",
     "p7_found": f"""
 with q as (select r.*, coalesce(f.trust_rank, 2147483647) trust from vessel_records r left join feeds f on r.source = f.feed_code where group_id is not null),
 c as (select group_id, 'imo' field_name, record_id, trust, UpdateDate from q r where {_IMO}

@@ -79,3 +79,35 @@ def test_first_layer(spark):
                 want[g, key(x)] = max(want.get((g, key(x)), ""), x[0])
     assert got == {(g, rid) for (g, _), rid in want.items()}
     assert survivor.survivors(df.limit(0), "group_id", "record_id", "at", {"a": F.col("a") > 0}).count() == 0
+
+
+def test_golden_by_layers(spark):
+    for seed in (4, 5, 6):
+        rows = make(seed, 120)
+        good = {"a": lambda x: (x[3] or 0) > 0, "b": lambda x: x[4] is not None}
+        of_field = {"a": 3, "b": 4}
+        want = {}
+        for g in (1, 2, 3, 4):
+            best = {}
+            for x in (x for x in rows if x[1] == g):
+                mask, trust, age = tuple(f(x) for f in good.values()), RANKS.get(x[2], 2**31 - 1), x[5] or dt.datetime.min
+                best[mask, trust] = max(best.get((mask, trust), (age, x[0], x)), (age, x[0], x))
+            points = [(sum(mask), -trust, age, rid, x) for (mask, trust), (age, rid, x) in best.items()]
+            layer, left = {}, points
+            while left:  # peel one layer after the other
+                top = [p for p in left if not any(q[:3] != p[:3] and all(m >= n for m, n in zip(q[:3], p[:3], strict=True)) for q in left)]
+                layer |= {p[3]: 1 + max(layer.values(), default=0) for p in top}
+                left = [p for p in left if p not in top]
+            policy = lambda p: (p[1], p[2], p[3])
+            pick = max((p for p in points if layer[p[3]] == 1), key=policy)
+            row = [pick[3], max(layer.values())]
+            donors = []
+            for n, ok in good.items():
+                have = [p for p in points if ok(p[4])]
+                first = pick if ok(pick[4]) else max((p for p in have if layer[p[3]] == min(layer[q[3]] for q in have)), key=policy, default=None)
+                donors.append(first)
+            want[g] = (*row, *[d and d[4][of_field[n]] for n, d in zip(good, donors, strict=True)], *[d and d[3] for d in donors])
+        fields = {"a": ("a", F.col("a") > 0), "b": ("b", F.col("b").isNotNull())}
+        got = {x["group_id"]: tuple(x)[1:] for x in survivor.golden(rated(spark, rows), "group_id", "record_id", "at", fields).collect()}
+        assert got == want and max(x[1] for x in want.values()) > 2
+    assert survivor.golden(rated(spark, rows).limit(0), "group_id", "record_id", "at", fields).count() == 0
