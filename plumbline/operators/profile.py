@@ -188,21 +188,22 @@ def profile(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return facts(spark, path, None, columns).join(kinds, "column_name")
 
 
-def shares(counts: DataFrame, group: str, column: str, blank: Column, good: Column) -> list[Column]:
-    """Aggregates over value counts by ``group``: null_share, bad_share and distinct_share of ``column``.
+def shares(counts: DataFrame, group: str, blank: Column, good: Column) -> DataFrame:
+    """(group, column_name, null_share, bad_share, distinct_share, least) from value counts; shares of nothing are null.
 
-    ``blank`` tells values that count as null, ``good`` well-formed ones; null counts as blank. Shares of nothing are null.
+    ``blank`` tells values that count as null, ``good`` well-formed ones; null counts as blank. ``least`` is the least
+    value as text.
     """
-    here = F.col("column_name") == column
-    none = F.coalesce(F.col("value").isNull() | blank, F.lit(True))
-    n, one = F.col("n"), F.lit(1).cast("long")
-    total = lambda c, x: F.sum(F.when(here & c, x).otherwise(F.lit(0)))
-    there = total(~none, n)
-    return [
-        F.try_divide(total(none, n), total(F.lit(True), n)).alias(f"{column}:null_share"),
-        F.try_divide(total(~none & ~F.coalesce(good, F.lit(False)), n), there).alias(f"{column}:bad_share"),
-        F.try_divide(total(~none, one), there).alias(f"{column}:distinct_share"),
-    ]
+    kind = F.when(F.coalesce(F.col("value").isNull() | blank, F.lit(True)), 0).when(F.coalesce(good, F.lit(False)), 1).otherwise(2)
+    # What a value is gets settled before the sums, once a value.
+    seen = counts.select(group, "column_name", "value", "n", kind.alias("kind"))
+    n, k = F.col("n"), F.col("kind")
+    sums = seen.groupBy(group, "column_name", "kind").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("values"), F.min("value").alias("least"))
+    of = lambda c, *kinds: F.sum(F.when(k.isin(*kinds), F.col(c)).otherwise(0))
+    there = of("n", 1, 2)
+    return sums.groupBy(group, "column_name").agg(
+        F.try_divide(of("n", 0), F.sum(n)).alias("null_share"), F.try_divide(of("n", 2), there).alias("bad_share"), F.try_divide(of("values", 1, 2), there).alias("distinct_share"), F.min("least").alias("least"),
+    )
 
 
 def quantiles(counts: DataFrame, group: str, fractions: dict[str, float], steps: int = 4096) -> DataFrame:

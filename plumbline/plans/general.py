@@ -41,14 +41,14 @@ def _load_measures(spark: SparkSession, folder: str) -> DataFrame:
     counts = profile.value_counts(spark, path, "load_id", ["series_id", "load_no", *PROFILED]).where(F.col("load_id").isNotNull())
     name, value = F.col("column_name"), F.col("value")
     # A deadweight that is not a number is ill-formed; it is in no quantile.
-    weight = value.try_cast("double")
-    good = {"imo": imo_is_valid(value.try_cast("long")), "callsign": value.rlike(CALLSIGN), "deadweight": (weight > 0) & (weight <= 600_000)}
-    sums = [x for c in PROFILED for x in profile.shares(counts, "load_id", c, F.trim(value) == "" if c == "callsign" else F.lit(False), good[c])]
-    of = [F.min(F.when(name == c, value.try_cast(k))).alias(c) for c, k in (("series_id", "long"), ("load_no", "int"))]
-    wide = counts.groupBy("load_id").agg(*of, *sums)
-    # The condition reads n, a sum, with the name, so that it stays above the aggregation and both branches share it.
-    number = (name == "deadweight") & weight.isNotNull() & ~F.isnan(weight)
-    weights = counts.where(F.col("n") * number.cast("int") > 0).select("load_id", weight.alias("value"), "n")
+    weight = F.when(name == "deadweight", value.try_cast("double"))
+    good = F.when(name == "imo", imo_is_valid(value.try_cast("long"))).when(name == "callsign", value.rlike(CALLSIGN)).otherwise((weight > 0) & (weight <= 600_000))
+    by_column = profile.shares(counts, "load_id", (name == "callsign") & (F.trim(value) == ""), good)
+    pick = lambda c, x: F.max(F.when(name == c, x))
+    of = [pick(c, F.col("least").try_cast(k)).alias(c) for c, k in (("series_id", "long"), ("load_no", "int"))]
+    wide = by_column.groupBy("load_id").agg(*of, *[pick(c, F.col(m)).alias(f"{c}:{m}") for c in PROFILED for m in ("null_share", "bad_share", "distinct_share")])
+    # The condition reads n, a sum, so that it stays above the aggregation, which both branches then share.
+    weights = counts.where(F.when(F.isnan(F.coalesce(weight, F.lit(float("nan")))), F.lit(0)).otherwise(F.col("n")) > 0).select("load_id", weight.alias("value"), "n")
     q = profile.quantiles(weights, "load_id", {"deadweight:median": 0.5, "deadweight:p90": 0.9}).withColumnRenamed("load_id", "_load")
     return wide.join(q, F.col("load_id") == F.col("_load"), "left").drop("_load")
 
