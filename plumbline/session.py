@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +24,42 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that cut lineage: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests) a temporary
-    one is made, and only for a local master, whose executors are the driver.
+    Only where none is set (tests) a temporary one is made, and only for a local master, whose executors are the driver.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    named = sc._jsc.sc().getCheckpointDir()
+    if not named.isEmpty():
+        return named.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: its lineage ends there, and its size is known to later plans.
+
+    Unlike a checkpoint the table carries no constraints of the plan it came from, which multiply from round to round of
+    an iteration.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    done = df.sparkSession.read.schema(df.schema).parquet(folder)
+    done.cut_folder = folder
+    return done
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of a frame that ``cut`` gave; call it when nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
