@@ -5,31 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import cut, forget
 
 
 def linked_groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:
     """(node, root) for every id that stands in a pair of two different non-null ids; root is the least id of its group.
 
-    Each round takes the least label over every edge, hands it to the node and to the node's old label (the hook that
-    joins whole trees), and then replaces each label by its own label (pointer jumping), so that rounds grow with the
-    logarithm of the longest chain. Every round is checkpointed; it ends when no label changes. Labels and edges stay
-    distributed: minima combine before they are shuffled, and a hub's edges or a giant group's label are left to the skew
-    join. Repeated and turned pairs count once; an empty table gives no rows.
+    Ids are numbered once, and the rounds run on numbers. In a round each node takes the least label over its edges and
+    pointer jumping follows these labels to the end of their chain; nodes of one label then become one node, edges within
+    it vanish, and equal ones merge. A node that has an edge joins at least one other, so at most half of these are left
+    and rounds grow with the logarithm of the ids; most of a graph of small groups is done in the first. Every round and
+    jump is written out as a table; it ends when no edge is left, so that no label can change. The least id of each group is taken
+    at the end.
+
+    Minima combine before they are shuffled. The edges of a hub and the members of a giant group are the many rows of one
+    join key whose other side has a single row, so the skew join of adaptive execution may split them. Repeated and turned
+    pairs count once; an empty table gives no rows.
     """
     links = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("x") != F.col("y")))
     links = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    edges = cut(links.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y"))
-    labels = cut(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")))
-    for _ in range(most_rounds):
-        offers = edges.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("offer"))
-        taken = labels.join(offers, F.col("node") == F.col("x"), "left").select("node", "label", F.least("label", "offer").alias("near"))
-        hooks = taken.where(F.col("near") < F.col("label")).groupBy(F.col("label").alias("hook")).agg(F.min("near").alias("pull"))
-        moved = cut(taken.join(hooks, F.col("node") == F.col("hook"), "left").select("node", F.col("label").alias("old"), F.least("near", "pull").alias("label")))
-        above = moved.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        labels = cut(moved.join(above, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "up").alias("label")))
-        changed = labels.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("root"))
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+    names = cut(links.select(F.explode(F.array("x", "y")).alias("name")).distinct().select("name", F.monotonically_increasing_id().alias("id")))
+    one, two = names.select(F.col("name").alias("x"), F.col("id").alias("i")), names.select(F.col("name").alias("y"), F.col("id").alias("j"))
+    edges = cut(links.join(one, "x").join(two, "y").select(F.col("i").alias("x"), F.col("j").alias("y")))
+    maps = []
+    while not edges.isEmpty():
+        if len(maps) == most_rounds:
+            raise RuntimeError(f"labels still change after {most_rounds} rounds")
+        maps.append(_jumped(_least(edges)))
+        edges = _contracted(edges, maps[-1])
+    forget(edges)
+    # The last map knows the fewest nodes; each one before it is led on through those behind it.
+    done = None
+    for m in reversed(maps):
+        if done is not None:
+            m = m.join(done.select(F.col("node").alias("at"), F.col("root").alias("end")), F.col("root") == F.col("at"), "left").select("node", F.coalesce("end", "root").alias("root"))
+        done = m
+    if done is None:
+        return names.select(F.col("name").alias("node"), F.col("name").alias("root"))
+    named = names.join(done, F.col("id") == F.col("node")).select("name", "root")
+    least = named.groupBy("root").agg(F.min("name").alias("first"))
+    return named.join(least, "root").select(F.col("name").alias("node"), F.col("first").alias("root"))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(node, root): each node's least label over its edges, its own included."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("far")), F.struct(F.col("y").alias("node"), F.col("x").alias("far")))).alias("e"))
+    return cut(both.groupBy(F.col("e.node").alias("node")).agg(F.min("e.far").alias("far")).select("node", F.least("node", "far").alias("root")))
+
+
+def _jumped(labels: DataFrame) -> DataFrame:
+    """Labels led to the end of their chain: two jumps a pass until none changes."""
+    while True:
+        moved = cut(_jump(_jump(labels)))
+        forget(labels)
+        if moved.where(F.col("root") != F.col("was")).isEmpty():
+            return moved.select("node", "root")
+        labels = moved
+
+
+def _jump(labels: DataFrame) -> DataFrame:
+    above = labels.select(F.col("node").alias("at"), F.col("root").alias("up"))
+    return labels.select("node", F.col("root").alias("was")).join(above, F.col("was") == F.col("at")).select("node", "was", F.col("up").alias("root"))
+
+
+def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between different roots, each once."""
+    one, two = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("x", "i"), ("y", "j")))
+    left = edges.join(one, "x").join(two, "y").where(F.col("i") != F.col("j"))
+    new = cut(left.select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).distinct())
+    forget(edges)
+    return new

@@ -35,6 +35,26 @@ def test_components(spark):
     assert components.linked_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
+def test_hubs_and_giant_groups_under_the_skew_join(spark, tmp_path):
+    """Hubs as hot keys of every join; partitions count as skewed from some bytes on and nothing is broadcast."""
+    set_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in set_}
+    r = random.Random(8)
+    hub = [("M-HUB", f"A{i:05d}") for i in range(6000)]
+    other = [("Z-HUB", f"B{i:05d}") for i in range(3000)] + [("B00017", "A00017")]
+    ordered = [(f"C{i:05d}", f"C{i + 1:05d}") for i in range(2000)]  # a chain in order of its names
+    pairs = hub + other + ordered + [(f"D{i}", f"E{i}") for i in range(500)]
+    r.shuffle(pairs)
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        got = [tuple(x) for x in components.linked_groups(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(set(got)) and set(got) == union_find(pairs)
+
+
 SCHEMA = "record_id string, group_id long, source string, a int, b int, at timestamp_ntz, complete string"
 
 
