@@ -49,20 +49,21 @@ def sweep(updates: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int
     return out
 
 
-def ledger(updates: DataFrame, key: str, valid: str, recorded: str, tie: str, values: list[str], per_piece: int = UPDATES_PER_PIECE) -> DataFrame:
+def ledger(updates: DataFrame, key: str, valid: str, recorded: str, tie: str, values: list[str], per_piece: int = UPDATES_PER_PIECE, most: int | None = None) -> DataFrame:
     """Bitemporal rows (key, valid_from, valid_to, recorded_from, recorded_to, tie, values...); open ends are null.
 
     Updates without key or valid time say nothing. A null recorded time counts as the earliest. Updates with equal valid
     and recorded time follow each other by ``tie``, and the later one supersedes; what no moment of record ever saw has no
-    row. Each update adds two rows at most. An entity with more than ``per_piece`` updates is cut along valid time; a piece then also sees those updates of later
-    pieces that were, when learned, the earliest known after it.
+    row. Each update adds two rows at most. An entity with more than ``per_piece`` updates is cut along valid time; a piece
+    then also sees those updates of later pieces that were, when learned, the earliest known after it. ``most`` is the
+    largest number of updates of an entity, or more, where the caller has counted it (``most_updates``).
     """
     kinds = {f.name: f.dataType for f in updates.schema.fields}
     rows = updates.where(F.col(key).isNotNull() & F.col(valid).isNotNull()).select(
         F.col(key).alias("key"), F.unix_micros(F.col(valid).cast("timestamp")).alias("v"),
         F.coalesce(F.unix_micros(F.col(recorded).cast("timestamp")), F.lit(-(2**62))).alias("r"), F.col(tie).alias("tie"), *[F.col(c).alias(f"value_{c}") for c in values],
     )
-    cut, n = pieces(rows, "key", "v", rows.select("key", "v"), per_piece)
+    cut, n = pieces(rows, "key", "v", rows.select("key", "v"), per_piece, most)
     own = cut.drop("cuts").withColumn("ours", F.lit(True))
     if n > 1:
         own = own.unionByName(_stairs(cut.where(F.col("cuts").isNotNull()).drop("cuts"), n), allowMissingColumns=True)
@@ -121,31 +122,39 @@ def _stairs(hot: DataFrame, n: int) -> DataFrame:
     return sent.select("key", "v", "r", "tie", F.col("to").alias("piece"), F.lit(False).alias("ours"))
 
 
-def versions(current: DataFrame, key: str, valid: str, fields: dict[str, Column], per_piece: int = UPDATES_PER_PIECE) -> DataFrame:
+def most_updates(updates: DataFrame, key: str) -> int:
+    """Updates of the entity that has most; a bound for its current rows as well."""
+    return largest_key(updates.select(key), key)
+
+
+def versions(current: DataFrame, key: str, valid: str, fields: dict[str, Column], per_piece: int = UPDATES_PER_PIECE, most: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(key, field_name, field_value, valid_from, valid_to) of the current rows of a ledger, one for each (key, valid).
 
     ``fields`` gives each field's value as text; null says nothing, and the version before goes on. Neighbouring rows of
-    equal value are one version; the last one's valid_to is null.
+    equal value are one version; the last one's valid_to is null. ``most`` and ``counted`` (key, at in microseconds) come
+    from the updates where the caller has them, so that the ledger is not computed to be counted.
     """
     long = current.select(F.col(key).alias("key"), F.col(valid).alias("at_time"), F.unix_micros(F.col(valid).cast("timestamp")).alias("at"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in fields.items()])).alias("f"))
     long = long.where(F.col("f.value").isNotNull() & F.col("key").isNotNull() & F.col("at").isNotNull()).select("key", "at_time", "at", F.col("f.name").alias("name"), F.col("f.value").alias("value"))
     found = None
-    if largest_key(current, key) <= per_piece:
-        found = _changes(long, long.select("key", "at"), ["key", "name"], per_piece)
+    most = largest_key(current, key) if most is None else most
+    counted = long.select("key", "at") if counted is None else counted
+    if most <= per_piece:
+        found = _changes(long, counted, ["key", "name"], per_piece, most)
     else:
         for n in fields:
-            one = _changes(long.where(F.col("name") == n), long.select("key", "at"), ["key"], per_piece)
+            one = _changes(long.where(F.col("name") == n), counted, ["key"], per_piece, most)
             found = one if found is None else found.unionByName(one)
     return found.select(F.col("key").alias(key), F.col("name").alias("field_name"), F.col("value").alias("field_value"), F.col("at_time").alias("valid_from"), F.col("until").alias("valid_to"))
 
 
-def _changes(long: DataFrame, counted: DataFrame, key: list[str], per_piece: int) -> DataFrame:
+def _changes(long: DataFrame, counted: DataFrame, key: list[str], per_piece: int, most: int) -> DataFrame:
     if len(key) > 1:
         w = W.partitionBy(*key).orderBy("at")
         starts = long.withColumn("prev", F.lag("value").over(w)).where(~F.col("value").eqNullSafe(F.col("prev")))
         return starts.withColumn("until", F.lead("at_time").over(w))
     w = W.partitionBy("key", "piece").orderBy("at")
-    near = with_neighbours(long, "key", "at", "at", 1, counted, per_piece)
+    near = with_neighbours(long, "key", "at", "at", 1, counted, per_piece, most)
     starts = near.withColumn("prev", F.lag("value").over(w)).where(~F.col("guest") & ~F.col("value").eqNullSafe(F.col("prev"))).drop("prev", "guest", "piece")
-    near = with_neighbours(starts, "key", "at", "at", 1, counted, per_piece)
+    near = with_neighbours(starts, "key", "at", "at", 1, counted, per_piece, most)
     return near.withColumn("until", F.lead("at_time").over(w)).where(~F.col("guest")).drop("guest", "piece")

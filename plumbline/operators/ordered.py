@@ -17,13 +17,14 @@ def largest_key(rows: DataFrame, *key: str) -> int:
     return rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
 
 
-def pieces(rows: DataFrame, key: str, at: str, counted: DataFrame, rows_per_piece: int) -> tuple[DataFrame, int]:
+def pieces(rows: DataFrame, key: str, at: str, counted: DataFrame, rows_per_piece: int, most: int | None = None) -> tuple[DataFrame, int]:
     """``rows`` with the array ``cuts`` (null for keys that fit) and ``piece``, and the number of pieces at most.
 
     ``counted`` holds at least the rows' keys and their ``at`` (a number); it may be a superset that is cheaper to read.
-    Rows with equal ``at`` share a piece. At most count(counted) / rows_per_piece keys are hot, which bounds the broadcast.
+    ``most`` is the largest key's number of rows, or more, if the caller has counted it. Rows with equal ``at`` share a
+    piece. At most count(counted) / rows_per_piece keys are hot, which bounds the broadcast.
     """
-    most = largest_key(counted, key)
+    most = largest_key(counted, key) if most is None else most
     if most <= rows_per_piece:
         return rows.withColumns({"cuts": F.lit(None).cast("array<bigint>"), "piece": F.lit(0)}), 1
     n = math.ceil(most / rows_per_piece)
@@ -34,14 +35,14 @@ def pieces(rows: DataFrame, key: str, at: str, counted: DataFrame, rows_per_piec
     return rows.join(F.broadcast(cuts), key, "left").withColumn("piece", piece), n
 
 
-def with_neighbours(rows: DataFrame, key: str, at: str, tie: str, reach: int, counted: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+def with_neighbours(rows: DataFrame, key: str, at: str, tie: str, reach: int, counted: DataFrame, rows_per_piece: int = ROWS_PER_PIECE, most: int | None = None) -> DataFrame:
     """``rows`` with ``piece`` and ``guest``, so that windows over (key, piece) ordered by (at, tie) see what windows over
     key would see within ``reach`` rows of each row that is no guest.
 
     Guests are copies of rows of other pieces; drop them after the window. A key that fits in a task has piece 0 and no
     guests. Rows with a null key or ``at`` must have been left out before.
     """
-    cut, n = pieces(rows, key, at, counted, rows_per_piece)
+    cut, n = pieces(rows, key, at, counted, rows_per_piece, most)
     own = cut.drop("cuts").withColumn("guest", F.lit(False))
     if n == 1:
         return own

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import entity_key
-from plumbline.operators.ordered import ROWS_PER_PIECE, with_neighbours
+from plumbline.operators.ordered import ROWS_PER_PIECE, largest_key, with_neighbours
 
 
 def observations(records: DataFrame, attributes: dict[str, str], at: str, seq: str) -> DataFrame:
@@ -16,16 +16,28 @@ def observations(records: DataFrame, attributes: dict[str, str], at: str, seq: s
     return records.select(entity_key().alias("entity_id"), F.col(at).alias("ts"), F.col(seq).alias("seq"), F.explode(each).alias("o")).select("entity_id", "o.attribute", "o.value", "ts", "seq").where("entity_id is not null and value is not null and ts is not null")
 
 
-def _in_order(rows: DataFrame, order: str, rows_per_piece: int) -> tuple[DataFrame, W]:
+def _key() -> F.Column:
+    """The hash only counts and cuts; windows are by the names themselves."""
+    return F.xxhash64("entity_id", "attribute")
+
+
+def _counted(obs: DataFrame) -> tuple[DataFrame, int]:
+    """What hot entities are counted and cut by, and the largest number of rows of one: one job."""
+    rows = obs.select(_key().alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    return rows, largest_key(rows, "_key")
+
+
+def _in_order(rows: DataFrame, order: str, rows_per_piece: int, counted: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, W]:
     """``rows`` with ``piece`` and ``guest``, and the window in which each row sees its neighbours of (entity, attribute).
 
-    A hot entity is cut along time (see ``ordered``); in order of arrival, whose keys may be texts, entities stay whole.
+    A hot entity is cut along time (see ``ordered``), by ``counted`` where the caller has it; in order of arrival, whose
+    keys may be texts, entities stay whole.
     """
-    own = rows.withColumns({"_key": F.xxhash64("entity_id", "attribute"), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    own = rows.withColumns({"_key": _key(), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
     if order == "arrival":
         return own.withColumns({"piece": F.lit(0), "guest": F.lit(False)}), W.partitionBy("entity_id", "attribute").orderBy("seq")
-    # The hash only counts and cuts; windows are by the names themselves.
-    cut = with_neighbours(own, "_key", "_at", "seq", 1, own.select("_key", "_at"), rows_per_piece)
+    by, most = counted or _counted(rows)
+    cut = with_neighbours(own, "_key", "_at", "seq", 1, by, rows_per_piece, most)
     return cut, W.partitionBy("entity_id", "attribute", "piece").orderBy("_at", "seq")
 
 
@@ -47,7 +59,8 @@ def islands(obs: DataFrame, order: str = "time", rows_per_piece: int = ROWS_PER_
     A run ends where the next starts, and ``run`` (the place of its first row) orders an attribute's runs. Rows are only
     compared with the one before; a run's length is the distance between starts, so no task needs to hold a whole run.
     """
-    rows, w = _in_order(obs, order, rows_per_piece)
+    counted = None if order == "arrival" else _counted(obs)
+    rows, w = _in_order(obs, order, rows_per_piece, counted)
     rows = rows.withColumn("old_value", F.lag("value").over(w)).where(~F.col("guest"))
     rows = rows.withColumn("_place", F.row_number().over(w))
     sizes = rows.groupBy("entity_id", "attribute", "piece").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,7 +69,7 @@ def islands(obs: DataFrame, order: str = "time", rows_per_piece: int = ROWS_PER_
     sizes = sizes.withColumns({"_before": before, "_all": F.sum("_n").over(own)}).drop("_n")
     starts = rows.where(~F.col("value").eqNullSafe(F.col("old_value"))).join(sizes, ["entity_id", "attribute", "piece"])
     starts = starts.withColumn("run", F.col("_before") + F.col("_place")).drop("piece", "guest", "_place", "_before", "_key", "_at")
-    near, w = _in_order(starts, order, rows_per_piece)
+    near, w = _in_order(starts, order, rows_per_piece, counted)
     near = near.withColumns({"end_date": F.lead("ts").over(w), "_next": F.lead("run").over(w)}).where(~F.col("guest"))
     return near.select("entity_id", "attribute", "value", F.col("ts").alias("start_date"), "end_date", (F.coalesce("_next", F.col("_all") + 1) - F.col("run")).alias("n"), "run", "old_value")
 

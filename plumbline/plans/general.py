@@ -15,8 +15,10 @@ LAT, LON, AT = "last_position_latitude", "last_position_longitude", "last_positi
 
 
 def reports_once(reports: DataFrame, *columns: str) -> DataFrame:
-    """One row for each report_id: re-delivered rows repeat their readings. Should they differ, the least value counts."""
-    return reports.where(F.col("report_id").isNotNull()).groupBy("report_id").agg(*[F.min(c).alias(c) for c in columns])
+    """One row for each report_id: re-delivered rows repeat their readings. Should they differ, the one whose readings have
+    the least hash counts whole."""
+    rows = reports.where(F.col("report_id").isNotNull()).select("report_id", *columns, F.xxhash64(*columns).alias("draw"))
+    return rows.groupBy("report_id").agg(*[F.min_by(c, "draw").alias(c) for c in columns])
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,18 +134,28 @@ def _said(c: str) -> F.Column:
     return F.when((t != "") & (t != "0"), t)
 
 
+def _updates(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "registry_loads", "row_id", "imo", "flag", "name", "mmsi", "InsertDate", "UpdateDate").where(imo_is_valid(F.col("imo")))
+
+
+def _ledger(rows: DataFrame, most: int | None = None) -> DataFrame:
+    return history.ledger(rows, "imo", "UpdateDate", "InsertDate", "row_id", ["flag", "name", "mmsi"], most=most)
+
+
 def p5_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The register's bitemporal ledger: every state of knowledge about flag, name and mmsi of each valid imo."""
-    rows = table(spark, folder, "registry_loads", "row_id", "imo", "flag", "name", "mmsi", "InsertDate", "UpdateDate").where(imo_is_valid(F.col("imo")))
-    return history.ledger(rows, "imo", "UpdateDate", "InsertDate", "row_id", ["flag", "name", "mmsi"])
+    return _ledger(_updates(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of flag, name and mmsi by what is known now, with the time for which each was valid."""
-    now = p5_ledger(spark, folder).where("current")
+    rows = _updates(spark, folder)
+    most = history.most_updates(rows, "imo")
+    counted = rows.where(F.col("UpdateDate").isNotNull()).select(F.col("imo").alias("key"), F.unix_micros(F.col("UpdateDate").cast("timestamp")).alias("at"))
     fields = {"flag": _said("flag"), "name": _said("name"), "mmsi": F.when(F.col("mmsi") != 0, F.col("mmsi").cast("string"))}
+    found = history.versions(_ledger(rows, most).where("current"), "imo", "valid_from", fields, most=most, counted=counted)
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return history.versions(now, "imo", "valid_from", fields).select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
+    return found.select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_ranges, p2_profile, p3_found, p3_zones, p4_found, p4_flags, p4_cutoffs, p5_found, p5_ledger)}
@@ -202,6 +214,20 @@ select report_id, 'speed' reading from r where v < 0 or v > 60
 union all select report_id, 'speed' from s2 where v - greatest(p, n) > 8 and p is not null and n is not null or least(p, n) - v > 8 and p is not null and n is not null or (v > 3 and k >= 8)
 union all select report_id, 'position' from r where la is not null and lo is not null and not (la between -90 and 90 and lo between -180 and 180 and not (la = 0 and lo = 0))
 union all select report_id, 'position' from q2 where (dp > 5000 and dn > 5000 and dp > 100*1852/3600.0*tp and dn > 100*1852/3600.0*tn) or (sails and k >= 8)""",
+    "p5_ledger": f"""
+with u as (select row_id, imo, UpdateDate v, coalesce(InsertDate, timestamp '0001-01-01') r, flag, name, mmsi from registry_loads where {_IMO_SQL.format("imo")} and UpdateDate is not null),
+ o as (select *, row_number() over (partition by imo order by r, row_id, v) k from u),
+ -- from when on is an update superseded by one of equal valid time, and when does a later valid time become known
+ e as (select a.imo, a.k, min(b.k) gone from o a join o b on a.imo = b.imo and a.v = b.v and b.k > a.k group by 1, 2),
+ s as (select a.*, e.gone from o a left join e using (imo, k)),
+ -- moments of record at which the update's end of validity changes: its own, and each new least later valid time
+ w as (select s.imo, s.k, b.k at_k, b.v next_v from s join o b on s.imo = b.imo and b.v > s.v and b.k < coalesce(s.gone, 9e18::bigint)),
+ b0 as (select s.imo, s.k, max(s.k) at_k, min(w.next_v) until from s left join w on s.imo = w.imo and s.k = w.k and w.at_k < s.k group by 1, 2),
+ b1 as (select w.imo, w.k, w.at_k, w.next_v until from w where w.at_k > w.k and not exists (select 1 from w x where x.imo = w.imo and x.k = w.k and x.next_v <= w.next_v and x.at_k < w.at_k)),
+ p as (select * from b0 union all select * from b1),
+ q as (select p.*, s.v, s.row_id, s.flag, s.name, s.mmsi, s.gone, lead(at_k) over (partition by p.imo, p.k order by at_k) next_k from p join s using (imo, k)),
+ t as (select q.*, c.r since, d.r closed from q join o c on q.imo = c.imo and q.at_k = c.k left join o d on q.imo = d.imo and d.k = coalesce(q.next_k, q.gone))
+select imo, v valid_from, until valid_to, case when since > timestamp '0001-01-01' then since end recorded_from, closed recorded_to, closed is null as current, row_id, flag, name, mmsi from t where closed is null or closed > since""",
     "p5_found": rf"""
 with r as (select * from registry_loads where {_IMO_SQL.format("imo")} and UpdateDate is not null qualify row_number() over (partition by imo, UpdateDate order by InsertDate desc nulls last, row_id desc) = 1),
 l as (select imo, UpdateDate ts, 'flag' field_name, upper(trim(regexp_replace(flag, '\s+', ' ', 'g'))) v from r union all select imo, UpdateDate, 'name', upper(trim(regexp_replace(name, '\s+', ' ', 'g'))) from r union all select imo, UpdateDate, 'mmsi', cast(mmsi as varchar) from r),
