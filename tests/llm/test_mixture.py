@@ -1,4 +1,6 @@
+import heapq
 import random
+import time
 
 import pytest
 
@@ -8,12 +10,118 @@ from plumbline.llm.queries import TOKENIZERS
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def one_path_at_a_time(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str, int], int]:
+    """The reference: one shortest path after the other (Dijkstra with potentials), returned with its cost."""
+    graph: list[list[list]] = []
+
+    def node() -> int:
+        graph.append([])
+        return len(graph) - 1
+
+    def edge(u: int, v: int, cap: int, cost: int) -> None:
+        graph[u].append([v, cap, cost, len(graph[v])])
+        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
+
+    start, end = node(), node()
+    sources = {s: node() for s in sorted(quota)}
+    for s, n in sources.items():
+        edge(n, end, quota[s], 0)
+    places = []
+    for pattern in sorted(capacity):
+        own = [s for s in pattern if s in sources]
+        if not own:
+            continue
+        for copy in range(max(repeats[s] for s in own)):
+            n = node()
+            edge(start, n, capacity[pattern], copy * 1000 + len(own) - 1)
+            for s in own:
+                if copy < repeats[s]:
+                    places.append((pattern, s, copy, n, len(graph[n])))
+                    edge(n, sources[s], capacity[pattern], 0)
+    potential = [0] * len(graph)
+    while True:
+        far = [None] * len(graph)
+        far[start], came = 0, [None] * len(graph)
+        heap = [(0, start)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d > far[u]:
+                continue
+            for k, (v, cap, cost, _) in enumerate(graph[u]):
+                if cap > 0:
+                    w = d + cost + potential[u] - potential[v]
+                    if far[v] is None or w < far[v]:
+                        far[v], came[v] = w, (u, k)
+                        heapq.heappush(heap, (w, v))
+        if far[end] is None:
+            break
+        potential = [p + (f if f is not None else 0) for p, f in zip(potential, far, strict=True)]
+        push, v = float("inf"), end
+        while v != start:
+            u, k = came[v]
+            push, v = min(push, graph[u][k][1]), u
+        v = end
+        while v != start:
+            u, k = came[v]
+            graph[u][k][1] -= push
+            graph[v][graph[u][k][3]][1] += push
+            v = u
+    flow = {}
+    for pattern, s, copy, n, k in places:
+        v, cap, _, back = graph[n][k]
+        if graph[v][back][1]:
+            flow[pattern, s, copy] = graph[v][back][1]
+    return flow
+
+
+def cost(flow):
+    return sum(v * (c * 1000 + len(p) - 1) for (p, _, c), v in flow.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_is_as_cheap_as_one_path_at_a_time(seed):
+    r = random.Random(seed)
+    names = "abcdef"[: r.randint(2, 6)]
+    repeats = {s: r.randint(1, 3) for s in names}
+    capacity = {tuple(sorted(r.sample(names, r.randint(1, len(names))))): r.randint(1, 400) for _ in range(20)}
+    quota = {s: r.randint(0, 900) for s in names}
+    one, two = mixture.min_cost_flow(capacity, quota, repeats), one_path_at_a_time(capacity, quota, repeats)
+    assert sum(one.values()) == sum(two.values()) and cost(one) == cost(two)
+    for s in names:
+        assert sum(v for (_, x, _), v in one.items() if x == s) <= quota[s]
+    for p, c in capacity.items():
+        for k in range(3):
+            assert sum(v for (q, _, n), v in one.items() if q == p and n == k) <= c and all(k < repeats[s] for (q, s, n) in one if q == p and n == k)
+    share = {s: r.random() for s in names}
+    there = {s for p in capacity for s in p}
+    total, whole = mixture.feasible_total(capacity, share, repeats), sum(share[s] for s in there)
+
+    def fits(t):
+        wanted = {s: int(t * share[s] / whole) for s in there}
+        return sum(one_path_at_a_time(capacity, wanted, repeats).values()) == sum(wanted.values())
+
+    assert fits(total) and not fits(int(total * 1.01) + 8)
+
+
+def test_ten_thousand_patterns_take_seconds():
+    r = random.Random(3)
+    names = [f"s{i:02d}" for i in range(16)]
+    capacity = {}
+    while len(capacity) < 10_000:
+        capacity[tuple(sorted(r.sample(names, r.randint(1, 7))))] = r.randint(1, 100_000)
+    repeats, share = {s: r.randint(1, 5) for s in names}, {s: r.random() for s in names}
+    began = time.time()
+    total = mixture.feasible_total(capacity, share, repeats)
+    flow = mixture.min_cost_flow(capacity, {s: int(total * x / sum(share.values())) for s, x in share.items()}, repeats)
+    assert abs(sum(flow.values()) - total) <= len(names) and time.time() - began < 60
+
+
 def test_flow_fills_quotas_and_repeats_last():
     flow = mixture.min_cost_flow({("a",): 100, ("b",): 30, ("a", "b"): 20}, {"a": 90, "b": 60}, {"a": 1, "b": 3})
     to = lambda s: sum(v for (_, x, _), v in flow.items() if x == s)
     assert to("a") == 90 and to("b") == 60
     # b takes its own 30 and the shared 20 before it repeats 10
-    assert flow["a", "b"][0:0] == () if False else flow[("a", "b"), "b", 0] == 20 and flow[("b",), "b", 0] == 30 and sum(v for (_, _, c), v in flow.items() if c) == 10
+    assert flow[("a", "b"), "b", 0] == 20 and flow[("b",), "b", 0] == 30 and sum(v for (_, _, c), v in flow.items() if c) == 10
     for copy in range(3):
         assert sum(v for (p, _, c), v in flow.items() if p == ("b",) and c == copy) <= 30
 
