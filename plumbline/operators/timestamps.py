@@ -1,8 +1,8 @@
 """Texts of mixed form, precision and time zone to one kind of instant: microseconds since 1970 in UTC.
 
 Each text is rewritten once into its parts by the pattern that fits it; parts are checked as numbers, and what has no
-zone is read on its source's clock. Clocks that nobody declared are estimated from the data: of the candidate zones,
-with their history of offsets, the one wins whose instants agree best with the times at which the rows came in.
+zone is read on its source's clock. Clocks that nobody declared are estimated from the data: of all histories of zones
+the one wins whose instants agree best with the times at which the rows came in.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ DAY = 86_400_000_000
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 MILITARY_EAST = "ABCDEFGHIKLM"
 MILITARY_WEST = "NOPQRSTUVWXY"
-#: Zones that an undeclared clock may keep, besides those that the feeds declare.
+#: Zones that an undeclared clock may keep, besides those that the feeds declare (``candidates`` joins both).
 CANDIDATES = ("UTC", "Europe/London", "Europe/Amsterdam", "Europe/Athens", "America/New_York", "America/Los_Angeles", "America/Sao_Paulo", "Asia/Singapore", "Asia/Tokyo", "Asia/Kolkata", "Australia/Sydney")
 
 _ZONE = r"(Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|UTC|GMT)?"
@@ -146,25 +146,67 @@ def read(rows: DataFrame, text: str, yearless: Column, order: str, arrived: str)
     return _settled(df, rows.columns, {"wall": wall, "offset": F.col("offset"), "zoneless": F.col("zoneless")})
 
 
-def estimate_zones(read_rows: DataFrame, source: str, arrived: str, zones: list[str]) -> DataFrame:
-    """(source, zone, violations, rows) of the zone that fits best each source's clock.
+def estimate_history(read_rows: DataFrame, row_id: str, source: str, arrived: str, zones: list[str], change_cost: float = 5.0, block: int = 1000) -> DataFrame:
+    """(source, day, zone, violations, rows): the zone that each source's clock most likely kept on each day of arrival.
 
     ``read_rows`` come from ``read`` for fields whose times precede arrival. Rows that tell their zone show the delays
     that all sources' rows normally have (their first to last percentile, by field). A row of wall time violates a
-    candidate zone if its delay on that clock is outside. Fewest violations win, then the name. A source without
-    zoneless rows has no estimate. The candidates are a fixed few, so rows multiply by that number at most.
+    candidate zone if its delay on that clock is outside. Of all histories of zones the one with the fewest violations
+    wins, where each change of zone counts as ``change_cost`` of them; ties go to the name. Rows lie in order of arrival, so
+    a row without time of arrival came between the first and the last of its block of row ids, and violates a zone if no
+    moment between them would do. A source without zoneless rows has no estimate.
+
+    The candidates are a fixed few, so rows multiply by that number at most; what is left of a source for the choice is a
+    row a day and zone.
     """
     since = F.unix_micros(F.col(arrived).cast("timestamp"))
-    rows = read_rows.where(F.col("wall").isNotNull() & since.isNotNull() & F.col(source).isNotNull()).withColumn("since", since)
-    told = rows.where(~F.col("zoneless")).withColumn("lag", F.col("since") - (F.col("wall") - F.col("offset") * 60_000_000))
+    rows = read_rows.where(F.col("wall").isNotNull() & F.col(source).isNotNull()).select(F.col(row_id).alias("_id"), F.col(source).alias("source"), "field_name", "wall", "offset", "zoneless", since.alias("first"), since.alias("last"))
+    seen = rows.where("last is not null")
+    place = F.floor(F.col("_id") / block)
+    near = seen.groupBy(place.alias("_near")).agg(F.min("first").alias("_from"), F.max("last").alias("_to"))
+    lost = rows.where("last is null").join(near, place == F.col("_near")).withColumns({"first": F.col("_from"), "last": F.col("_to")}).select(*rows.columns)
+    told = seen.where(~F.col("zoneless")).withColumn("lag", F.col("last") - (F.col("wall") - F.col("offset") * 60_000_000))
     usual = told.groupBy("field_name").agg(F.percentile_approx("lag", F.array(F.lit(0.01), F.lit(0.99)), 1000).alias("q")).select("field_name", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
-    tried = rows.where("zoneless").withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
-    lag = F.col("since") - _on_clock(F.col("wall"), F.col("zone"))
-    tried = tried.withColumn("lag", lag).join(F.broadcast(usual), "field_name")
-    bad = F.when(F.col("lag").between(F.col("low"), F.col("high")), 0).otherwise(1)
-    scored = tried.groupBy(F.col(source).alias("source"), "zone").agg(F.sum(bad).alias("violations"), F.count(F.lit(1)).alias("rows"))
-    best = W.partitionBy("source").orderBy("violations", "zone")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    tried = seen.unionByName(lost).where("zoneless").withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    # ``usual`` has a row a field.
+    tried = tried.withColumn("at", _on_clock(F.col("wall"), F.col("zone"))).join(F.broadcast(usual), "field_name")
+    fits = (F.col("last") - F.col("at") >= F.col("low")) & (F.col("first") - F.col("at") <= F.col("high"))
+    bad = F.when(fits, 0).otherwise(1)
+    scored = tried.groupBy("source", F.floor(F.col("last") / DAY).alias("day"), "zone").agg(F.sum(bad).alias("bad"), F.count(F.lit(1)).alias("rows"))
+
+    def choose(pdf):
+        import pandas as pd
+
+        by_day = pdf.pivot(index="day", columns="zone", values="bad").sort_index(axis=0).sort_index(axis=1)
+        path = cheapest_history(by_day.to_numpy(dtype=float), change_cost)
+        rows_of = pdf.groupby("day")["rows"].max().reindex(by_day.index)
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "day": by_day.index, "zone": by_day.columns.to_numpy()[path], "violations": by_day.to_numpy()[range(len(path)), path].astype("int64"), "rows": rows_of.to_numpy()})
+
+    return scored.groupBy("source").applyInPandas(choose, "source string, day long, zone string, violations long, rows long")
+
+
+def cheapest_history(bad, change_cost: float):
+    """The choice (column) for each row of ``bad`` with the least sum, where each change costs ``change_cost``."""
+    import numpy as np
+
+    best = bad[0].copy()
+    came = np.zeros(bad.shape, int)
+    own = np.arange(bad.shape[1])
+    for t in range(1, len(bad)):
+        least = int(best.argmin())
+        stays = best <= best[least] + change_cost
+        came[t] = np.where(stays, own, least)
+        best = np.where(stays, best, best[least] + change_cost) + bad[t]
+    path = [int(best.argmin())]
+    for t in range(len(bad) - 1, 0, -1):
+        path.append(int(came[t, path[-1]]))
+    return path[::-1]
+
+
+def candidates(clocks: DataFrame) -> list[str]:
+    """The zones that feeds declare, and some others; as many as there are zone names at most."""
+    declared = {r[0] for r in clocks.where("zone is not null").select("zone").distinct().collect()}
+    return sorted(declared.union(CANDIDATES))
 
 
 def fields_long(rows: DataFrame, row_id: str, source: str, arrived: str, fields: list[str]) -> DataFrame:
@@ -177,15 +219,20 @@ def to_utc(rows: DataFrame, row_id: str, source: str, arrived: str, fields: list
     """(row_id, field_name, utc_time) for every text that denotes an instant from ``first_year`` to ``last_year``.
 
     ``clocks`` has source, zone (null: UTC) and order, one row a source, and is broadcast: its size is that of the feeds'
-    table. Zoneless times of sources that it lacks are read on the estimated clock; those of a null source denote none.
+    table. Zoneless times of sources that it lacks are read on the clock that ``estimate_history`` gives for the day of
+    arrival; without arrival, and for a null source, they denote none.
     """
     known = F.broadcast(clocks.select(F.col("source").alias("_source"), F.coalesce("zone", F.lit("UTC")).alias("_zone"), F.col("order").alias("_order")))
     long = fields_long(rows, row_id, source, arrived, fields).join(known, F.col(source) == F.col("_source"), "left")
-    done = read(long, "field_text", F.col("field_name") == yearless, "_order", arrived)
-    strangers = done.where(F.col("_source").isNull() & F.col(source).isNotNull() & (F.col("field_name") != yearless))
-    guessed = estimate_zones(strangers, source, arrived, list(CANDIDATES)).select(F.col("source").alias("_guess"), F.col("zone").alias("_guessed"))
-    done = done.join(F.broadcast(guessed), F.col(source) == F.col("_guess"), "left")
-    zone = F.coalesce("_zone", "_guessed")
+    declared = read(long.where(F.col("_source").isNotNull() | F.col(source).isNull()), "field_text", F.col("field_name") == yearless, "_order", arrived)
+    # Only rows of undeclared sources meet the estimate; most feeds have none.
+    others = read(long.where(F.col("_source").isNull() & F.col(source).isNotNull()).drop("_zone"), "field_text", F.col("field_name") == yearless, "_order", arrived)
+    told = declared.where((F.col("field_name") != yearless) & ~F.col("zoneless")).drop("_zone").unionByName(others.where(F.col("field_name") != yearless))
+    guessed = estimate_history(told, row_id, source, arrived, candidates(clocks)).select(F.col("source").alias("_guess"), "day", F.col("zone").alias("_zone"))
+    day = F.floor(F.unix_micros(F.col(arrived).cast("timestamp")) / DAY)
+    others = others.join(guessed, (F.col(source) == F.col("_guess")) & (day == F.col("day")), "left").select(*declared.columns)
+    done = declared.unionByName(others)
+    zone = F.col("_zone")
     instant = F.when(F.col("zoneless"), F.when(zone == "UTC", F.col("wall")).otherwise(_on_clock(F.col("wall"), zone))).otherwise(F.col("wall") - F.col("offset").cast("long") * 60_000_000)
     since, until = (int((dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days) * DAY for y in (first_year, last_year + 1))
     done = _settled(done, [row_id, "field_name"], {"us": instant}).where((F.col("us") >= since) & (F.col("us") < until))

@@ -101,13 +101,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_zones(spark: SparkSession, folder: str) -> DataFrame:
-    """The zone that the rows themselves suggest for each source, beside the declared one."""
+    """The zones that the rows themselves suggest for each source, were none declared, beside the declared one: one row a
+    source and zone."""
     feed = table(spark, folder, "raw_feed", "raw_id", "source", "InsertDate", *TEXT_TIMES[1:])
-    clocks = F.broadcast(_clocks(spark, folder).select(F.col("source").alias("_source"), F.coalesce("zone", F.lit("UTC")).alias("declared_zone"), "order"))
-    long = timestamps.fields_long(feed, "raw_id", "source", "InsertDate", TEXT_TIMES[1:]).join(clocks, F.col("source") == F.col("_source"), "left")
+    clocks = _clocks(spark, folder)
+    named = F.broadcast(clocks.select(F.col("source").alias("_source"), F.coalesce("zone", F.lit("UTC")).alias("declared_zone"), "order"))
+    long = timestamps.fields_long(feed, "raw_id", "source", "InsertDate", TEXT_TIMES[1:]).join(named, F.col("source") == F.col("_source"), "left")
     read = timestamps.read(long, "field_text", F.lit(False), "order", "InsertDate").drop("_source", "declared_zone", "order")
-    best = timestamps.estimate_zones(read, "source", "InsertDate", list(timestamps.CANDIDATES))
-    return best.join(clocks, F.col("source") == F.col("_source"), "left").select("source", F.col("zone").alias("best_zone"), "declared_zone", "violations", "rows")
+    best = timestamps.estimate_history(read, "raw_id", "source", "InsertDate", timestamps.candidates(clocks))
+    return best.select("source", "zone").distinct().join(named, F.col("source") == F.col("_source"), "left").select("source", F.col("zone").alias("best_zone"), "declared_zone")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,6 +200,8 @@ where case when a.measure in ('median','p90') then a.v < 0.8*b.v or a.v > 1.25*b
         f" {_SHOWN[kind].format(f'min({c})')} low_text, {_SHOWN[kind].format(f'max({c})')} high_text, count(distinct {c}) n_distinct from registry_loads"
         for kind, columns in _LOAD_COLUMNS.items() for c in columns
     ),
+    # The declared clock is what the estimate should find.
+    "p3_zones": "select f.feed_code source, coalesce(f.clock_zone, 'UTC') best_zone, coalesce(f.clock_zone, 'UTC') declared_zone from feeds f where f.feed_code in (select source from raw_feed)",
     "p4_found": """
 with r as (select report_id, min(mmsi) mmsi, min(last_position_latitude) la, min(last_position_longitude) lo, min(last_position_speed) v, min(last_position_updateTimestamp) ts from position_reports group by 1),
 s as (select report_id, mmsi, ts, v, lag(v) over w p, lead(v) over w n, row_number() over w - row_number() over (partition by mmsi, v order by ts, report_id) g

@@ -90,6 +90,44 @@ def test_undeclared_clock_is_estimated(spark, clocks):
     assert all(got[2 * i + 1] == got[2 * i] for i in range(300))
 
 
+def test_undeclared_clock_that_moves_and_rows_without_arrival(spark, clocks):
+    from zoneinfo import ZoneInfo
+
+    r = random.Random(2)
+    rows, truth = [], {}
+    start = dt.datetime(2024, 1, 1)
+    for i in range(4000):
+        seen = start + dt.timedelta(minutes=i * 130)
+        utc = seen - dt.timedelta(minutes=r.randint(1, 20))
+        rows.append((2 * i, "utc", seen, f"{utc:%Y-%m-%dT%H:%M:%S}Z", "x"))
+        zone = ZoneInfo("Asia/Kolkata" if seen < dt.datetime(2024, 5, 10) else "America/New_York" if seen < dt.datetime(2024, 11, 20) else "Asia/Tokyo")
+        wall = utc.replace(tzinfo=dt.UTC).astimezone(zone)
+        if wall.replace(tzinfo=None).replace(fold=0).replace(tzinfo=zone).astimezone(dt.UTC).replace(tzinfo=None) == utc:  # not the second of two
+            truth[2 * i + 1] = f"{utc:%Y-%m-%d %H:%M:%S}.000000"
+        rows.append((2 * i + 1, "moves", seen, f"{wall:%Y-%m-%d %H:%M:%S}", "x"))
+    df = spark.createDataFrame(rows, "id long, source string, InsertDate timestamp_ntz, t string, day string")
+    got = {x["id"]: x["utc_time"] for x in timestamps.to_utc(df, "id", "source", "InsertDate", ["t"], "eta", clocks).collect()}
+    assert all(got[k] == t for k, t in truth.items()) and len(truth) > 3990
+    # without arrival the order of rows tells when they came
+    some = [(*x[:2], None if x[0] % 7 == 1 else x[2], *x[3:]) for x in rows]
+    long = timestamps.fields_long(spark.createDataFrame(some, df.schema), "id", "source", "InsertDate", ["t"]).withColumn("order", timestamps.F.lit("dmy"))
+    read = timestamps.read(long, "field_text", timestamps.F.lit(False), "order", "InsertDate")
+    found = timestamps.estimate_history(read, "id", "source", "InsertDate", timestamps.candidates(clocks)).collect()
+    assert sum(x["rows"] for x in found) == 4000 and {x["zone"] for x in found} == {"Asia/Kolkata", "America/New_York", "Asia/Tokyo"}
+
+
+def test_cheapest_history():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        bad = r.integers(0, 6, (6, 3)).astype(float)
+        cost = lambda p: sum(bad[t, z] for t, z in enumerate(p)) + 4 * sum(a != b for a, b in itertools.pairwise(p))
+        assert cost(timestamps.cheapest_history(bad, 4.0)) == min(map(cost, itertools.product(range(3), repeat=6)))
+
+
 def test_empty(spark, clocks):
     df = spark.createDataFrame([], "id long, source string, InsertDate timestamp_ntz, t string")
     assert timestamps.to_utc(df, "id", "source", "InsertDate", ["t"], "eta", clocks).count() == 0
