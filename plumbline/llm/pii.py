@@ -8,6 +8,7 @@ votes of each distinct token are added up once a batch, so that text costs table
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,9 @@ from plumbline.llm import labelled
 
 TYPES = ("NAME", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS")
 LABELS = ("O", *[f"{p}-{t}" for t in TYPES for p in "BI"])
-_TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: Tokens and what lies between them: its matches make up the whole text.
+_PIECE = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 #: Endings of words that name a street (fixed values).
 STREETS = ("straße", "strasse", "gasse", "weg")
 #: Places, seen from a token, at which another's word and shape count.
@@ -43,13 +46,24 @@ def tokens(text: str) -> tuple[list[str], list[int], list[int], list[int]]:
     return words, starts, ends, gaps
 
 
+def in_capitals(text: str) -> bool:
+    """Whether all letters of a text are capitals, markup aside: its words then tell nothing by being so."""
+    return text.isupper() or ("<" in text and regex.sub(r"<[^<>]*>", "", text).isupper())
+
+
+#: Put before the words of a text in capitals, which have shapes of their own.
+CAPS = "\0"
+
+
 def shape(word: str) -> str:
+    if word[0] == CAPS:
+        return f"U{min(len(word) - 1, 5)}"
     if word.isdigit() or word.isnumeric():
         return f"9{min(len(word), 12)}"
     if not word.isalpha():
         return word
     if word.isupper():
-        return "X" if len(word) == 1 else "XX"
+        return f"X{min(len(word), 5)}"
     if word.islower():
         return "x" if len(word) == 1 else "xx"
     return "Xx" if word[0].isupper() and word[1:].islower() else "xX"
@@ -65,7 +79,7 @@ class Field:
 
     def describe(self, word: str, grow: bool) -> tuple[list[int], list[int]]:
         """Features that count at all of WORD_AT, and at all of SHAPE_AT (-1 for none) with the number of the shape."""
-        low = word.lower()
+        low = word.lower().removeprefix(CAPS)
         street = low.endswith(STREETS) and low not in self.vocabulary
         kind = shape(word)
         seen = self.shapes.setdefault(kind, len(self.shapes)) if grow else self.shapes.get(kind, 0)
@@ -79,6 +93,7 @@ class Field:
         ids, gaps, starts, ends, first = [], [], [], [], [0]
         for t in texts:
             w, a, b, g = tokens(t)
+            w = [CAPS + x if x.isalpha() else x for x in w] if in_capitals(t) else w
             ids += [types.setdefault(x, len(types)) for x in w]
             gaps += g
             starts.append(a)
@@ -91,7 +106,8 @@ class Field:
 
     def start(self) -> None:
         n, k = len(self.features), len(LABELS)
-        self.votes = np.zeros((len(WORD_AT), n + 1, k))  # the last row stays 0: no feature
+        # A vote a place, then those that count anywhere to the left, and to the right; the last row stays 0: no feature.
+        self.votes = np.zeros((len(WORD_AT) + 2, n + 1, k))
         self.gap = np.zeros((3, 3, k))
         self.joint = np.zeros((2, len(self.shapes) * 3 * len(self.shapes), k))  # shape, gap, shape: before and behind
         self.pair = np.zeros((k, k))
@@ -104,6 +120,8 @@ class Field:
         rest = np.repeat(size, size) - pos
         for k, at in enumerate(WORD_AT):
             table = self.votes[k][word[:, 0]]
+            if at:
+                table = table + self.votes[_side(at)][word[:, 0]]
             if at in SHAPE_AT:
                 table = table + self.votes[k][form[:, :2]].sum(1)
             ok = (pos + at >= 0) & (rest - at > 0)
@@ -124,6 +142,11 @@ class Field:
         return (code, later), (code, later - 1)
 
 
+def _side(at: int) -> int:
+    """The row of votes for words anywhere to the left of a token, or to its right."""
+    return len(WORD_AT) + (at > 0)
+
+
 def _allowed() -> np.ndarray:
     """Label pairs that may follow each other: a piece goes on only within its type."""
     k = len(LABELS)
@@ -144,35 +167,147 @@ def _padded(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(filled, grid, 0), filled
 
 
-def decode(score: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Best label of every token (Viterbi), all texts side by side."""
-    grid, filled = _padded(first)
-    n, longest = grid.shape
-    out = np.zeros(len(score), np.int64)
-    if not longest or not len(score):
+def decode(score: np.ndarray, sizes: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Best label of every token (Viterbi), all texts side by side: ``score`` is (place, text, label), texts in order of
+    their ``sizes``. Labels beyond a text's end are 0."""
+    longest, n, k = score.shape
+    may = np.where(_allowed(), pair, -1e9).T.astype(score.dtype)  # from the label before (last axis) to the next one
+    opening = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS], score.dtype)
+    out = np.zeros((longest, n), np.int8)
+    if not longest or not n:
         return out
-    k = score.shape[1]
-    may = np.where(_allowed(), pair, -1e9)
-    opening = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
-    best = score[grid[:, 0]] + opening
+    live = np.searchsorted(sizes, np.arange(longest), "right")  # texts before this one have ended
+    best = score[0] + opening
     back = np.zeros((longest, n, k), np.int8)
     for t in range(1, longest):
-        step = best[:, :, None] + may[None]
-        came = step.argmax(1)
-        new = np.take_along_axis(step, came[:, None, :], 1)[:, 0] + score[grid[:, t]]
-        live = filled[:, t]
-        best[live] = new[live]
-        back[t] = np.where(live[:, None], came, np.arange(k)[None])
+        a = live[t]
+        step = best[a:, None, :] + may
+        came = step.argmax(2)
+        back[t, a:] = came
+        best[a:] = np.take_along_axis(step, came[:, :, None], 2)[:, :, 0] + score[t, a:]
     label = best.argmax(1)
-    rows = np.arange(n)
     for t in range(longest - 1, -1, -1):
-        live = filled[:, t]
-        out[grid[live, t]] = label[live]
-        label = back[t, rows, label]
+        a = live[t]
+        out[t, a:] = label[a:]
+        if t:
+            label[a:] = back[t, np.arange(a, n), label[a:]]
     return out
 
 
-def train(count: int = 8000, rounds: int = 24, seed: int = 11, ridge: float = 1e-4) -> Field:
+class _Types(dict):
+    """Numbers of tokens, given when first seen; 0 is no token."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        self.new.append(word)
+        return n
+
+
+class Decoder:
+    """A field made ready for text: what each distinct token votes for is added up once and kept for later batches."""
+
+    #: Distinct tokens that are kept; beyond that the table starts anew.
+    MOST = 200_000
+
+    def __init__(self, field: Field):
+        self.field = field
+        k = len(LABELS)
+        self.pair = field.pair
+        self.gap = np.concatenate([field.gap, np.zeros((3, 1, k))], 1).astype(np.float32)  # gap 3: outside the text
+        self.joint = np.concatenate([field.joint, np.zeros((2, 1, k))], 1).astype(np.float32)  # the last: no pair
+        self.word_votes = field.votes.astype(np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.types = _Types()
+        self.table = np.zeros((len(WORD_AT), 1024, len(LABELS)), np.float32)
+        self.kind = np.zeros(1024, np.int64)
+        self.space = np.zeros(1024, np.int8)
+
+    def learn(self) -> None:
+        """Add the tokens seen for the first time to the tables."""
+        new = self.types.new
+        if not new:
+            return
+        start, need = len(self.types) - len(new) + 1, len(self.types) + 1
+        if need > len(self.kind):
+            more = max(need, 2 * len(self.kind)) - len(self.kind)
+            self.table = np.concatenate([self.table, np.zeros((len(WORD_AT), more, len(LABELS)), np.float32)], 1)
+            self.kind, self.space = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.kind, self.space))
+        blank = np.array([w.isspace() for w in new])
+        self.space[start:need] = [(2 if "\n" in w else 1) if b else 0 for w, b in zip(new, blank, strict=True)]
+        described = [self.field.describe(w, False) if not b else ([-1], [-1, -1, 0]) for w, b in zip(new, blank, strict=True)]
+        word = np.array([d[0][0] for d in described])
+        form = np.array([d[1] for d in described])
+        for j, at in enumerate(WORD_AT):
+            votes = self.word_votes[j][word] + (self.word_votes[_side(at)][word] if at else 0)
+            self.table[j, start:need] = votes + self.word_votes[j][form[:, :2]].sum(1) if at in SHAPE_AT else votes
+        self.kind[start:need] = form[:, 2]
+        self.types.new = []
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Spans (start, end, type) of each text, before any check."""
+        if len(self.types) > self.MOST:
+            self.clear()
+        found, counts, sizes = [], [], []
+        for t in texts:
+            words = _PIECE.findall(t)
+            counts.append(len(words))
+            sizes += map(len, words)
+            found += [CAPS + x if x.isalpha() else x for x in words] if in_capitals(t) else words
+        every = np.fromiter(map(self.types.__getitem__, found), np.int64, len(found))
+        self.learn()
+        lengths = np.array(sizes, np.int64)
+        ends = np.cumsum(lengths)
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        space = self.space[every]
+        before = np.concatenate([[0], space[:-1]]) if len(space) else space
+        heads = np.concatenate([[True], text_of[1:] != text_of[:-1]]) if len(space) else np.zeros(0, bool)
+        before[heads] = 2
+        token = space == 0
+        ids, gaps, of = every[token], before[token], text_of[token]
+        ends = (ends - begins[text_of])[token]
+        starts = ends - lengths[token]
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        if not len(ids):
+            return out
+        size = np.bincount(of, minlength=len(texts))
+        order = np.argsort(size, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        row, longest, n = rank[of], int(size.max()), len(texts)
+        reach = WORD_AT[-1]
+        grid = np.zeros((longest + 2 * reach, n), np.int64)
+        grid[pos + reach, row] = ids
+        between = np.full((longest + 2, n), 3, np.int64)
+        between[pos + 1, row] = gaps
+        score = self.table[0][grid[:longest]]
+        for j in range(1, len(WORD_AT)):
+            score += self.table[j][grid[j : j + longest]]
+        for j, at in enumerate((0, 1, -1)):
+            score += self.gap[j][between[1 + at : 1 + at + longest]]
+        kinds, none = self.kind[grid], self.joint.shape[1] - 1
+        code = (kinds[reach : reach + longest - 1] * 3 + between[2 : longest + 1]) * len(self.field.shapes) + kinds[reach + 1 : reach + longest]
+        code = np.where(between[2 : longest + 1] == 3, none, code)
+        score[1:] += self.joint[0][code]
+        score[:-1] += self.joint[1][code]
+        labels = decode(score, size[order], self.pair)[pos, row]
+        for t in np.flatnonzero(labels):
+            kind = LABELS[labels[t]]
+            spans = out[of[t]]
+            if kind[0] == "I" and spans and gaps[t] != 2:  # no piece goes over a line break
+                spans[-1] = (spans[-1][0], int(ends[t]), spans[-1][2])
+            else:
+                spans.append((int(starts[t]), int(ends[t]), kind[2:]))
+        return out
+
+
+def train(count: int = 14_000, rounds: int = 26, seed: int = 11, ridge: float = 4e-4) -> Field:
     """Maximum-likelihood weights by AdaGrad over ``count`` labelled sequences; exact gradients by forward-backward."""
     data = labelled.sequences(count, seed)
     field = Field(labelled.vocabulary())
@@ -270,6 +405,8 @@ def _gradients(field: Field, node, ids, gaps, first, word, form, sums):
         by_type = np.zeros((len(word), node.shape[1]))
         by_id.add(by_type, seen)
         by_word.add(votes[k], by_type)
+        if at:
+            by_word.add(votes[_side(at)], by_type)
         if at in SHAPE_AT:
             for one in by_form:
                 one.add(votes[k], by_type)
@@ -303,47 +440,39 @@ def parts(text: str, most: int = PART_CHARS) -> list[tuple[int, str]]:
     return [*out, (a, text[a:])]
 
 
-def pieces(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, type) of personal information in each text, in order; whole texts are read."""
-    split = [(k, a, p) for k, t in enumerate(texts) for a, p in parts(t)]
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (k, a, p), spans in zip(split, _decoded([p for *_, p in split], field), strict=True):
-        out[k] += [(x[0] + a, x[1] + a, x[2]) for s in spans if (x := trimmed(p, *s))]
-    return out
-
+def pieces(texts: list[str], decoder: Decoder, checked: bool = True) -> list[list[tuple[int, int, str]]]:
+    """Spans (start, end, type) of personal information in each text, in order; whole texts are read.
 
-def _decoded(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
+    ``checked`` adds the exact check (``trimmed``) to what the field finds.
+    """
+    split = [(k, a, p) for k, t in enumerate(texts) for a, p in parts(t)]
+    split.sort(key=lambda x: len(x[2]))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     a = 0
-    while a < len(order):
+    while a < len(split):
         b = a + 1
-        while b < len(order) and (b + 1 - a) * len(texts[order[b]]) <= BATCH_CHARS:
+        while b < len(split) and (b + 1 - a) * len(split[b][2]) <= BATCH_CHARS:
             b += 1
-        part = [texts[i] for i in order[a:b]]
-        ids, gaps, first, word, form, starts, ends = field.arrays(part)
-        if len(ids):
-            labels = decode(field.score(ids, gaps, first, word, form), first, field.pair)
-            for t in np.flatnonzero(labels):
-                k = int(np.searchsorted(first, t, "right")) - 1
-                i = int(t - first[k])
-                kind = LABELS[labels[t]]
-                spans = out[order[a + k]]
-                if kind[0] == "I" and spans and gaps[t] != 2:  # no piece goes over a line break
-                    spans[-1] = (spans[-1][0], ends[k][i], spans[-1][2])
-                else:
-                    spans.append((starts[k][i], ends[k][i], kind[2:]))
+        for (k, begin, p), spans in zip(split[a:b], decoder.spans([p for *_, p in split[a:b]]), strict=True):
+            out[k] += [(x[0] + begin, x[1] + begin, x[2]) for s in spans if (x := trimmed(p, *s, decoder.field.vocabulary) if checked else s)]
         a = b
-    return out
+    return [sorted(spans) for spans in out]
 
 
 _AFTER_NAME = regex.compile(r"(?<=\p{L}{2})\.|[\n\t]")
 
 
-def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+#: Titles and ranks that may stand before a single surname (fixed values).
+_TITLE = regex.compile(r"(?i)\b(?:Capt|Captain|Master|Mr|Mrs|Ms|Dr|Herr|Herrn|Frau|Kapitän|Sr|Sra|Mme|Madame|Monsieur)\.?\s+$")
+_LAST_WORD = regex.compile(r"\s+(\p{L}+)\s*$")
+
+
+def trimmed(text: str, start: int, end: int, kind: str, ordinary: set[str] = frozenset()) -> tuple[int, int, str] | None:
     """The exact check after decoding: the span without what its type cannot hold, or None if it lacks what it must have.
 
-    A name ends before a full stop that follows a word (an initial's stop stays), has letters at both ends and no digit; a
+    A name ends before a full stop that follows a word (an initial's stop stays), and before ``ordinary`` words of three
+    letters or more (a sentence may begin behind it without a stop), has letters at both ends and no digit, and is more
+    than one word unless a title or rank stands before it; a
     phone number has no letter and at least 7 digits; an address or identity number keeps to one line and has digits.
     """
     piece = text[start:end]
@@ -354,6 +483,8 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         piece = text[start:end]
         cut = _AFTER_NAME.search(piece)
         end = start + cut.start() if cut else end
+        while (last := _LAST_WORD.search(text[start:end])) and len(last[1]) > 2 and last[1].lower() in ordinary:
+            end = start + last.start()
     elif kind == "PHONE":
         letter = regex.search(r"\p{L}|\n", piece)
         end = start + letter.start() if letter else end
@@ -368,7 +499,8 @@ def trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         end += 1  # the stop of an abbreviation belongs to it
     piece = text[start:end]
     digits = sum(c.isdigit() for c in piece)
-    good = {"NAME": digits == 0 and sum(c.isalpha() for c in piece) >= 2, "PHONE": digits >= 7, "ID_NUMBER": digits >= 5, "ADDRESS": digits >= 1 and any(c.isalpha() for c in piece), "EMAIL": "@" in piece or "at" in piece.lower()}[kind]
+    whole = kind != "NAME" or len(_TOKEN.findall(piece)) > 1 or _TITLE.search(text[:start][-12:]) is not None
+    good = {"NAME": whole and digits == 0 and sum(c.isalpha() for c in piece) >= 2, "PHONE": digits >= 7, "ID_NUMBER": digits >= 5, "ADDRESS": digits >= 1 and any(c.isalpha() for c in piece), "EMAIL": "@" in piece or "at" in piece.lower()}[kind]
     return (start, end, kind) if good else None
 
 
@@ -382,10 +514,10 @@ def found(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = dict(documents.dtypes)[doc_id]
 
     def run(batches):
-        field = cloudpickle.loads(shared.value)
+        decoder = Decoder(cloudpickle.loads(shared.value))
         for pdf in batches:
             texts, ids, rows = pdf[text].tolist(), pdf[doc_id].tolist(), []
-            for i, t, spans in zip(ids, texts, pieces(texts, field), strict=True):
+            for i, t, spans in zip(ids, texts, pieces(texts, decoder), strict=True):
                 rows += [(i, *x) for x in dict.fromkeys((k, t[a:b]) for a, b, k in spans)]
             yield pd.DataFrame(rows, columns=[doc_id, "pii_type", "pii_text"])
 
@@ -401,11 +533,11 @@ def masked(documents: DataFrame, text: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
-        field = cloudpickle.loads(shared.value)
+        decoder = Decoder(cloudpickle.loads(shared.value))
         for pdf in batches:
             texts = [t or "" for t in pdf[text]]
             new = []
-            for t, spans in zip(texts, pieces(texts, field), strict=True):
+            for t, spans in zip(texts, pieces(texts, decoder), strict=True):
                 last, parts = 0, []
                 for a, b, kind in spans:
                     parts += [t[last:a], f"[{kind}]"]
