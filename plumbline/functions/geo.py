@@ -72,3 +72,11 @@ def cell_id(level: int, face: Column, i: Column, j: Column) -> Column:
     """One number for a cell, distinct over all levels up to 24."""
     n = 1 << level
     return ((F.lit(level).cast("long") * 6 + face) * n + i) * n + j
+
+
+def level_of(cell: Column, finest: int) -> Column:
+    """The level of a cell number, up to ``finest``."""
+    found = F.lit(0)
+    for level in range(1, finest + 1):
+        found = F.when(cell >= F.lit(level * 6 << 2 * level).cast("long"), level).otherwise(found)
+    return found

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
+from plumbline.operators.proximity import ancestors
 
 
 def _vectors(ring: np.ndarray) -> np.ndarray:
@@ -117,7 +118,9 @@ def points_in_polygons(points: DataFrame, point_id: str, lat: str, lon: str, are
     """Pairs (point, area), one for each polygon that holds the point and each repeated point row.
 
     ``ring`` is an array of structs of latitude and longitude (two doubles each). Unusable points, null ids and rings with
-    fewer than three corners or any null match nothing. The coverage is counted, and broadcast up to ``broadcast_cells``.
+    fewer than three corners or any null match nothing. The coverage is counted by level, and broadcast up to
+    ``broadcast_cells``. Points first meet the cells of its coarsest level, and only those that pass are spread over the
+    levels that occur.
     """
     kind = dict(areas.dtypes)[area_id]
 
@@ -130,13 +133,17 @@ def points_in_polygons(points: DataFrame, point_id: str, lat: str, lon: str, are
 
     good = areas.where(F.col(area_id).isNotNull() & (F.size(ring) >= 3) & ~F.coalesce(F.exists(ring, lambda c: c.isNull()), F.lit(True)))
     cells = good.select(F.col(area_id).alias("area"), F.col(ring).alias("ring")).mapInPandas(cover, f"area {kind}, cell long, interior boolean, within boolean, mu double, mv double, sides array<double>")
-    hint = F.broadcast if cells.limit(broadcast_cells + 1).count() <= broadcast_cells else (lambda df: df)
+    levels = {r["level"]: r["n"] for r in cells.groupBy(geo.level_of(F.col("cell"), fine).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
+    hint = F.broadcast if sum(levels.values()) <= broadcast_cells else (lambda df: df)
+    coarse = min(levels, default=0)
     x, y, z = geo.unit_vector(F.col(lat), F.col(lon))
     face, s, t = geo.home_face(F.col("x"), F.col("y"), F.col("z"))
     spots = points.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("point"), x.alias("x"), y.alias("y"), z.alias("z"))
     spots = spots.select("point", face.alias("face"), s.alias("s"), t.alias("t"))
     at = lambda k: geo.cell_id(k, F.col("face"), geo.step(F.col("s"), k), geo.step(F.col("t"), k))
-    keyed = spots.select("*", F.explode(F.array(*[at(k) for k in range(fine + 1)])).alias("cell"))
+    top = ancestors(cells.select("cell"), coarse, max(levels, default=0)).distinct()
+    near = spots.withColumn("top", at(coarse)).join(hint(top), "top", "left_semi").drop("top")
+    keyed = near.select("*", F.explode(F.array(*[at(k) for k in sorted(levels) or [0]])).alias("cell"))
     met = keyed.join(hint(cells), "cell")
     return met.where(F.col("interior") | _inside()).select("point", "area")
 

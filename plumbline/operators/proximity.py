@@ -17,6 +17,8 @@ from plumbline.functions import geo
 
 #: Coverage rows up to which a coverage (24 bytes a row) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Points of one cell of space and time above which it is cut along time.
+CROWD = 5_000
 
 
 def _corner(face: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def cover_caps(lat: np.ndarray, lon: np.ndarray, radius_m: float, coarse: int, f
 
 
 def coverage(regions: DataFrame, region_id: str, lat: str, lon: str, radius_m: float, coarse: int, fine: int) -> DataFrame:
-    """One row (region, cell, x, y, z, interior) for each cell of each region's coverage; unusable centres have none."""
+    """One row (region, cell, interior, rlat, rlon) for each cell of each region's coverage; unusable centres have none."""
     kind = dict(regions.dtypes)[region_id]
 
     def cover(batches):
@@ -85,13 +87,13 @@ def coverage(regions: DataFrame, region_id: str, lat: str, lon: str, radius_m: f
 
     good = regions.where(geo.usable(F.col(lat), F.col(lon)) & F.col(region_id).isNotNull())
     good = good.select(F.col(region_id).alias("region"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    cells = good.mapInPandas(cover, f"region {kind}, cell long, interior boolean, rlat double, rlon double")
-    x, y, z = geo.unit_vector(F.col("rlat"), F.col("rlon"))
-    return cells.select("region", "cell", "interior", x.alias("rx"), y.alias("ry"), z.alias("rz"))
+    return good.mapInPandas(cover, f"region {kind}, cell long, interior boolean, rlat double, rlon double")
 
 
-def _gap2(one: str, two: str) -> Column:
-    return sum(((F.col(f"{one}{k}") - F.col(f"{two}{k}")) * (F.col(f"{one}{k}") - F.col(f"{two}{k}")) for k in "yz"), (F.col(f"{one}x") - F.col(f"{two}x")) * (F.col(f"{one}x") - F.col(f"{two}x")))
+def _within(one: str, two: str, radius_m: float) -> Column:
+    """The exact distance, after the difference of latitudes, which most pairs fail at less cost."""
+    lat1, lon1, lat2, lon2 = (F.col(f"{side}{c}") for side in (one, two) for c in ("lat", "lon"))
+    return (F.abs(lat1 - lat2) <= math.degrees(radius_m / geo.EARTH_M) * 1.000001) & (geo.distance_m(lat1, lon1, lat2, lon2) <= radius_m)
 
 
 def points_in_regions(points: DataFrame, point_id: str, lat: str, lon: str, regions: DataFrame, region_id: str, region_lat: str, region_lon: str, radius_m: float, levels: int = 4) -> DataFrame:
@@ -105,23 +107,19 @@ def points_in_regions(points: DataFrame, point_id: str, lat: str, lon: str, regi
     coarse = max(1, math.floor(math.log2(math.pi / 2 * geo.EARTH_M / (1.6 * radius_m))))
     fine = min(24, coarse + levels)
     cover = coverage(regions, region_id, region_lat, region_lon, radius_m, coarse, fine)
-    # The regions' table decides the join's form; the count runs over regions only.
-    small = regions.count() * 400 <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if cover.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     x, y, z = geo.unit_vector(F.col(lat), F.col(lon))
     face, s, t = geo.home_face(F.col("px"), F.col("py"), F.col("pz"))
-    spots = points.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("point"), x.alias("px"), y.alias("py"), z.alias("pz"))
-    spots = spots.select("*", face.alias("face"), geo.step(s, fine).alias("i"), geo.step(t, fine).alias("j"))
+    spots = points.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("point"), F.col(lat).alias("plat"), F.col(lon).alias("plon"), x.alias("px"), y.alias("py"), z.alias("pz"))
+    spots = spots.select("point", "plat", "plon", face.alias("face"), geo.step(s, fine).alias("i"), geo.step(t, fine).alias("j"))
     at = lambda level: geo.cell_id(level, F.col("face"), F.shiftright("i", fine - level), F.shiftright("j", fine - level))
-    cells = cover.select("cell")
-    top = _ancestors(cells, coarse, fine).distinct()
+    top = ancestors(cover.select("cell"), coarse, fine).distinct()
     near = spots.withColumn("top", at(coarse)).join(hint(top), "top", "left_semi")
-    keyed = near.select("point", "px", "py", "pz", F.explode(F.array(*[at(k) for k in range(coarse, fine + 1)])).alias("cell"))
-    met = keyed.join(hint(cover), "cell").where(F.col("interior") | (_gap2("p", "r") <= geo.chord2(radius_m)))
-    return met.select("point", "region")
+    keyed = near.select("point", "plat", "plon", F.explode(F.array(*[at(k) for k in range(coarse, fine + 1)])).alias("cell"))
+    return keyed.join(hint(cover), "cell").where(F.col("interior") | _within("p", "r", radius_m)).select("point", "region")
 
 
-def _ancestors(cells: DataFrame, coarse: int, fine: int) -> DataFrame:
+def ancestors(cells: DataFrame, coarse: int, fine: int) -> DataFrame:
     """The cells of level ``coarse`` that hold the given ones."""
     found = None
     for level in range(coarse, fine + 1):
@@ -134,31 +132,39 @@ def _ancestors(cells: DataFrame, coarse: int, fine: int) -> DataFrame:
     return found
 
 
-def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: str, lon: str, at: str, radius_m: float, seconds: int) -> DataFrame:
+def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: str, lon: str, at: str, radius_m: float, seconds: int, counted: DataFrame | None = None, crowd: int = CROWD) -> DataFrame:
     """Pairs (id_a < id_b) of points of different owners at most ``radius_m`` and ``seconds`` apart, each pair once.
 
     ``points`` has one row a point id. Null ids, owners, times and unusable coordinates match nothing. Each point lies in
     one cell of space and time, and copies go to the later cells that its reach touches (half a copy a point on average),
     so that one equi-join finds all pairs. Points in the same small cell are near by construction; others get the exact
-    distance.
+    distance. Cells with more than ``crowd`` points are cut into stretches of ``seconds``: a point then meets those of its
+    own stretch and of the two beside it, whatever the cell holds. ``counted`` has the columns of ``points`` and at least
+    its rows, where these are cheaper to count.
     """
     reach = radius_m / geo.EARTH_M * geo.FACE_RATE
     level = max(0, min(20, math.floor(math.log2(1 / (3.2 * reach)))))
     # A cell of this finer level is at most 90 degrees / 2**sub wide; its diagonal is within the radius.
     sub = max(level, math.ceil(math.log2(math.pi / 2 * geo.EARTH_M * math.sqrt(2) / radius_m) + 1e-9))
     width = 8 * seconds
-    x, y, z = geo.unit_vector(F.col("lat"), F.col("lon"))
-    good = points.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull() & F.col(owner).isNotNull() & F.col(at).isNotNull())
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    spots = good.select(F.col(point_id).alias("id"), F.col(owner).alias("own"), micros.alias("us"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    spots = spots.select("*", x.alias("x"), y.alias("y"), z.alias("z"))
-    face, s, t = geo.home_face(F.col("x"), F.col("y"), F.col("z"))
     slot = lambda shift: F.floor((F.col("us") + shift) / F.lit(width * 1_000_000)).cast("long")
-    spots = spots.select("*", face.alias("face"), geo.step(s, sub).alias("fi"), geo.step(t, sub).alias("fj"))
-    home_cell = geo.cell_id(level, F.col("face"), F.shiftright("fi", sub - level), F.shiftright("fj", sub - level))
-    below = (1 << (sub - level)) - 1
-    part = (F.col("fi").bitwiseAND(below) * (below + 1) + F.col("fj").bitwiseAND(below)).cast("int")
-    spots = spots.select("id", "own", "us", "lat", "lon", "x", "y", "z", home_cell.alias("home"), slot(0).alias("now"), part.alias("part"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        x, y, z = geo.unit_vector(F.col("lat"), F.col("lon"))
+        good = rows.where(geo.usable(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull() & F.col(owner).isNotNull() & F.col(at).isNotNull())
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+        there = good.select(F.col(point_id).alias("id"), F.col(owner).alias("own"), micros.alias("us"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+        there = there.select("*", x.alias("x"), y.alias("y"), z.alias("z"))
+        face, s, t = geo.home_face(F.col("x"), F.col("y"), F.col("z"))
+        there = there.select("*", face.alias("face"), geo.step(s, sub).alias("fi"), geo.step(t, sub).alias("fj"))
+        home_cell = geo.cell_id(level, F.col("face"), F.shiftright("fi", sub - level), F.shiftright("fj", sub - level))
+        below = (1 << (sub - level)) - 1
+        part = (F.col("fi").bitwiseAND(below) * (below + 1) + F.col("fj").bitwiseAND(below)).cast("int")
+        return there.select("id", "own", "us", "lat", "lon", "x", "y", "z", home_cell.alias("home"), slot(0).alias("now"), part.alias("part"))
+
+    spots = placed(points)
+    crowded = placed(points if counted is None else counted).groupBy(F.col("home").alias("hot_cell"), F.col("now").alias("hot_slot")).count().where(F.col("count") > crowd).drop("count")
+    n_crowded = crowded.count()
     kept = ("id", "own", "us", "lat", "lon")
     one = spots.select("home", F.col("now").alias("slot"), *[F.col(c).alias(f"a_{c}") for c in (*kept, "part")])
 
@@ -176,8 +182,16 @@ def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: st
     same = (F.col("cell") == F.col("home")) & (F.col("slot") == F.col("now"))
     two = two.where(same | (F.col("cell") > F.col("home")) | ((F.col("cell") == F.col("home")) & (F.col("slot") > F.col("now"))))
     two = two.select(F.col("cell").alias("home"), "slot", *[F.col(c).alias(f"b_{c}") for c in kept], F.when(F.col("cell") == F.col("home"), F.col("part")).otherwise(F.lit(-1)).alias("b_part"), same.alias("b_home"))
-    within = geo.distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= radius_m
-    met = one.join(two, ["home", "slot"]).where(
-        (F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000) & (F.col("a_own") != F.col("b_own")) & (~F.col("b_home") | (F.col("a_id") < F.col("b_id"))) & ((F.col("a_part") == F.col("b_part")) | ((F.abs(F.col("a_lat") - F.col("b_lat")) <= math.degrees(radius_m / geo.EARTH_M) * 1.000001) & within))
+    stretch = lambda us: F.floor(us / F.lit(seconds * 1_000_000)).cast("long")
+    if n_crowded:
+        hint = F.broadcast if n_crowded <= BROADCAST_ROWS else (lambda df: df)
+        none = F.lit(-(2**62)).cast("long")
+        is_hot = F.col("hot_cell").isNotNull()
+        cell = (F.col("home") == F.col("hot_cell")) & (F.col("slot") == F.col("hot_slot"))
+        one = one.join(hint(crowded), cell, "left").withColumn("stretch", F.when(is_hot, stretch(F.col("a_us"))).otherwise(none)).drop("hot_cell", "hot_slot")
+        beside = F.sequence(stretch(F.col("b_us")) - 1, stretch(F.col("b_us")) + 1)
+        two = two.join(hint(crowded), cell, "left").withColumn("stretch", F.explode(F.when(is_hot, beside).otherwise(F.array(none)))).drop("hot_cell", "hot_slot")
+    met = one.join(two, ["home", "slot", *(["stretch"] if n_crowded else [])]).where(
+        (F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000) & (F.col("a_own") != F.col("b_own")) & (~F.col("b_home") | (F.col("a_id") < F.col("b_id"))) & ((F.col("a_part") == F.col("b_part")) | _within("a_", "b_", radius_m))
     )
     return met.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import imo_is_valid
-from plumbline.operators import history, profile, proximity, spikes, timestamps
+from plumbline.operators import areas, history, profile, proximity, spikes, timestamps
 from plumbline.session import spread
 from plumbline.sources.tables import table
 
@@ -23,14 +23,25 @@ def reports_once(reports: DataFrame, *columns: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ports at most 1,500 m from each report, and reports of other vessels at most 500 m and 120 s from each other."""
-    reports = reports_once(table(spark, folder, "position_reports"), "mmsi", LAT, LON, AT)
+    raw = table(spark, folder, "position_reports")
+    reports = reports_once(raw, "mmsi", LAT, LON, AT)
     ports = table(spark, folder, "ports")
     at_port = proximity.points_in_regions(reports, "report_id", LAT, LON, ports, "port_id", "matchedPort_latitude", "matchedPort_longitude", 1500.0)
     at_port = at_port.select(F.lit("port").alias("near_kind"), F.col("point").alias("id_a"), F.col("region").alias("id_b"))
-    met = proximity.near_in_space_and_time(reports, "report_id", "mmsi", LAT, LON, AT, 500.0, 120)
+    met = proximity.near_in_space_and_time(reports, "report_id", "mmsi", LAT, LON, AT, 500.0, 120, counted=raw)
     return at_port.unionByName(met.select(F.lit("vessel").alias("near_kind"), "id_a", "id_b"))
 
 
+def p1_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """The harbour areas that hold each report: four-sided ones, 0.1 degrees wide and high, around every port below 85
+    degrees, with great circles as sides."""
+    reports = reports_once(table(spark, folder, "position_reports"), LAT, LON)
+    lat, lon = F.col("matchedPort_latitude"), F.col("matchedPort_longitude")
+    corner = lambda i, j: F.struct((lat + 0.05 * i).alias("lat"), (lon + 0.05 * j).alias("lon"))
+    ports = table(spark, folder, "ports").where(F.abs(lat) < 85).withColumn("ring", F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1)))
+    return areas.points_in_polygons(reports, "report_id", LAT, LON, ports, "port_id", "ring").select(F.col("point").alias("report_id"), F.col("area").alias("port_id"))
+
+
 CALLSIGN = r"\A[A-Z0-9]{4,7}\z"
 
 
@@ -160,7 +171,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("imo", "field_name", "field_value", text("valid_from").alias("valid_from"), F.coalesce(text("valid_to"), F.lit("open")).alias("valid_to"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_measures, p2_ranges, p2_profile, p3_found, p3_zones, p4_found, p4_flags, p4_cutoffs, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_areas, p2_found, p2_measures, p2_ranges, p2_profile, p3_found, p3_zones, p4_found, p4_flags, p4_cutoffs, p5_found, p5_ledger)}
 
 _IMO_SQL = "({0} between 1000000 and 9999999 and ((({0}//1000000)%10)*7+(({0}//100000)%10)*6+(({0}//10000)%10)*5+(({0}//1000)%10)*4+(({0}//100)%10)*3+(({0}//10)%10)*2)%10={0}%10)"
 _LOAD_COLUMNS = {"number": ["row_id", "load_id", "series_id", "load_no", "imo", "mmsi", "deadweight", "grossTonnage", "builtYear"], "text": ["name", "callsign", "flag", "vessel_type"], "time": ["InsertDate", "UpdateDate"]}
@@ -186,6 +197,13 @@ union all
 select 'vessel', a.report_id, b.report_id from u a join u b on a.report_id < b.report_id and a.mmsi <> b.mmsi
  and b.ts between a.ts - interval 120 second and a.ts + interval 120 second and abs(a.la - b.la) < 0.01
  and 2*6371008.8*asin(least(1, sqrt(sin(radians(b.la-a.la)/2)**2 + cos(radians(a.la))*cos(radians(b.la))*sin(radians(b.lo-a.lo)/2)**2))) <= 500""",
+    # A side between points of equal latitude bulges towards the pole: its tangent of latitude follows the cosine of longitude.
+    "p1_areas": """
+with r as (select report_id, min(last_position_latitude) la, min(last_position_longitude) lo from position_reports group by 1),
+u as (select * from r where la between -90 and 90 and lo between -180 and 180 and not (la = 0 and lo = 0)),
+p as (select port_id, matchedPort_latitude pla, matchedPort_longitude plo from ports where abs(matchedPort_latitude) < 85),
+j as (select *, radians(((lo - plo + 540) % 360 + 360) % 360 - 180) d from u join p on abs(la - pla) < 0.2)
+select report_id, port_id from j where abs(d) <= radians(0.05) and tan(radians(la)) between tan(radians(pla - 0.05)) * cos(d) / cos(radians(0.05)) and tan(radians(pla + 0.05)) * cos(d) / cos(radians(0.05))""",
     "p2_found": f"""
 with {_MEASURES_SQL}
 select a.load_id, a.column_name, a.measure from l a join l b on a.series_id = b.series_id and a.load_no = b.load_no + 1 and a.column_name = b.column_name and a.measure = b.measure

@@ -54,8 +54,8 @@ def test_empty_tables(spark):
     assert near_in_space_and_time(none, "id", "own", "lat", "lon", "at", 500.0, 120).count() == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_neighbours_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(3, 5000), (4, 5000), (3, 10), (4, 10)])
+def test_neighbours_match_brute_force(spark, seed, crowd):
     import datetime as dt
 
     r = random.Random(seed)
@@ -65,7 +65,7 @@ def test_neighbours_match_brute_force(spark, seed):
     points += [(1000 + i, 99, 45.0, 45.0, t0 + dt.timedelta(seconds=i)) for i in range(300)]
     points += [(5000, None, 45.0, 45.0, t0), (5001, 5, 45.0, 45.0, None), (5002, 5, None, 45.0, t0)]
     df = spark.createDataFrame(points, "id long, own long, lat double, lon double, at timestamp_ntz")
-    rows = [tuple(x) for x in near_in_space_and_time(df, "id", "own", "lat", "lon", "at", 500.0, 120).collect()]
+    rows = [tuple(x) for x in near_in_space_and_time(df, "id", "own", "lat", "lon", "at", 500.0, 120, crowd=crowd).collect()]
     use = [p for p in points if good(p[2:4]) and p[1] is not None and p[4] is not None]
     want = {(a[0], b[0]) for a in use for b in use if a[0] < b[0] and a[1] != b[1] and abs((a[4] - b[4]).total_seconds()) <= 120 and metres(a[2:4], b[2:4]) <= 500}
     assert len(want) > 100 and set(rows) == want and len(rows) == len(want)
