@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geo
 from plumbline.operators.proximity import ancestors
+from plumbline.session import cut
 
 
 def _vectors(ring: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def points_in_polygons(points: DataFrame, point_id: str, lat: str, lon: str, are
     """Pairs (point, area), one for each polygon that holds the point and each repeated point row.
 
     ``ring`` is an array of structs of latitude and longitude (two doubles each). Unusable points, null ids and rings with
-    fewer than three corners or any null match nothing. The coverage is counted by level, and broadcast up to
+    fewer than three corners or any null match nothing. The coverage is written once, counted by level, and broadcast up to
     ``broadcast_cells``. Points first meet the cells of its coarsest level, and only those that pass are spread over the
     levels that occur.
     """
@@ -132,7 +133,7 @@ def points_in_polygons(points: DataFrame, point_id: str, lat: str, lon: str, are
             yield pd.DataFrame(rows, columns=["area", "cell", "interior", "within", "mu", "mv", "sides"])
 
     good = areas.where(F.col(area_id).isNotNull() & (F.size(ring) >= 3) & ~F.coalesce(F.exists(ring, lambda c: c.isNull()), F.lit(True)))
-    cells = good.select(F.col(area_id).alias("area"), F.col(ring).alias("ring")).mapInPandas(cover, f"area {kind}, cell long, interior boolean, within boolean, mu double, mv double, sides array<double>")
+    cells = cut(good.select(F.col(area_id).alias("area"), F.col(ring).alias("ring")).mapInPandas(cover, f"area {kind}, cell long, interior boolean, within boolean, mu double, mv double, sides array<double>"))
     levels = {r["level"]: r["n"] for r in cells.groupBy(geo.level_of(F.col("cell"), fine).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
     hint = F.broadcast if sum(levels.values()) <= broadcast_cells else (lambda df: df)
     coarse = min(levels, default=0)

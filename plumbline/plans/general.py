@@ -39,7 +39,7 @@ def p1_areas(spark: SparkSession, folder: str) -> DataFrame:
     lat, lon = F.col("matchedPort_latitude"), F.col("matchedPort_longitude")
     corner = lambda i, j: F.struct((lat + 0.05 * i).alias("lat"), (lon + 0.05 * j).alias("lon"))
     ports = table(spark, folder, "ports").where(F.abs(lat) < 85).withColumn("ring", F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1)))
-    return areas.points_in_polygons(reports, "report_id", LAT, LON, ports, "port_id", "ring").select(F.col("point").alias("report_id"), F.col("area").alias("port_id"))
+    return areas.points_in_polygons(reports, "report_id", LAT, LON, ports, "port_id", "ring", fine=12).select(F.col("point").alias("report_id"), F.col("area").alias("port_id"))
 
 
 CALLSIGN = r"\A[A-Z0-9]{4,7}\z"
