@@ -225,13 +225,16 @@ def to_utc(rows: DataFrame, row_id: str, source: str, arrived: str, fields: list
     known = F.broadcast(clocks.select(F.col("source").alias("_source"), F.coalesce("zone", F.lit("UTC")).alias("_zone"), F.col("order").alias("_order")))
     long = fields_long(rows, row_id, source, arrived, fields).join(known, F.col(source) == F.col("_source"), "left")
     declared = read(long.where(F.col("_source").isNotNull() | F.col(source).isNull()), "field_text", F.col("field_name") == yearless, "_order", arrived)
-    # Only rows of undeclared sources meet the estimate; most feeds have none.
-    others = read(long.where(F.col("_source").isNull() & F.col(source).isNotNull()).drop("_zone"), "field_text", F.col("field_name") == yearless, "_order", arrived)
-    told = declared.where((F.col("field_name") != yearless) & ~F.col("zoneless")).drop("_zone").unionByName(others.where(F.col("field_name") != yearless))
-    guessed = estimate_history(told, row_id, source, arrived, candidates(clocks)).select(F.col("source").alias("_guess"), "day", F.col("zone").alias("_zone"))
-    day = F.floor(F.unix_micros(F.col(arrived).cast("timestamp")) / DAY)
-    others = others.join(guessed, (F.col(source) == F.col("_guess")) & (day == F.col("day")), "left").select(*declared.columns)
-    done = declared.unionByName(others)
+    done = declared
+    # Most feeds have no undeclared source; only rows of such ones meet the estimate.
+    strange = rows.where(F.col(source).isNotNull()).select(F.col(source).alias("_any")).join(known, F.col("_any") == F.col("_source"), "left_anti")
+    if not strange.isEmpty():
+        others = read(long.where(F.col("_source").isNull() & F.col(source).isNotNull()).drop("_zone"), "field_text", F.col("field_name") == yearless, "_order", arrived)
+        told = declared.where((F.col("field_name") != yearless) & ~F.col("zoneless")).drop("_zone").unionByName(others.where(F.col("field_name") != yearless))
+        guessed = estimate_history(told, row_id, source, arrived, candidates(clocks)).select(F.col("source").alias("_guess"), "day", F.col("zone").alias("_zone"))
+        day = F.floor(F.unix_micros(F.col(arrived).cast("timestamp")) / DAY)
+        others = others.join(guessed, (F.col(source) == F.col("_guess")) & (day == F.col("day")), "left").select(*declared.columns)
+        done = declared.unionByName(others)
     zone = F.col("_zone")
     instant = F.when(F.col("zoneless"), F.when(zone == "UTC", F.col("wall")).otherwise(_on_clock(F.col("wall"), zone))).otherwise(F.col("wall") - F.col("offset").cast("long") * 60_000_000)
     since, until = (int((dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days) * DAY for y in (first_year, last_year + 1))
