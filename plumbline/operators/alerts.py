@@ -21,10 +21,19 @@ def rule_alerts(results: DataFrame, key: str, sample: int = 100) -> DataFrame:
     return counts.join(samples, F.col("rule_id") == F.col("of")).select(F.col("rule_id").alias("alert_type"), "severity", "affected", "sample")
 
 
-def anomaly_alerts(found: DataFrame, severities: dict[str, str], default: str = "medium", confidence: float = 0.85) -> DataFrame:
-    """(alert_type, severity, affected, confidence): a row for each kind of anomaly that was found."""
+def anomaly_alerts(found: DataFrame, severities: dict[str, str], default: str = "medium", confidence: float = 0.85, sample: int = 50) -> DataFrame:
+    """(alert_type, severity, affected, confidence, sample): a row for each kind of anomaly that was found.
+
+    The sample is the first ``sample`` distinct IMO numbers with that anomaly.
+    """
+    from pyspark.sql import Window as W
+
     names = F.create_map(*[F.lit(x) for pair in severities.items() for x in pair]) if severities else F.create_map(F.lit(""), F.lit(""))
-    return found.groupBy(F.col("anomaly_type").alias("alert_type")).agg(F.count(F.lit(1)).alias("affected")).select("alert_type", F.coalesce(F.try_element_at(names, "alert_type"), F.lit(default)).alias("severity"), "affected", F.lit(confidence).alias("confidence"))
+    counts = found.groupBy(F.col("anomaly_type").alias("alert_type")).agg(F.count(F.lit(1)).alias("affected"))
+    each = found.where("imo is not null").select("anomaly_type", "imo").distinct()
+    first = each.withColumn("rank", F.row_number().over(W.partitionBy("anomaly_type").orderBy("imo"))).where(F.col("rank") <= sample)
+    samples = first.groupBy(F.col("anomaly_type").alias("of")).agg(F.array_sort(F.collect_list("imo")).alias("sample"))
+    return counts.join(samples, F.col("alert_type") == F.col("of"), "left").select("alert_type", F.coalesce(F.try_element_at(names, "alert_type"), F.lit(default)).alias("severity"), "affected", F.lit(confidence).alias("confidence"), "sample")
 
 
 def summary(alerts: DataFrame) -> DataFrame:

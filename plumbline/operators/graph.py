@@ -156,8 +156,39 @@ def filtered(records: DataFrame, **selected: str | None) -> DataFrame:
     return records
 
 
-def facets(records: DataFrame, names: tuple[str, ...] = ("category", "vessel_type", "flag", "validation_status"), **selected: str | None) -> DataFrame:
-    """(facet, choices): the sorted values each facet still has after the selected ones; null and empty are left out."""
+def facets(records: DataFrame, names: tuple[str, ...] = tuple(FACETS), **selected: str | None) -> DataFrame:
+    """(facet, choice): a row for each value that a facet still has after the selected ones; null and empty are left out."""
     rows = filtered(records, **selected)
-    sets = rows.agg(*[F.array_sort(F.collect_set(F.nullif(F.col(FACETS[n]), F.lit("")))).alias(n) for n in names])
-    return sets.select(F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), F.col(n).alias("choices")) for n in names])).alias("f")).select("f.*")
+    each = F.array(*[F.struct(F.lit(n).alias("facet"), F.nullif(F.col(FACETS[n]).cast("string"), F.lit("")).alias("choice")) for n in names])
+    return rows.select(F.explode(each).alias("f")).select("f.*").where("choice is not null").distinct()
+
+
+#: Graph names of the properties of a vessel's node, by column.
+PROPERTIES = {
+    "imo": "imo", "mmsi": "mmsi", "name": "name", "callsign": "callsign", "vessel_type": "vessel_type", "flag": "flag", "length": "length", "width": "width", "draught": "draught", "gross_tonnage": "grossTonnage", "deadweight": "deadweight",
+    "built_year": "builtYear", "builder": "shipBuilder", "latitude": "last_position_latitude", "longitude": "last_position_longitude", "speed": "last_position_speed", "course": "last_position_course", "destination": "destination",
+}
+
+
+def vessel_properties(records: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, 18 properties, validation_status, validation_errors): each record as the node that it writes.
+
+    ``records`` come from ``validate.with_status``. Records without vessel make no node.
+    """
+    return records.select(key, entity_key().alias("node_id"), *[F.col(c).alias(n) for n, c in PROPERTIES.items()], "validation_status", "validation_errors").where("node_id is not null")
+
+
+def vessel_statistics(records: DataFrame, seq: str) -> DataFrame:
+    """(kind, name, n): vessels in all, by the validation status of their last record, and by the type of it."""
+    rows = records.withColumn("node_id", entity_key()).where("node_id is not null")
+    last = rows.groupBy("node_id").agg(F.max_by("validation_status", seq).alias("status"), F.max_by("vessel_type", F.when(F.col("vessel_type") != "", F.col(seq))).alias("type"))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("vessels", F.lit("total")), ("status", F.col("status")), ("type", F.col("type")))])
+    return last.select(F.explode(each).alias("e")).select("e.*").where("name is not null").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_nodes(written: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes of a graph that is there with new ones merged in by node_id: new filled values replace, others stay."""
+    other = [c for c in written.columns if c != "node_id"]
+    more = new.select(F.col("node_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in other])
+    both = written.join(more, F.col("node_id") == F.col("_id"), "full")
+    return both.select(F.coalesce("node_id", "_id").alias("node_id"), *[F.coalesce(f"_{c}", c).alias(c) for c in other])

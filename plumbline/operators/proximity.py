@@ -163,7 +163,8 @@ def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: st
         return there.select("id", "own", "us", "lat", "lon", "x", "y", "z", home_cell.alias("home"), slot(0).alias("now"), part.alias("part"))
 
     spots = placed(points)
-    crowded = placed(points if counted is None else counted).groupBy(F.col("home").alias("hot_cell"), F.col("now").alias("hot_slot")).count().where(F.col("count") > crowd).drop("count")
+    # Cells are counted by a hash: two that share it may count as crowded together, which only cuts them without need.
+    crowded = placed(points if counted is None else counted).groupBy(F.hash("home", "now").alias("hot")).count().where(F.col("count") > crowd).select("hot")
     n_crowded = crowded.count()
     kept = ("id", "own", "us", "lat", "lon")
     one = spots.select("home", F.col("now").alias("slot"), *[F.col(c).alias(f"a_{c}") for c in (*kept, "part")])
@@ -186,11 +187,10 @@ def near_in_space_and_time(points: DataFrame, point_id: str, owner: str, lat: st
     if n_crowded:
         hint = F.broadcast if n_crowded <= BROADCAST_ROWS else (lambda df: df)
         none = F.lit(-(2**62)).cast("long")
-        is_hot = F.col("hot_cell").isNotNull()
-        cell = (F.col("home") == F.col("hot_cell")) & (F.col("slot") == F.col("hot_slot"))
-        one = one.join(hint(crowded), cell, "left").withColumn("stretch", F.when(is_hot, stretch(F.col("a_us"))).otherwise(none)).drop("hot_cell", "hot_slot")
+        is_hot, cell = F.col("hot").isNotNull(), F.hash("home", "slot") == F.col("hot")
+        one = one.join(hint(crowded), cell, "left").withColumn("stretch", F.when(is_hot, stretch(F.col("a_us"))).otherwise(none)).drop("hot")
         beside = F.sequence(stretch(F.col("b_us")) - 1, stretch(F.col("b_us")) + 1)
-        two = two.join(hint(crowded), cell, "left").withColumn("stretch", F.explode(F.when(is_hot, beside).otherwise(F.array(none)))).drop("hot_cell", "hot_slot")
+        two = two.join(hint(crowded), cell, "left").withColumn("stretch", F.explode(F.when(is_hot, beside).otherwise(F.array(none)))).drop("hot")
     met = one.join(two, ["home", "slot", *(["stretch"] if n_crowded else [])]).where(
         (F.abs(F.col("a_us") - F.col("b_us")) <= seconds * 1_000_000) & (F.col("a_own") != F.col("b_own")) & (~F.col("b_home") | (F.col("a_id") < F.col("b_id"))) & ((F.col("a_part") == F.col("b_part")) | _within("a_", "b_", radius_m))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_jaccard, tidy_name
@@ -51,30 +52,68 @@ def top_duplicates(df: DataFrame, key: Column, limit: int = 10) -> DataFrame:
     return df.select(key.alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.col("n").desc(), "key").limit(limit)
 
 
-def variation(df: DataFrame, key: str, columns: list[str], limit: int | None = 20, more_than: int = 1) -> DataFrame:
-    """(key, values_<c>..., rows): keys whose first column of ``columns`` has more than ``more_than`` distinct values.
+#: Values that a report lists of one key, the least first; the number of all stands beside them.
+LISTED = 50
 
-    ``limit`` keeps the lowest keys (it is the report's feature); None keeps all. Distinct values are pre-aggregated.
+
+def _listed(rows: DataFrame, key: str, column: str, most: int = LISTED) -> DataFrame:
+    """(key, <column>_values, <column>_n): the first ``most`` distinct values of each key and how many there are.
+
+    Values become distinct before anything is listed, and the rank's limit is applied before the shuffle as well, so no
+    key, however frequent, has a long list in any task.
+    """
+    each = rows.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count(F.lit(1)).alias("_c"))
+    counts = each.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(f"{column}_n"))
+    first = each.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(column))).where(F.col("_rank") <= most)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(column)).alias(f"{column}_values"))
+    return lists.join(counts, F.col(key) == F.col("_key")).drop("_key")
+
+
+def variation(df: DataFrame, key: str, columns: list[str], limit: int | None = 20, more_than: int = 1, first: tuple[str, str] | None = None) -> DataFrame:
+    """(key, n_distinct, <c>_values..., n_rows): keys whose first column of ``columns`` has more than ``more_than`` values.
+
+    ``limit`` keeps the lowest keys (it is the report's feature); None keeps all. Each list has ``LISTED`` values at most.
+    ``first`` (column, order) adds first_<column>: its value in the earliest row that has one.
     """
     head = columns[0]
     rows = df.where(F.col(key).isNotNull() & ((F.col(key) > 0) if key == "imo" else F.lit(True)))
-    found = rows.groupBy(key).agg(F.count_distinct(head).alias("n_distinct"), *[F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in columns], F.count(F.lit(1)).alias("n_rows")).where(F.col("n_distinct") > more_than)
-    return found.orderBy(key).limit(limit) if limit else found
+    early = [F.min_by(first[0], F.when(F.col(first[0]).isNotNull(), F.col(first[1]))).alias(f"first_{first[0]}")] if first else []
+    found = rows.groupBy(key).agg(F.count_distinct(head).alias("n_distinct"), F.count(F.lit(1)).alias("n_rows"), *early).where(F.col("n_distinct") > more_than)
+    found = found.orderBy(key).limit(limit) if limit else found
+    for c in columns:
+        of = _listed(rows.join(found.select(key), key, "left_semi"), key, c).drop(f"{c}_n")
+        found = found.join(of, key, "left")
+    return found
+
+
+def varying_keys(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(column_name, n_keys): for each column the number of keys that have more than one value of it."""
+    rows = df.where(F.col(key).isNotNull() & ((F.col(key) > 0) if key == "imo" else F.lit(True)))
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = rows.select(key, F.explode(each).alias("e")).select(key, "e.*").where("value is not null").distinct()
+    many = long.groupBy("column_name", key).count()
+    return many.groupBy("column_name").agg(F.count_if(F.col("count") > 1).alias("n_keys"))
 
 
 def identifier_conflicts(df: DataFrame) -> DataFrame:
-    """(direction, key, conflicting, n_rows): IMO numbers with several MMSI numbers and the reverse."""
+    """(direction, key, conflicting, n_values, n_rows): IMO numbers with several MMSI numbers and the reverse; the first
+    ``LISTED`` values of each."""
     rows = df.where((F.col("imo") > 0) & F.col("mmsi").isNotNull())
-    one = rows.groupBy(F.col("imo").alias("key")).agg(F.array_sort(F.collect_set("mmsi")).alias("conflicting"), F.count(F.lit(1)).alias("n_rows")).where(F.size("conflicting") > 1)
-    two = rows.groupBy(F.col("mmsi").alias("key")).agg(F.array_sort(F.collect_set("imo")).alias("conflicting"), F.count(F.lit(1)).alias("n_rows")).where(F.size("conflicting") > 1)
-    return one.select(F.lit("imo_to_mmsi").alias("direction"), "*").unionByName(two.select(F.lit("mmsi_to_imo").alias("direction"), "*"))
+    out = None
+    for direction, key, other in (("imo_to_mmsi", "imo", "mmsi"), ("mmsi_to_imo", "mmsi", "imo")):
+        n = rows.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+        many = _listed(rows, key, other).where(F.col(f"{other}_n") > 1)
+        one = many.join(n, F.col(key) == F.col("key")).select(F.lit(direction).alias("direction"), "key", F.col(f"{other}_values").alias("conflicting"), F.col(f"{other}_n").alias("n_values"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def identifier_switching(df: DataFrame, key: str, other: str, more_than: int, scale: int) -> DataFrame:
-    """(key, values, n_values, confidence): keys with more than ``more_than`` values of ``other``; confidence grows to 1."""
+    """(key, found_values, n_values, confidence): keys with more than ``more_than`` values of ``other``; confidence grows
+    to 1. The first ``LISTED`` values are listed."""
     rows = df.where((F.col("imo") > 0) & F.col("mmsi").isNotNull())
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_set(other)).alias("found_values")).where(F.size("found_values") > more_than)
-    return found.select(key, "found_values", F.size("found_values").alias("n_values"), F.bround(F.least(F.lit(1.0), F.size("found_values") / F.lit(float(scale))), 4).alias("confidence"))
+    n = F.col(f"{other}_n")
+    return _listed(rows, key, other).where(n > more_than).select(key, F.col(f"{other}_values").alias("found_values"), n.cast("int").alias("n_values"), F.bround(F.least(F.lit(1.0), n / F.lit(float(scale))), 4).alias("confidence"))
 
 
 def inconsistent_attributes(df: DataFrame, numbers: list[str], kinds: list[str], tolerance: float = 0.1) -> DataFrame:

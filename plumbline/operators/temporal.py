@@ -106,11 +106,18 @@ def canonical(runs: DataFrame, registry: tuple[str, ...] = ()) -> DataFrame:
     return last.select("entity_id", "attribute", "r.value", F.round(F.least(F.lit(1.0), base + 0.05 * (F.col("r.n") - 1)), 4).alias("confidence"), F.col("r.start_date").alias("since"))
 
 
-def canonical_entities(runs: DataFrame) -> DataFrame:
-    """(entity_id, current, history): nested view of an entity, values by attribute and their runs in order."""
+def canonical_entities(runs: DataFrame, most: int = 100) -> DataFrame:
+    """(entity_id, current, history, n_runs): nested view of an entity, values by attribute and their runs in order.
+
+    A history has the last ``most`` runs of an attribute; ``n_runs`` counts all of the entity's.
+    """
+    rank = F.row_number().over(W.partitionBy("entity_id", "attribute").orderBy(F.col("run").desc()))
+    counts = runs.groupBy(F.col("entity_id").alias("_of")).agg(F.count(F.lit(1)).alias("n_runs"))
+    last = runs.withColumn("_rank", rank).where(F.col("_rank") <= most)
     history = F.array_sort(F.collect_list(F.struct("run", "value", "start_date", "end_date")))
-    by = runs.groupBy("entity_id", "attribute").agg(history.alias("h"))
-    return by.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute", F.element_at("h", -1)["value"]))).alias("current"), F.map_from_entries(F.collect_list(F.struct("attribute", "h"))).alias("history"))
+    by = last.groupBy("entity_id", "attribute").agg(history.alias("h"))
+    nested = by.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute", F.element_at("h", -1)["value"]))).alias("current"), F.map_from_entries(F.collect_list(F.struct("attribute", "h"))).alias("history"))
+    return nested.join(counts, F.col("entity_id") == F.col("_of")).drop("_of")
 
 
 def changes(runs: DataFrame, attribute: str, since=None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +89,12 @@ def run(df: DataFrame, query: Query, ignore_unknown: bool = False, at: str = "Up
     return df.select(*query.columns) if query.columns else df
 
 
+def page(df: DataFrame, query: Query) -> DataFrame:
+    """The rows of ``query`` with ``total_count``, the number of rows that it has without limit and offset."""
+    whole = run(df, replace(query, limit=None, offset=0, sort_by=None, columns=())).agg(F.count(F.lit(1)).alias("total_count"))  # one row
+    return run(df, query).crossJoin(F.broadcast(whole))
+
+
 def history(df: DataFrame, query: Query, at: str, seq: str) -> DataFrame:
     """(attribute, value, start_date, end_date) of mmsi, name and flag for the filtered vessels."""
     for f in query.filters:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from plumbline.operators import alerts, graph, quality, resolve, temporal, valid
 from plumbline.plans import cypher as cy
 from plumbline.plans import language
 from plumbline.plans import query as q
+from plumbline.session import shared_folder
 from plumbline.sources import vessels as source
 from plumbline.sources.tables import table
 
@@ -74,9 +76,25 @@ def v_mmsi_rule(spark, folder):
     return records(spark, folder).select("record_id", validate.mmsi_error(F.col("mmsi")).alias("error_message"))
 
 
-@query(f"with {_CHECKS} select record_id, rule_id, is_valid, severity from long")
+def _coordinate_sql(name: str, limit: int) -> str:
+    c = f"last_position_{name.lower()}"
+    return f"case when {c} is null then null when {c} not between -{limit} and {limit} then '{name} must be between -{limit} and {limit}, got: ' || cast({c} as varchar) when last_position_latitude = 0 and last_position_longitude = 0 then 'Coordinates (0,0) detected - possible data quality issue' end"
+
+
+def _time_sql(c: str) -> str:
+    t = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    return f"case when {c} > timestamp '2025-02-24 00:00:00' then 'Future timestamp detected: ' || {t} when {c} < timestamp '2024-02-24 00:00:00' - interval 1 day + interval 1 day then 'Timestamp too old: ' || {t} || ' (older than 365 days)' end"
+
+
+_RULES_SQL = f"""rules as (select record_id, imo, mmsi, unnest(['RULE_IMO_001','RULE_MMSI_001','RULE_GEO_LAST_POSITION_LATITUDE','RULE_GEO_LAST_POSITION_LONGITUDE','RULE_TS_LAST_POSITION_UPDATETIMESTAMP','RULE_TS_STATICDATA_UPDATETIMESTAMP','RULE_CONSIST_GROSSTONNAGE','RULE_CONSIST_LENGTH','RULE_CONSIST_BUILTYEAR']) rule_id,
+ unnest(['imo','mmsi','last_position_latitude','last_position_longitude','last_position_updateTimestamp','staticData_updateTimestamp','grossTonnage','length','builtYear']) field_name,
+ unnest(['high','high','medium','medium','medium','medium','medium','medium','medium']) severity,
+ unnest([{_IMO_ERROR}, {_MMSI_ERROR}, {_coordinate_sql("Latitude", 90)}, {_coordinate_sql("Longitude", 180)}, {_time_sql("last_position_updateTimestamp")}, {_time_sql("staticData_updateTimestamp")}, null, null, null]) error_message from vessel_records)"""
+
+
+@query(f"with {_RULES_SQL} select record_id, rule_id, field_name, error_message is null is_valid, error_message, severity, imo, mmsi from rules")
 def v_rules_long(spark, folder):
-    return _long(spark, folder).select("record_id", "rule_id", "is_valid", "severity")
+    return _long(spark, folder).select("record_id", "rule_id", "field_name", "is_valid", "error_message", "severity", "imo", "mmsi")
 
 
 @query(f"with {_CHECKS} select coalesce(rule_id, 'ALL') rule_id, count(*) total, count_if(is_valid) passed, count_if(not is_valid) failed from long group by rollup (rule_id)")
@@ -95,7 +113,8 @@ def v_record_status(spark, folder):
     return done.select("record_id", "validation_status", F.when(F.col("validation_status") == "invalid", "#e74c3c").otherwise("#2ecc71").alias("color"))
 
 
-@query()
+@query(f"""with {_RULES_SQL}, o as (select record_id, error_message, list_position(['RULE_IMO_001','RULE_MMSI_001','RULE_GEO_LAST_POSITION_LATITUDE','RULE_GEO_LAST_POSITION_LONGITUDE','RULE_TS_LAST_POSITION_UPDATETIMESTAMP','RULE_TS_STATICDATA_UPDATETIMESTAMP','RULE_CONSIST_GROSSTONNAGE','RULE_CONSIST_LENGTH','RULE_CONSIST_BUILTYEAR'], rule_id) k from rules)
+select record_id, '[' || coalesce(string_agg('"' || error_message || '"', ',' order by k), '') || ']' validation_errors from o group by 1""")
 def v_record_errors(spark, folder):
     return validate.with_status(records(spark, folder), validate.standard_rules(AS_OF)).select("record_id", "validation_errors")
 
@@ -104,15 +123,20 @@ def v_record_errors(spark, folder):
 select record_id, round(least(1.0, (case when imo = 0 then 0.3 when imo < 1000000 then 0.4 else 0.0 end)::double
  + (case when length(name) > 0 and length(regexp_replace(name, '[\\p{L}\\p{N} ]', '', 'g')) / length(name) > 0.3 then 0.3 else 0.0 end)::double
  + (case when last_position_latitude = 0 and last_position_longitude = 0 then 0.2 else 0.0 end)::double + (case when last_position_latitude not between -90 and 90 then 0.3 else 0.0 end)::double
- + (case when last_position_longitude not between -180 and 180 then 0.3 else 0.0 end)::double), 4)::double anomaly_score from vessel_records""")
+ + (case when last_position_longitude not between -180 and 180 then 0.3 else 0.0 end)::double), 4)::double anomaly_score,
+ array_to_string(list_filter([case when imo = 0 then 'zero_imo' end, case when imo <> 0 and imo < 1000000 then 'invalid_imo' end, case when length(name) > 0 and length(regexp_replace(name, '[\\p{L}\\p{N} ]', '', 'g')) / length(name) > 0.3 then 'garbled_name' end,
+  case when last_position_latitude = 0 and last_position_longitude = 0 then 'null_island' end, case when last_position_latitude not between -90 and 90 then 'invalid_latitude' end, case when last_position_longitude not between -180 and 180 then 'invalid_longitude' end], lambda x: x is not null), ',') anomaly_flags from vessel_records""")
 def v_anomaly_score(spark, folder):
-    return validate.anomaly_score(records(spark, folder)).select("record_id", "anomaly_score")
+    return joined(validate.anomaly_score(records(spark, folder)).select("record_id", "anomaly_score", "anomaly_flags"), "anomaly_flags")
+
 
+_ID_ERROR = "case when starts_with(cast(mmsi as varchar), '00') then null else (" + _MMSI_ERROR.replace("> 800", "> 775") + ") end"
 
-@query(f"select record_id, {_IMO_ERROR} is null imo_ok, not coalesce(mmsi // 1000000 not between 200 and 775 or length(cast(mmsi as varchar)) <> 9, true) mmsi_ok, coalesce(last_position_latitude between -90 and 90 and last_position_longitude between -180 and 180, false) position_ok from vessel_records")
+
+@query(f"select record_id, {_IMO_ERROR} imo_error, {_ID_ERROR} mmsi_error, coalesce(last_position_latitude between -90 and 90 and last_position_longitude between -180 and 180, false) position_ok, case when last_position_latitude = 0 and last_position_longitude = 0 then 'null island' else '' end warnings from vessel_records")
 def v_tool_checks(spark, folder):
     c = F.col("id_check")
-    return validate.check_record(records(spark, folder)).select("record_id", c["imo_error"].isNull().alias("imo_ok"), c["mmsi_error"].isNull().alias("mmsi_ok"), c["position"]["valid"].alias("position_ok"))
+    return joined(validate.check_record(records(spark, folder)).select("record_id", c["imo_error"].alias("imo_error"), c["mmsi_error"].alias("mmsi_error"), c["position"]["valid"].alias("position_ok"), c["position"]["warnings"].alias("warnings")), "warnings")
 
 
 @query(f"with {_CHECKS}, f as (select *, row_number() over (partition by rule_id order by record_id) k from long where not is_valid) select rule_id alert_type, severity, count(*) affected, array_to_string(list_sort(list(record_id) filter (where k <= 100)), ',') sample from f group by 1, 2")
@@ -127,7 +151,6 @@ def v_alert_summary(spark, folder):
 
 # --- profiles and cross-record findings -------------------------------------------------------------------------------
 
-_PROFILED = ["imo", "mmsi", "name", "callsign", "length", "width", "vessel_type", "flag", "deadweight", "grossTonnage", "builtYear", "shipBuilder", "draught", "destination"]
 #: All columns of vessel_records.
 _COLUMNS = {
     "number": ["group_id", "imo", "mmsi", "length", "width", "deadweight", "grossTonnage", "netTonnage", "builtYear", "launchYear", "deadYear", "draught", "airDraught", "depth", "lengthOverall", "beamMoulded", "berthCount", "mainEngineCount", "propellerCount", "last_position_latitude", "last_position_longitude", "last_position_speed", "last_position_course", "last_position_heading", "matchedPort_latitude", "matchedPort_longitude"],
@@ -140,30 +163,17 @@ def _profile_sql(columns: list[str]) -> str:
     return " union all ".join(f"select '{c}' column_name, count({c}) non_null, count(*) - count({c}) n_null, round_even((count(*) - count({c})) * 100.0 / count(*), 2)::double null_pct, count(distinct {c}) n_distinct from vessel_records" for c in columns)
 
 
-_PROFILE_SQL = _profile_sql(_PROFILED)
-_PROFILE_ALL_SQL = _profile_sql([c for columns in _COLUMNS.values() for c in columns])
+_PROFILE_SQL = _profile_sql([c for columns in _COLUMNS.values() for c in columns])
 
 
 @query(_PROFILE_SQL)
 def a_column_profile(spark, folder):
-    return quality.column_profile(records(spark, folder), _PROFILED)
-
-
-@query(f"select column_name, n_null, null_pct, non_null from ({_PROFILE_SQL})")
-def a_missing_report(spark, folder):
-    return quality.missing_report(records(spark, folder), _PROFILED)
-
-
-@query(_PROFILE_ALL_SQL)
-def a_column_profile_all(spark, folder):
-    """Every column of the records; a_column_profile has fourteen of them."""
     rows = records(spark, folder)
     return quality.column_profile(rows, rows.columns)
 
 
-@query(f"select column_name, n_null, null_pct, non_null from ({_PROFILE_ALL_SQL})")
-def a_missing_report_all(spark, folder):
-    """Every column of the records; a_missing_report has fourteen of them."""
+@query(f"select column_name, n_null, null_pct, non_null from ({_PROFILE_SQL})")
+def a_missing_report(spark, folder):
     rows = records(spark, folder)
     return quality.missing_report(rows, rows.columns)
 
@@ -186,47 +196,56 @@ def a_top_duplicate_names(spark, folder):
     return quality.top_duplicates(records(spark, folder), F.when(name != "", name))
 
 
-def _variation_sql(key: str, column: str, limit: int) -> str:
+def _variation_sql(key: str, columns: list[str], limit: int, first: bool) -> str:
     positive = " and imo > 0" if key == "imo" else ""
-    listed = "" if column == "grossTonnage" else f" array_to_string(list_sort(list(distinct {column}) filter (where {column} is not null)), ',') {column}_values,"
-    return f"select {key}, count(distinct {column}) n_distinct,{listed} count(*) n_rows from vessel_records where {key} is not null{positive} group by 1 having count(distinct {column}) > 1 order by 1 limit {limit}"
+    shown = lambda c: "cast(grossTonnage as decimal(18, 2))" if c == "grossTonnage" else c
+    listed = "".join(f" array_to_string(list_sort(list(distinct {shown(c)}) filter (where {c} is not null)), ',') {c}_values," for c in columns)
+    early = " arg_min(name, record_id) filter (where name is not null) first_name," if first else ""
+    return f"select {key}, count(distinct {columns[0]}) n_distinct,{listed}{early} count(*) n_rows from vessel_records where {key} is not null{positive} group by 1 having count(distinct {columns[0]}) > 1 order by {key} limit {limit}"
 
 
-def _variation(name: str, key: str, column: str, limit: int) -> None:
+def _variation(name: str, key: str, columns: list[str], limit: int, first: bool = False) -> None:
     def f(spark, folder):
-        found = quality.variation(records(spark, folder), key, [column], limit)
-        return found.drop(f"{column}_values") if column == "grossTonnage" else joined(found, f"{column}_values")
+        found = quality.variation(records(spark, folder), key, columns, limit, first=("name", "record_id") if first else None)
+        if "grossTonnage" in columns:
+            found = found.withColumn("grossTonnage_values", F.transform("grossTonnage_values", lambda x: x.cast("decimal(18, 2)")))
+        return joined(found, *[f"{c}_values" for c in columns])
 
     f.__name__ = name
-    query(_variation_sql(key, column, limit))(f)
+    query(_variation_sql(key, columns, limit, first))(f)
+
 
+_variation("a_multi_mmsi_per_imo", "imo", ["mmsi", "name"], 20)
+_variation("a_multi_imo_per_mmsi", "mmsi", ["imo", "name"], 20)
+_variation("a_name_changes", "imo", ["name"], 20)
+_variation("a_flag_changes", "imo", ["flag"], 20, True)
+_variation("a_type_changes", "imo", ["vessel_type"], 10, True)
+_variation("a_length_variation", "imo", ["length"], 5)
+_variation("a_width_variation", "imo", ["width"], 5)
+_variation("a_tonnage_variation", "imo", ["grossTonnage"], 5)
 
-_variation("a_multi_mmsi_per_imo", "imo", "mmsi", 20)
-_variation("a_multi_imo_per_mmsi", "mmsi", "imo", 20)
-_variation("a_name_changes", "imo", "name", 20)
-_variation("a_flag_changes", "imo", "flag", 20)
-_variation("a_type_changes", "imo", "vessel_type", 10)
-_variation("a_length_variation", "imo", "length", 5)
-_variation("a_width_variation", "imo", "width", 5)
-_variation("a_tonnage_variation", "imo", "grossTonnage", 5)
+
+@query(" union all ".join(f"select '{c}' column_name, count(*) n_keys from (select imo from vessel_records where imo > 0 group by 1 having count(distinct {c}) > 1)" for c in ("length", "width", "grossTonnage")))
+def a_varying_dimensions(spark, folder):
+    return quality.varying_keys(records(spark, folder), "imo", ["length", "width", "grossTonnage"])
 
 
 @query("""
 with r as (select * from vessel_records where imo > 0 and mmsi is not null)
-select 'imo_to_mmsi' direction, imo as key, array_to_string(list_sort(list(distinct mmsi)), ',') conflicting, count(*) n_rows from r group by 2 having count(distinct mmsi) > 1
-union all select 'mmsi_to_imo', mmsi, array_to_string(list_sort(list(distinct imo)), ','), count(*) from r group by 2 having count(distinct imo) > 1""")
+select 'imo_to_mmsi' direction, imo as key, array_to_string(list_sort(list(distinct mmsi)), ',') conflicting, count(distinct mmsi) n_values, count(*) n_rows from r group by 2 having count(distinct mmsi) > 1
+union all select 'mmsi_to_imo', mmsi, array_to_string(list_sort(list(distinct imo)), ','), count(distinct imo), count(*) from r group by 2 having count(distinct imo) > 1""")
 def a_identifier_conflicts(spark, folder):
     return joined(quality.identifier_conflicts(records(spark, folder)), "conflicting")
 
 
-@query("select imo, count(distinct mmsi)::int n_values, round_even(least(1.0, count(distinct mmsi) / 5.0), 4)::double confidence from vessel_records where imo > 0 and mmsi is not null group by 1 having count(distinct mmsi) > 2")
+@query("select imo, array_to_string(list_sort(list(distinct mmsi)), ',') found_values, count(distinct mmsi)::int n_values, round_even(least(1.0, count(distinct mmsi) / 5.0), 4)::double confidence from vessel_records where imo > 0 and mmsi is not null group by 1 having count(distinct mmsi) > 2")
 def a_mmsi_switching(spark, folder):
-    return quality.identifier_switching(records(spark, folder), "imo", "mmsi", 2, 5).drop("found_values")
+    return joined(quality.identifier_switching(records(spark, folder), "imo", "mmsi", 2, 5), "found_values")
 
 
-@query("select mmsi, count(distinct imo)::int n_values, round_even(least(1.0, count(distinct imo) / 3.0), 4)::double confidence from vessel_records where imo > 0 and mmsi is not null group by 1 having count(distinct imo) > 1")
+@query("select mmsi, array_to_string(list_sort(list(distinct imo)), ',') found_values, count(distinct imo)::int n_values, round_even(least(1.0, count(distinct imo) / 3.0), 4)::double confidence from vessel_records where imo > 0 and mmsi is not null group by 1 having count(distinct imo) > 1")
 def a_mmsi_reuse(spark, folder):
-    return quality.identifier_switching(records(spark, folder), "mmsi", "imo", 1, 3).drop("found_values")
+    return joined(quality.identifier_switching(records(spark, folder), "mmsi", "imo", 1, 3), "found_values")
 
 
 @query("""
@@ -289,17 +308,12 @@ with n as (select distinct imo, upper(trim(name)) n from vessel_records where im
 l as (select imo, 'grossTonnage' attribute, grossTonnage number, cast(grossTonnage as varchar) kind from vessel_records union all select imo, 'length', length, cast(length as varchar) from vessel_records union all select imo, 'width', width, cast(width as varchar) from vessel_records
  union all select imo, 'builtYear', null, cast(builtYear as varchar) from vessel_records union all select imo, 'shipBuilder', null, shipBuilder from vessel_records),
 g as (select imo, attribute, max(number) hi, min(number) lo, count(distinct kind) n_values from l where imo > 0 and kind is not null group by 1, 2),
-f as (select 'suspicious_name_change' anomaly_type from p where round_even({_jaccard('name_a', 'name_b')}, 4) < 0.3 union all select 'mmsi_switching' from vessel_records where imo > 0 and mmsi is not null group by imo having count(distinct mmsi) > 2
- union all select 'mmsi_reuse' from vessel_records where imo > 0 and mmsi is not null group by mmsi having count(distinct imo) > 1 union all select 'attribute_inconsistency' from g where case when attribute in ('grossTonnage', 'length', 'width') then hi > 0 and (hi - lo) / hi > 0.1 else n_values > 1 end
- union all select 'unrealistic_speed' from vessel_records where last_position_speed > 50)
-select anomaly_type alert_type, case when anomaly_type = 'mmsi_reuse' then 'high' else 'medium' end severity, count(*) affected, 0.85::double confidence from f group by 1""")
+f as (select 'suspicious_name_change' anomaly_type, imo from p where round_even({_jaccard('name_a', 'name_b')}, 4) < 0.3 union all select 'mmsi_switching', imo from vessel_records where imo > 0 and mmsi is not null group by imo having count(distinct mmsi) > 2
+ union all select 'mmsi_reuse', min(imo) from vessel_records where imo > 0 and mmsi is not null group by mmsi having count(distinct imo) > 1 union all select 'attribute_inconsistency', imo from g where case when attribute in ('grossTonnage', 'length', 'width') then hi > 0 and (hi - lo) / hi > 0.1 else n_values > 1 end
+ union all select 'unrealistic_speed', imo from vessel_records where last_position_speed > 50)
+select anomaly_type alert_type, case when anomaly_type = 'mmsi_reuse' then 'high' else 'medium' end severity, count(*) affected, 0.85::double confidence, array_to_string(list_sort(list(distinct imo) filter (where imo is not null))[1:50], ',') sample from f group by 1""")
 def a_anomaly_alerts(spark, folder):
-    return alerts.anomaly_alerts(quality.anomalies(records(spark, folder)), {"mmsi_reuse": "high"})
-
-
-@query("select column_name, min(low) low, max(high) high, max(n) non_null from (" + " union all ".join(f"select '{c}' column_name, min({c})::double low, max({c})::double high, count({c}) n from vessel_records" for c in ("length", "width", "grossTonnage", "builtYear")) + ") group by 1")
-def s_inspect(spark, folder):
-    return source.inspect(records(spark, folder).select("length", "width", "grossTonnage", "builtYear", "flag")).where("column_name <> 'flag'").select("column_name", "low", "high", "non_null")
+    return joined(alerts.anomaly_alerts(quality.anomalies(records(spark, folder)), {"mmsi_reuse": "high"}), "sample")
 
 
 @query(" union all ".join(
@@ -307,12 +321,15 @@ def s_inspect(spark, folder):
     f"select '{c}' column_name, count(*) as rows, count({c}) non_null, null::double low, null::double high, null::double mean, count(distinct {c}) kinds, case when count(distinct {c}) between 1 and 20 then array_to_string(list_sort(list(distinct cast({c} as varchar)) filter (where {c} is not null)), ',') end sample from vessel_records"
     for kind, columns in _COLUMNS.items() for c in columns
 ))
-def s_inspect_all(spark, folder):
-    """Every column of the records with extremes and mean or kinds and values; s_inspect has the extremes of four."""
+def s_inspect(spark, folder):
+    """Every column of the records with extremes and mean, or kinds and values."""
     return joined(source.inspect(records(spark, folder)), "sample").withColumn("mean", F.bround("mean", 4))
 
 
-@query()
+_DOMAIN_ROWS = ", ".join(f"('{n}', '{d}')" for d, columns in source.DOMAINS.items() for n, _ in columns)
+
+
+@query(f"select column_name, case column_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'TIMESTAMP' then 'timestamp_ntz' else lower(column_type) end data_type, coalesce(domain, 'other') as domain from (describe select * from vessel_records) left join (values {_DOMAIN_ROWS}) d(n, domain) on column_name = n")
 def s_column_domains(spark, folder):
     return source.column_domains(records(spark, folder))
 
@@ -445,14 +462,9 @@ def o_category(spark, folder):
     return records(spark, folder).groupBy(F.coalesce("vessel_type", F.lit("")).alias("vessel_type"), ontology.category_of(F.col("vessel_type")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select type, count(v.vessel_type) n from (select unnest(['Dry Bulk','Container','Tug','Yacht','Icebreaker','Crude Tanker']) as type) t left join vessel_records v on v.vessel_type = t.type group by 1")
-def o_tree_counts(spark, folder):
-    return graph.tree_counts(records(spark, folder)).where(F.col("type").isin("Dry Bulk", "Container", "Tug", "Yacht", "Icebreaker", "Crude Tanker")).select("type", "n")
-
-
 @query(f"select t.category, t.type, count(v.vessel_type) n from {_TREE} left join vessel_records v on v.vessel_type = t.type group by grouping sets ((t.category, t.type), (t.category))")
-def o_tree(spark, folder):
-    """The whole ontology tree with its counts, zero rows and the totals of categories (type null); o_tree_counts has six types of it."""
+def o_tree_counts(spark, folder):
+    """The ontology tree with its counts, zero rows and the totals of categories (type null)."""
     return graph.tree_counts(records(spark, folder))
 
 
@@ -491,9 +503,9 @@ def g_vessels_by_flag(spark, folder):
 
 @query(f"with {_K}, {_EDGES_SQL} select src, ts from edges_ where rel_type = 'VISITED' and dst = (select min(dst) from edges_ where rel_type = 'VISITED')")
 def g_vessels_by_port(spark, folder):
-    edges = graph.edges(records(spark, folder), "UpdateDate", "record_id")
-    port = edges.where("rel_type = 'VISITED'").agg(F.min("dst")).first()[0]
-    return graph.reached_by(edges, "VISITED", port or "")
+    visits = graph.edges(records(spark, folder), "UpdateDate", "record_id").where("rel_type = 'VISITED'")
+    first = visits.agg(F.min("dst").alias("dst"))  # one row
+    return visits.join(F.broadcast(first), "dst").select("src", "ts")
 
 
 @query(f"with {_K}, {_EDGES_SQL} select src, count(distinct dst) n from edges_ where rel_type = 'VISITED' group by 1 having count(distinct dst) > 5")
@@ -507,9 +519,11 @@ def g_typed_vessels(spark, folder):
     return graph.with_type(graph.vessel_nodes(rows, "record_id"), graph.edges(rows, "UpdateDate", "record_id"), limit=None)
 
 
-@query()
+@query(f"""with e as (select record_id, {_KEY} entity_id, UpdateDate ts, unnest(['HAS_IMO', 'USES_MMSI', 'REGISTERED_UNDER', 'BUILT_BY', 'IS_TYPE']) rel_type,
+ unnest([case when imo > 0 then 'imo_' || imo end, 'mmsi_' || mmsi, case when flag <> '' then 'flag_' || flag end, case when shipBuilder <> '' then 'builder_' || md5(shipBuilder)[1:12] end, case when vessel_type <> '' then 'type_' || md5(vessel_type)[1:12] end]) dst from vessel_records) select * from e where dst is not null""")
 def g_record_entities(spark, folder):
-    return graph.entities_of(records(spark, folder), "record_id", "UpdateDate").select("record_id", F.to_json("entities").alias("entities"))
+    nested = graph.entities_of(records(spark, folder), "record_id", "UpdateDate")
+    return nested.select("record_id", "entities.entity_id", "entities.ts", F.explode("entities.relations").alias("r")).select("record_id", "entity_id", "ts", "r.*")
 
 
 @query(f"with {_K}, {_EDGES_SQL}, {_NODES_SQL} select distinct e.src, e.rel_type, e.dst, n.label, n.value from edges_ e join values_ n on e.dst = n.node_id where e.src in (select entity from k where flag = 'NO')")
@@ -530,14 +544,20 @@ def _faceted(spark, folder):
     return rows.withColumn("category", ontology.category_of(F.col("vessel_type")))
 
 
-@query("select 'flag' facet, array_to_string(list_sort(list(distinct flag) filter (where flag <> '')), ',') choices from vessel_records union all select 'vessel_type', array_to_string(list_sort(list(distinct vessel_type) filter (where vessel_type <> '')), ',') from vessel_records")
+_FACET_SQL = f"""with {_CHECKS}, st as (select record_id, case when bool_and(is_valid) then 'valid' else 'invalid' end validation_status from long group by 1),
+ v as (select v.*, st.validation_status, case when trim(coalesce(vessel_type, '')) = '' then '' else coalesce(t.category, 'Other') end category from vessel_records v join st using (record_id) left join {_TREE} on v.vessel_type = t.type),
+ e as (select unnest(['category', 'vessel_type', 'flag', 'validation_status', 'vessel_name']) facet, unnest([category, vessel_type, flag, validation_status, name]) choice, category from v)
+select distinct facet, choice from e where choice <> ''"""
+
+
+@query(_FACET_SQL)
 def g_facets(spark, folder):
-    return joined(graph.facets(_faceted(spark, folder), ("flag", "vessel_type")), "choices")
+    return graph.facets(_faceted(spark, folder))
 
 
-@query("select 'flag' facet, array_to_string(list_sort(list(distinct flag) filter (where flag <> '')), ',') choices from vessel_records where vessel_type in ('Chemical Tanker', 'Crude Tanker', 'Product Tanker') union all select 'vessel_type', array_to_string(list_sort(list(distinct vessel_type)), ',') from vessel_records where vessel_type in ('Chemical Tanker', 'Crude Tanker', 'Product Tanker')")
+@query(_FACET_SQL + " and category = 'Tanker Vessels'")
 def g_cascading_facets(spark, folder):
-    return joined(graph.facets(_faceted(spark, folder), ("flag", "vessel_type"), category="Tanker Vessels"), "choices")
+    return graph.facets(_faceted(spark, folder), category="Tanker Vessels")
 
 
 @query("select node_id, count(*) n from (select record_id node_id from vessel_records) group by 1 having count(*) > 1")
@@ -567,9 +587,9 @@ def t_timeline(spark, folder):
     return temporal.timeline(_obs(spark, folder))
 
 
-@query(f"with {_OBS}, {_RUNS} select entity_id, attribute, value, start_date, end_date, n from spans")
+@query(f"with {_OBS}, {_RUNS}, placed as (select entity_id, attribute, run, min(place) place from (select *, row_number() over {_W} place from numbered) group by 1, 2, 3) select entity_id, attribute, value, start_date, end_date, n, place as run, lag(value) over (partition by entity_id, attribute order by run) old_value from spans join placed using (entity_id, attribute, run)")
 def t_islands(spark, folder):
-    return temporal.islands(_obs(spark, folder)).drop("run", "old_value")
+    return temporal.islands(_obs(spark, folder))
 
 
 @query(f"with {_OBS}, i as (select *, lead(ts) over {_W} valid_to from obs) select entity_id, attribute, arg_min(value, seq) as value from i where ts <= timestamp '2024-01-01' and (valid_to is null or timestamp '2024-01-01' < valid_to) group by 1, 2")
@@ -577,9 +597,9 @@ def t_state_at(spark, folder):
     return temporal.state_at(temporal.intervals(_obs(spark, folder)), dt.datetime(2024, 1, 1))
 
 
-@query(f"with {_OBS}, {_RUNS} select entity_id, attribute, arg_max(value, run) as value, round(least(1.0, 0.8::double + 0.05::double * (arg_max(n, run) - 1)), 4)::double confidence from runs group by 1, 2")
+@query(f"with {_OBS}, {_RUNS} select entity_id, attribute, arg_max(value, run) as value, round(least(1.0, 0.8::double + 0.05::double * (arg_max(n, run) - 1)), 4)::double confidence, arg_max(start_date, run) since from runs group by 1, 2")
 def t_canonical(spark, folder):
-    return temporal.canonical(temporal.islands(_obs(spark, folder))).drop("since")
+    return temporal.canonical(temporal.islands(_obs(spark, folder)))
 
 
 @query(f"with {_OBS}, {_RUNS}, f as (select entity_id, lag(value) over (partition by entity_id order by run) old_value, value, start_date changed_at from runs where attribute = 'flag') select * from f where old_value is not null")
@@ -705,7 +725,129 @@ def h_learned_weights(spark, folder):
     return resolve.learned_weights(_scored(spark, folder), "scores", F.coalesce(F.col("a_mmsi") == F.col("b_mmsi"), F.lit(False)))
 
 
-@query()
+@query(f"""with {_CHECKS}, {_PAIRS_SQL}, {_SCORES_SQL}, st as (select case when bool_and(is_valid) then 'records_valid' else 'records_invalid' end measure from long group by record_id), al as (select distinct rule_id, severity from long where not is_valid)
+select measure, count(*) n from st group by 1 union all select 'sure_matches', count_if(overall >= 0.9) from o union all select 'alerts_' || severity, count(*) from al group by severity""")
 def z_report(spark, folder):
     rows = validate.with_status(records(spark, folder), validate.standard_rules(AS_OF))
     return alerts.report(rows, _scored(spark, folder), alerts.rule_alerts(_long(spark, folder), "record_id"))
+
+
+# --- further record queries -------------------------------------------------------------------------------------------
+
+
+@query("select record_id, coalesce(cast(nullif(imo, 0) as varchar), cast(mmsi as varchar), record_id) record_key from vessel_records")
+def r_record_key(spark, folder):
+    return records(spark, folder).select("record_id", resolve.record_key("record_id").alias("record_key"))
+
+
+@query(f"""with {_PAIRS_SQL}, {_SCORES_SQL}, m as (select *, case when exact then 'exact_imo_match' when overall >= 0.9 then 'high_confidence' when overall >= 0.6 then 'probable_match' when overall >= 0.3 then 'uncertain' else 'no_match' end match_type from o),
+ l as (select *, list_filter([case when s1 > 0.9 then 'imo' end, case when s2 > 0.9 then 'name' end, case when s3 > 0.9 then 'mmsi' end, case when s4 > 0.9 then 'length' end, case when s5 > 0.9 then 'width' end, case when s6 > 0.9 then 'gross_tonnage' end, case when s7 > 0.9 then 'built_year' end, case when s8 > 0.9 then 'builder' end], lambda x: x is not null) good,
+  list_filter([case when s1 < 0.3 then 'imo' end, case when s2 < 0.3 then 'name' end, case when s3 < 0.3 then 'mmsi' end, case when s4 < 0.3 then 'length' end, case when s5 < 0.3 then 'width' end, case when s6 < 0.3 then 'gross_tonnage' end, case when s7 < 0.3 then 'built_year' end, case when s8 < 0.3 then 'builder' end], lambda x: x is not null) bad from m)
+select a, b, array_to_string(good, ',') matching, array_to_string(bad, ',') conflicting, 'Resolution type: ' || match_type || '|' || printf('Overall similarity: %.2f%%', overall * 100) || '|' || printf('Confidence: %.2f%%', confidence * 100) || case when exact then '|IMO match: ' || ai else '' end
+ || case when len(good) > 0 then '|Matching attributes: ' || array_to_string(good, ', ') else '' end || case when len(bad) > 0 then '|Conflicting attributes: ' || array_to_string(bad, ', ') else '' end evidence from l""")
+def r_evidence(spark, folder):
+    return joined(_scored(spark, folder).select("a", "b", "matching", "conflicting", F.array_join("evidence", "|").alias("evidence")), "matching", "conflicting")
+
+
+@query(f"""with {_PAIRS_SQL}, {_SCORES_SQL}, m as (select *, not exact and overall >= 0.3 and overall < 0.9 or (not exact and coalesce(ai > 0 and bi > 0 and ai <> bi, false) and am is not distinct from bm) needs, round_even(least(1.0::double, 0.5::double + case when not exact and overall >= 0.3 and overall < 0.6 then 0.2::double else 0.0::double end + case when coalesce(ai > 0 and bi > 0, false) then 0.15::double else 0.0::double end + case when coalesce(ai <> bi, false) and am is not distinct from bm then 0.25::double else 0.0::double end), 4)::double priority from o)
+select a, b, priority from m where needs order by priority desc, a, b limit 10""")
+def h_most_pressing(spark, folder):
+    """The ten pairs that most need a reviewer."""
+    return _scored(spark, folder).where("needs_review").select("a", "b", resolve.review_priority().alias("priority")).orderBy(F.col("priority").desc(), "a", "b").limit(10)
+
+
+_DECIDED_SQL = "q as (select match_id, confidence_score s from entity_matches where requires_review and confidence_score is not null), d as (select match_id decision_id, match_type decision, confidence_score s from entity_matches where not requires_review and confidence_score is not null order by match_id desc limit 100), n as (select q.match_id id, d.decision_id, d.decision, d.s, row_number() over (partition by q.match_id order by d.s desc, d.decision_id) as rank from q join d on abs(q.s - d.s) < 0.1), k as (select * from n where rank <= 5)"
+
+
+def _similar(spark, folder):
+    matches = table(spark, folder, "entity_matches").where("confidence_score is not null")
+    queue = matches.where("requires_review").select(F.col("match_id").alias("id"), F.col("confidence_score").alias("score"))
+    decided = matches.where("not requires_review").select(F.col("match_id").alias("decision_id"), F.col("match_type").alias("decision"), F.col("confidence_score").alias("score"), F.col("confidence_score").alias("confidence"), F.col("match_id").alias("decided_at"))
+    return resolve.similar_decisions(queue, decided)
+
+
+@query(f"with {_DECIDED_SQL} select id, decision_id, decision, rank::int as rank from k")
+def h_similar_decisions(spark, folder):
+    return _similar(spark, folder).select("id", "decision_id", "decision", "rank")
+
+
+@query(f"with {_DECIDED_SQL}, c as (select id, decision, count(*) n from k group by 1, 2), r as (select *, round_even(n / sum(n) over (partition by id)::double, 4) share, row_number() over (partition by id order by n desc, decision) p from c) select id, decision, share from r where p = 1")
+def h_suggested_decisions(spark, folder):
+    return resolve.suggested_decision(_similar(spark, folder))
+
+
+@query(f"select 'type_' || md5(type)[1:12] src, 'category_' || md5(category)[1:12] dst, 'BELONGS_TO_CATEGORY' rel_type from {_TREE}")
+def g_category_edges(spark, folder):
+    return graph.category_edges(spark).drop("ts")
+
+
+_NODE_SQL = ", ".join(f"{c} as {n}" for n, c in graph.PROPERTIES.items())
+
+
+@query(f"with {_CHECKS}, st as (select record_id, case when bool_and(is_valid) then 'valid' else 'invalid' end validation_status from long group by 1) select v.record_id, {_KEY} node_id, {_NODE_SQL}, validation_status from vessel_records v join st using (record_id) where {_KEY} is not null")
+def g_vessel_properties(spark, folder):
+    """Errors are compared by v_record_errors."""
+    return graph.vessel_properties(validate.with_status(records(spark, folder), validate.standard_rules(AS_OF)), "record_id").drop("validation_errors")
+
+
+@query(f"""with {_CHECKS}, st as (select record_id, case when bool_and(is_valid) then 'valid' else 'invalid' end validation_status from long group by 1), k as (select v.*, {_KEY} node_id, validation_status from vessel_records v join st using (record_id) where {_KEY} is not null),
+ l as (select node_id, arg_max(validation_status, record_id) status, arg_max(vessel_type, record_id) filter (where vessel_type <> '') as type from k group by 1)
+select 'vessels' kind, 'total' as name, count(*) n from l union all select 'status', status, count(*) from l group by 2 union all select 'type', type, count(*) from l where type is not null group by 2""")
+def g_vessel_statistics(spark, folder):
+    return graph.vessel_statistics(validate.with_status(records(spark, folder), validate.standard_rules(AS_OF)), "record_id")
+
+
+@query(f"with {_K}, {_NODES_SQL} select * from values_")
+def g_merged_nodes(spark, folder):
+    """The value nodes of records without source, written as a graph and read again, with those of all others merged in."""
+    rows = records(spark, folder)
+    place = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graph.write_graph(graph.value_nodes(rows.where("source is null")), graph.edges(rows, "UpdateDate", "record_id"), place)
+    written = spark.read.schema("node_id string, value string, label string").parquet(f"{place}/nodes")
+    return graph.merged_nodes(written, graph.value_nodes(rows.where("source is not null")))
+
+
+_POSITION_SQL = f"p as (select {_KEY} entity_id, cast(last_position_latitude as decimal(10, 5)) || ' ' || cast(last_position_longitude as decimal(10, 5)) as value, UpdateDate ts, record_id seq from vessel_records), obs as (select * from p where entity_id is not null and value is not null and ts is not null)"
+
+
+@query(f"with {_POSITION_SQL} select entity_id, 'position' attribute, value, seq, ts valid_from, lead(ts) over (partition by entity_id order by ts, seq) valid_to from obs")
+def t_positions(spark, folder):
+    """Positions as a state over time."""
+    five = lambda c: F.col(c).cast("decimal(10, 5)").cast("string")
+    rows = records(spark, folder).withColumn("position", F.concat(five("last_position_latitude"), F.lit(" "), five("last_position_longitude")))
+    return temporal.intervals(temporal.observations(rows, {"position": "position"}, "UpdateDate", "record_id"))
+
+
+@query(f"with {_OBS}, {_RUNS}, l as (select entity_id, attribute, arg_max(value, run) as value, count(*) n from runs group by 1, 2) select entity_id, string_agg(attribute || '=' || value, '|' order by attribute) as current, sum(n)::bigint n_runs from l group by 1")
+def t_entities(spark, folder):
+    nested = temporal.canonical_entities(temporal.islands(_obs(spark, folder)))
+    return nested.select("entity_id", F.array_join(F.transform(F.array_sort(F.map_entries("current")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("current"), "n_runs")
+
+
+_lookups = {"f_by_imo": (q.by_imo(9528574), "imo = 9528574"), "f_by_mmsi": (q.by_mmsi(200000000), "mmsi = 200000000"), "f_by_name": (q.by_name("star"), "contains(lower(name), 'star')"), "f_by_flag": (q.by_flag("lr"), "flag = 'LR'")}
+for _name, (_query, _where) in _lookups.items():
+
+    def _lookup(spark, folder, wanted=_query):
+        return q.run(records(spark, folder), wanted).select("record_id")
+
+    _lookup.__name__ = _name
+    query(f"select record_id from vessel_records where {_where}")(_lookup)
+
+
+@query(f"with {_OBS.replace('from vessel_records', chr(39).join(['from vessel_records where flag = ', 'LR', '']))}, {_RUNS} select entity_id, attribute, value, start_date, end_date from spans")
+def q_history(spark, folder):
+    """History of the vessels' records under one flag."""
+    return q.run(records(spark, folder), q.Query("history", (q.Filter("flag", "eq", "LR"),)))
+
+
+@query("select record_id, builtYear, (select count(*) from vessel_records where builtYear >= 2000) total_count from vessel_records where builtYear >= 2000 order by builtYear, record_id limit 25")
+def l_page(spark, folder):
+    return q.page(records(spark, folder), q.Query(filters=(q.Filter("builtYear", "gte", 2000),), sort_by="builtYear", limit=25, columns=("record_id", "builtYear")))
+
+
+@query("select imo, mmsi, nullif(trim(name), '') as name, nullif(trim(callsign), '') callsign, length, builtYear, nullif(trim(flag), '') flag, last_position_latitude, last_position_updateTimestamp, eta, UpdateDate, nullif(trim(aisClass), '') aisClass from vessel_records")
+def s_csv_round_trip(spark, folder):
+    """The records written as CSV and read again by the explicit schema."""
+    place = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    source.write_csv(records(spark, folder), place)
+    return source.read_csv(spark, place).select("imo", "mmsi", "name", "callsign", "length", "builtYear", "flag", "last_position_latitude", "last_position_updateTimestamp", "eta", "UpdateDate", "aisClass")
