@@ -106,7 +106,14 @@ _RATED_SQL = f"""s as (select r.group_id, r.record_id, coalesce(f.trust_rank, 21
 q as (select *, (i is not null)::int + (g is not null)::int + (y is not null)::int complete from s)"""
 _DOMINATES = "a.group_id = b.group_id and a.complete >= b.complete and a.trust <= b.trust and a.moment >= b.moment and (a.complete > b.complete or a.trust < b.trust or a.moment > b.moment)"
 
+def _grams_sql(table_: str, key: str) -> str:
+    """Each run of 12 words of a table's texts, once a row, in capitals-blind, accent-blind words."""
+    plain = "regexp_replace(strip_accents(lower(text)), '[\\p{M}\\p{Cf}]', '', 'g')"
+    return f"(select distinct {key}, array_to_string(w[i:i + 11], ' ') g from (select {key}, w, unnest(range(1, len(w) - 10)) i from (select {key}, regexp_extract_all({plain}, '[\\p{{L}}\\p{{Nd}}]+') w from {table_} where text is not null)))"
+
+
 SQL: dict[str, str] = {
+    "p8_found": f"select distinct d.doc_id, e.item_id from {_grams_sql('documents', 'doc_id')} d join {_grams_sql('eval_items', 'item_id')} e using (g)",
     "p6_found": """
 with recursive e as (select distinct upper(trim(record_a_id)) a, upper(trim(record_b_id)) b from entity_matches where confidence_score between 0.85 and 1 and upper(trim(record_a_id)) <> upper(trim(record_b_id))),
 s as (select a, b from e union select b, a from e),
