@@ -1,4 +1,7 @@
-"""Row-wise validation rules as Column expressions: one projection, no shuffle, no Python."""
+"""Row-wise validation rules as Column expressions: one projection, no shuffle, no Python.
+
+The texts of errors are fixed values.
+"""
 
 from __future__ import annotations
 

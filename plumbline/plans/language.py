@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans import query as q
 
+#: Words that name a type (fixed values).
 _TYPES = ("container", "tanker", "bulk", "cargo", "passenger", "fishing", "tug", "lng", "lpg", "reefer", "ro-ro", "chemical")
 _CODE = r"\b([A-Za-z]{2})\b"
 
@@ -61,7 +62,9 @@ def details(df: DataFrame) -> DataFrame:
     """``df`` with ``details``: one text a vessel with the lines that it has values for."""
     line = lambda t, c, f="%s": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}: "), F.format_string(f, F.col(c))))
     number = lambda t, c, unit: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}: "), F.format_number(c, 0), F.lit(unit)))
-    both = F.when(F.col("last_position_latitude").isNotNull() & F.col("last_position_longitude").isNotNull(), F.format_string("Position: %.4f, %.4f", "last_position_latitude", "last_position_longitude"))
+    # By way of five places, half up: no engine's rounding of binary fractions shows.
+    four = lambda c: F.col(c).cast("decimal(10, 5)").cast("decimal(9, 4)").cast("string")
+    both = F.concat(F.lit("Position: "), four("last_position_latitude"), F.lit(", "), four("last_position_longitude"))
     return df.withColumn("details", F.concat_ws("\n", line("Name", "name"), line("IMO", "imo", "%d"), line("MMSI", "mmsi", "%d"), line("Flag", "flag"), line("Type", "vessel_type"), number("Gross tonnage", "grossTonnage", " GT"), number("Deadweight", "deadweight", " t"), line("Built", "builtYear", "%d"), both))
 
 

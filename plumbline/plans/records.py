@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ontology
 from plumbline.functions.text import char_jaccard, name_similarity, tidy_name
-from plumbline.operators import alerts, graph, quality, resolve, temporal, validate
+from plumbline.operators import alerts, graph, profile, quality, resolve, temporal, validate
 from plumbline.plans import cypher as cy
 from plumbline.plans import language
 from plumbline.plans import query as q
@@ -166,16 +166,23 @@ def _profile_sql(columns: list[str]) -> str:
 _PROFILE_SQL = _profile_sql([c for columns in _COLUMNS.values() for c in columns])
 
 
+def _shares(facts: DataFrame) -> DataFrame:
+    pct = F.coalesce(F.bround(F.try_divide(F.col("n_null") * 100.0, F.col("n_rows")), 2), F.lit(0.0))
+    return facts.withColumns({"non_null": F.col("n_rows") - F.col("n_null"), "null_pct": pct})
+
+
 @query(_PROFILE_SQL)
 def a_column_profile(spark, folder):
-    rows = records(spark, folder)
-    return quality.column_profile(rows, rows.columns)
+    """By footers and single chunks, so that no row is copied once a column as by distinct counts in one aggregation."""
+    path = f"{folder}/vessel_records.parquet"
+    whole = profile.profile(spark, path, spark.read.parquet(path).columns)
+    return _shares(whole).select("column_name", "non_null", "n_null", "null_pct", "n_distinct")
 
 
 @query(f"select column_name, n_null, null_pct, non_null from ({_PROFILE_SQL})")
 def a_missing_report(spark, folder):
-    rows = records(spark, folder)
-    return quality.missing_report(rows, rows.columns)
+    path = f"{folder}/vessel_records.parquet"
+    return _shares(profile.facts(spark, path, None, spark.read.parquet(path).columns)).select("column_name", "n_null", "null_pct", "non_null").orderBy(F.col("null_pct").desc(), "column_name")
 
 
 @query("select coalesce(sum(n - 1), 0)::bigint duplicate_rows from (select * exclude (raw_id), count(*) n from raw_feed group by all)")
@@ -446,7 +453,8 @@ def q_language_type(spark, folder):
     return q.run(records(spark, folder), language.parse("all tanker vessels")).select("record_id")
 
 
-@query()
+@query("""select record_id, concat_ws(chr(10), 'Name: ' || name, 'IMO: ' || imo, 'MMSI: ' || mmsi, 'Flag: ' || flag, 'Type: ' || vessel_type, 'Gross tonnage: ' || format('{:,.0f}', grossTonnage) || ' GT', 'Deadweight: ' || format('{:,.0f}', deadweight) || ' t', 'Built: ' || builtYear,
+ 'Position: ' || cast(cast(last_position_latitude as decimal(10, 5)) as decimal(9, 4)) || ', ' || cast(cast(last_position_longitude as decimal(10, 5)) as decimal(9, 4))) details from vessel_records""")
 def q_vessel_details(spark, folder):
     return language.details(records(spark, folder)).select("record_id", "details")
 

@@ -49,10 +49,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def first_existing(paths: list[str]) -> str:
-    """The default dataset: the first of ``paths`` that is there."""
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The default dataset: the first of ``paths`` that is there, on any file system that Spark knows."""
+    sc = spark.sparkContext
     for p in paths:
-        if Path(p).exists():
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
             return p
     raise FileNotFoundError(", ".join(paths))
 
