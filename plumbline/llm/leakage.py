@@ -142,12 +142,13 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     return out
 
 
-def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = 12, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = 12, block_words: int = BLOCK_WORDS, least_share: float = 0.0) -> DataFrame:
     """(doc_id, item_id, covered, passage_words, longest, tiles) for each document and item sharing ``size`` words in a row.
 
     The corpus is scanned once for each block of items, without a shuffle; the index of a block, whose words are bounded
     by ``block_words`` (plus one item), goes to the executors. Null and blank texts, and items shorter than ``size``
-    words, match nothing. Rows of equal doc_id or item_id count once each pair, by the largest cover.
+    words, match nothing. Rows of equal doc_id or item_id count once each pair, by the largest cover. ``least_share`` keeps
+    pairs whose tiles together cover at least that share of the passage, in whatever order its parts stand.
     """
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
@@ -185,4 +186,5 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
         part = scan(index)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("covered", "longest", "tiles", "passage_words")).alias("b")
-    return found.groupBy(doc_id, item_id).agg(best).select(doc_id, item_id, "b.covered", "b.passage_words", "b.longest", "b.tiles")
+    pairs = found.groupBy(doc_id, item_id).agg(best).select(doc_id, item_id, "b.covered", "b.passage_words", "b.longest", "b.tiles")
+    return pairs.where(F.col("covered") >= least_share * F.col("passage_words"))

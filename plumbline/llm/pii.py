@@ -464,6 +464,9 @@ _AFTER_NAME = regex.compile(r"(?<=\p{L}{2})\.|[\n\t]")
 
 #: Titles and ranks that may stand before a single surname (fixed values).
 _TITLE = regex.compile(r"(?i)\b(?:Capt|Captain|Master|Mr|Mrs|Ms|Dr|Herr|Herrn|Frau|Kapitän|Sr|Sra|Mme|Madame|Monsieur)\.?\s+$")
+#: Words of the table that may begin a surname (fixed values).
+PARTICLES = {"van", "von", "der", "den", "del", "dos", "della"}
+_FIRST_WORD = regex.compile(r"(\p{L}+)\s+(?=\p{L})")
 _LAST_WORD = regex.compile(r"\s+(\p{L}+)\s*$")
 
 
@@ -471,8 +474,8 @@ def trimmed(text: str, start: int, end: int, kind: str, ordinary: set[str] = fro
     """The exact check after decoding: the span without what its type cannot hold, or None if it lacks what it must have.
 
     A name ends before a full stop that follows a word (an initial's stop stays), and before ``ordinary`` words of three
-    letters or more (a sentence may begin behind it without a stop), has letters at both ends and no digit, and is more
-    than one word unless a title or rank stands before it; a
+    letters or more (a sentence may begin behind it without a stop), begins behind such words that lead it, has letters at
+    both ends and no digit, and is more than one word unless a title or rank stands before it; a
     phone number has no letter and at least 7 digits; an address or identity number keeps to one line and has digits.
     """
     piece = text[start:end]
@@ -485,6 +488,8 @@ def trimmed(text: str, start: int, end: int, kind: str, ordinary: set[str] = fro
         end = start + cut.start() if cut else end
         while (last := _LAST_WORD.search(text[start:end])) and len(last[1]) > 2 and last[1].lower() in ordinary:
             end = start + last.start()
+        while (lead := _FIRST_WORD.match(text[start:end])) and len(lead[1]) > 2 and lead[1].lower() in ordinary - PARTICLES:
+            start += lead.end()
     elif kind == "PHONE":
         letter = regex.search(r"\p{L}|\n", piece)
         end = start + letter.start() if letter else end

@@ -59,3 +59,11 @@ def test_rolling_hash_is_the_same_anywhere():
     x = np.random.default_rng(1).integers(1, 2**62, 50, dtype=np.uint64)
     assert leakage.rolling(np.concatenate([x[:7], x]), 12)[7] == leakage.rolling(x, 12)[0]
     assert len(leakage.rolling(x[:5], 12)) == 0
+
+
+def test_threshold_of_coverage_counts_reordered_parts(spark):
+    w = WORDS[:60]
+    docs = [(1, " ".join(w[30:] + ["between"] + w[:30])), (2, " ".join(w[:20])), (3, " ".join(WORDS[100:160]))]
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    got = {x["doc_id"]: (x["covered"], x["tiles"]) for x in leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items, "item_id", "text", least_share=0.8).collect()}
+    assert got == {1: (60, 2)}
