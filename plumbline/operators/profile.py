@@ -32,7 +32,7 @@ def _open(uri: str, dictionary: list[str] | None = None):
 
     if uri.startswith("file:"):
         return pq.ParquetFile("/" + uri.removeprefix("file:").lstrip("/"), read_dictionary=dictionary)
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     return pq.ParquetFile(path, filesystem=system, read_dictionary=dictionary)
 
 
