@@ -61,7 +61,11 @@ def nodes(records: DataFrame) -> DataFrame:
     return vessels.unionByName(value_nodes(records)).unionByName(ontology_nodes(records.sparkSession)).distinct()
 
 
-def record_edges(records: DataFrame, at: str) -> DataFrame:
+#: Relations of which a vessel has one, the first that was stated.
+LASTING = ("IS_TYPE", "BUILT_BY")
+
+
+def record_edges(records: DataFrame, at: str, *keep: Column) -> DataFrame:
     """(src, dst, rel_type, ts): what each record says about its vessel; all relations come from one pass."""
     text = lambda c: F.col(c).cast("string")
     kinds = [
@@ -69,18 +73,20 @@ def record_edges(records: DataFrame, at: str) -> DataFrame:
         ("BUILT_BY", F.when(F.col("shipBuilder") != "", hashed("builder_", "shipBuilder"))), ("VISITED", F.when((F.col("matchedPort_name") != "") & (F.col("matchedPort_unlocode") != ""), port_key())),
     ]
     each = F.array(*[F.struct(d.alias("dst"), F.lit(r).alias("rel_type")) for r, d in kinds])
-    return records.select(entity_key().alias("src"), F.col(at).alias("ts"), F.explode(each).alias("e")).select("src", "e.dst", "e.rel_type", "ts").where("src is not null and dst is not null")
+    kept = [c.alias(f"_kept{k}") for k, c in enumerate(keep)]
+    return records.select(entity_key().alias("src"), F.col(at).alias("ts"), *kept, F.explode(each).alias("e")).select("src", "e.dst", "e.rel_type", "ts", *[f"_kept{k}" for k in range(len(keep))]).where("src is not null and dst is not null")
 
 
 def edges(records: DataFrame, at: str, seq: str) -> DataFrame:
-    """The serving graph: time-stamped relations once for each time, lasting ones (type, builder) once a vessel, the first."""
-    every = record_edges(records.withColumn("_seq", F.col(seq)), at)
-    timed = every.where(~F.col("rel_type").isin("IS_TYPE", "BUILT_BY")).distinct()
-    lasting = None
-    for rel, target in (("IS_TYPE", F.when(F.col("vessel_type") != "", hashed("type_", "vessel_type"))), ("BUILT_BY", F.when(F.col("shipBuilder") != "", hashed("builder_", "shipBuilder")))):
-        first = records.select(entity_key().alias("src"), target.alias("dst"), F.col(at).alias("ts"), F.col(seq).alias("s")).where("src is not null and dst is not null").groupBy("src").agg(F.min_by(F.struct("dst", "ts"), "s").alias("f")).select("src", "f.dst", F.lit(rel).alias("rel_type"), "f.ts")
-        lasting = first if lasting is None else lasting.unionByName(first)
-    return timed.unionByName(lasting)
+    """The serving graph: time-stamped relations once for each time, lasting ones (type, builder) once a vessel, the first.
+
+    One pass and one aggregation: the key of a lasting relation leaves its target and time open.
+    """
+    every = record_edges(records, at, F.col(seq))
+    timed = ~F.col("rel_type").isin(*LASTING)
+    keyed = every.withColumns({"_dst": F.when(timed, F.col("dst")), "_ts": F.when(timed, F.col("ts"))})
+    first = keyed.groupBy("src", "rel_type", "_dst", "_ts").agg(F.min_by(F.struct("dst", "ts"), "_kept0").alias("f"))
+    return first.select("src", "f.dst", "rel_type", "f.ts")
 
 
 def category_edges(spark) -> DataFrame:
