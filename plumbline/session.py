@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -42,16 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **counts: Column) -> DataFrame:
     """``df`` as a table written to the shared folder: its lineage ends there, and its size is known to later plans.
 
+    ``counts`` are aggregates that the writing itself takes; the result has them as ``counts``, without a job of their own.
+
     Unlike a checkpoint the table carries no constraints of the plan it came from, which multiply from round to round of
     an iteration.
     """
     folder = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    seen = Observation() if counts else None
+    (df.observe(seen, *[c.alias(n) for n, c in counts.items()]) if seen else df).write.parquet(folder)
     done = df.sparkSession.read.schema(df.schema).parquet(folder)
     done.cut_folder = folder
+    done.counts = seen.get if seen else {}
     return done
 
 
