@@ -26,9 +26,9 @@ def linked_groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 200) -> D
     links = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     names = cut(links.select(F.explode(F.array("x", "y")).alias("name")).distinct().select("name", F.monotonically_increasing_id().alias("id")))
     one, two = names.select(F.col("name").alias("x"), F.col("id").alias("i")), names.select(F.col("name").alias("y"), F.col("id").alias("j"))
-    edges = cut(links.join(one, "x").join(two, "y").select(F.col("i").alias("x"), F.col("j").alias("y")))
+    edges = cut(links.join(one, "x").join(two, "y").select(F.col("i").alias("x"), F.col("j").alias("y")), n=F.count(F.lit(1)))
     maps = []
-    while not edges.isEmpty():
+    while edges.counts["n"]:
         if len(maps) == most_rounds:
             raise RuntimeError(f"labels still change after {most_rounds} rounds")
         maps.append(_jumped(_least(edges)))
@@ -50,15 +50,16 @@ def linked_groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 200) -> D
 def _least(edges: DataFrame) -> DataFrame:
     """(node, root): each node's least label over its edges, its own included."""
     both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("far")), F.struct(F.col("y").alias("node"), F.col("x").alias("far")))).alias("e"))
-    return cut(both.groupBy(F.col("e.node").alias("node")).agg(F.min("e.far").alias("far")).select("node", F.least("node", "far").alias("root")))
+    return both.groupBy(F.col("e.node").alias("node")).agg(F.min("e.far").alias("far")).select("node", F.least("node", "far").alias("root"))
 
 
 def _jumped(labels: DataFrame) -> DataFrame:
-    """Labels led to the end of their chain: two jumps a pass until none changes."""
+    """Labels led to the end of their chain: three jumps a pass, until the last of a pass changes none."""
     while True:
-        moved = cut(_jump(_jump(labels)))
-        forget(labels)
-        if moved.where(F.col("root") != F.col("was")).isEmpty():
+        moved = cut(_jump(_jump(_jump(labels))), changed=F.count_if(F.col("root") != F.col("was")))
+        if hasattr(labels, "cut_folder"):
+            forget(labels)
+        if not moved.counts["changed"]:
             return moved.select("node", "root")
         labels = moved
 
@@ -72,6 +73,6 @@ def _contracted(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between different roots, each once."""
     one, two = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("x", "i"), ("y", "j")))
     left = edges.join(one, "x").join(two, "y").where(F.col("i") != F.col("j"))
-    new = cut(left.select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).distinct())
+    new = cut(left.select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).distinct(), n=F.count(F.lit(1)))
     forget(edges)
     return new
