@@ -374,8 +374,10 @@ def _marginals(score, first, pair, opening):
         live = filled[:, t]
         node[grid[live, t]] = np.exp(np.minimum(alpha[t][live] + beta[t][live] - z[live, None], 0.0))
         if t:
-            a = np.exp(np.maximum(alpha[t - 1][live] - z[live, None] / 2, -700))
-            b = np.exp(np.clip(beta[t][live] + e[live, t] - z[live, None] / 2, -700, 700))
+            before, behind = alpha[t - 1][live], beta[t][live] + e[live, t]
+            top, low = before.max(1, keepdims=True), behind.max(1, keepdims=True)
+            a = np.exp(before - top) * np.exp(np.minimum(top + low - z[live, None], 700))
+            b = np.exp(behind - low)
             edge += (a.T @ b) * weight
     return node, edge
 

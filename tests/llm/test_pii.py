@@ -20,6 +20,14 @@ def accuracy(field, held, checked=True):
     return hit / sum(len(b) for _, b in held), hit / sum(map(len, got))
 
 
+def test_expected_counts_stay_finite_for_large_scores():
+    r = np.random.default_rng(2)
+    score = r.normal(size=(40, len(pii.LABELS))) * 400
+    opening = np.array([-1e9 if x[0] == "I" else 0.0 for x in pii.LABELS])
+    node, edge = pii._marginals(score, np.array([0, 25, 40]), np.where(pii._allowed(), 0.0, -1e9), opening)
+    assert np.isfinite(node).all() and np.allclose(node.sum(1), 1, atol=1e-6) and np.isclose(edge.sum(), 38, atol=1e-4)
+
+
 def test_accuracy_on_forms_of_training(field):
     recall, precision = accuracy(field, labelled.sequences(800, 4711))
     assert recall > 0.96 and precision > 0.97
