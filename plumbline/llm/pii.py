@@ -490,7 +490,7 @@ def trimmed(text: str, start: int, end: int, kind: str, ordinary: set[str] = fro
         end = start + cut.start() if cut else end
         while (last := _LAST_WORD.search(text[start:end])) and len(last[1]) > 2 and last[1].lower() in ordinary:
             end = start + last.start()
-        while (lead := _FIRST_WORD.match(text[start:end])) and len(lead[1]) > 2 and lead[1].lower() in ordinary - PARTICLES:
+        while (lead := _FIRST_WORD.match(text[start:end])) and len(lead[1]) > 2 and lead[1].lower() in ordinary and lead[1].lower() not in PARTICLES:
             start += lead.end()
     elif kind == "PHONE":
         letter = regex.search(r"\p{L}|\n", piece)
