@@ -85,6 +85,18 @@ def test_surviving_fields(spark):
     assert got == want
 
 
+def test_surviving_fields_build_no_skyline(spark, monkeypatch):
+    built, skyline = [], survivor.skyline
+    monkeypatch.setattr(survivor, "skyline", lambda *a: built.append(a) or skyline(*a))
+    # less trusted but later, so undominated; equal but for the id; without time; and one whose id alone is known
+    day = dt.datetime(2024, 1, 1)
+    rows = [("R1", 1, "x", 5, None, None, "c"), ("R2", 1, "y", 5, 7, day, "c"), ("R3", 1, "z", -1, 7, day, "c"), ("R4", 2, "?", 5, None, None, "c"), ("R5", None, "x", 5, 7, day, "c")]
+    got = survivor.surviving_fields(rated(spark, rows), "group_id", "record_id", "at", {"a": F.col("a") > 0, "b": F.col("b").isNotNull()})
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "R1"), (1, "b", "R3"), (2, "a", "R4")] and not built
+    survivor.survivors(rated(spark, rows), "group_id", "record_id", "at", {"a": F.col("a") > 0})
+    assert len(built) == 1
+
+
 def test_first_layer(spark):
     rows = make(3, 60)
     complete = lambda x: ((x[3] or 0) > 0) + (x[4] is not None)
