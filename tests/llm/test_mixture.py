@@ -169,6 +169,98 @@ def test_each_row_is_capacity(spark):
     assert abs(tokens[1]["a"] / tokens[0]["a"] - 1.5) < 0.1 and abs(tokens[1]["a"] - tokens[1]["b"]) < 20
 
 
+def cheapest(capacity, quota, repeats):
+    """Tokens and cost of the reference: one shortest path after the other (Bellman-Ford), every use of a text an edge of its own."""
+    edges = []
+
+    def edge(u, v, cap, cost):
+        edges.append([u, v, cap, cost])
+        edges.append([v, u, 0, -cost])
+
+    for p, tokens in capacity.items():
+        for use in range(sum(n * repeats[s] for s, n in p)):
+            edge("start", p, tokens, use * 10**6 + use // sum(n for _, n in p) * 1000 + len(p) - 1)
+        for s, n in p:
+            edge(p, s, tokens * n * repeats[s], 0)
+    for s, tokens in quota.items():
+        edge(s, "end", tokens, 0)
+    sent = cost = 0
+    while True:
+        far, came, changed = {"start": 0}, {}, True
+        while changed:
+            changed = False
+            for k, (u, v, cap, c) in enumerate(edges):
+                if cap > 0 and u in far and far[u] + c < far.get(v, float("inf")):
+                    far[v], came[v], changed = far[u] + c, k, True
+        if "end" not in far:
+            return sent, cost
+        path, at = [], "end"
+        while at != "start":
+            path.append(came[at])
+            at = edges[came[at]][0]
+        amount = min(edges[k][2] for k in path)
+        for k in path:
+            edges[k][2] -= amount
+            edges[k ^ 1][2] += amount
+        sent, cost = sent + amount, cost + amount * far["end"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_of_documents_is_as_cheap_as_one_path_at_a_time(seed):
+    r = random.Random(seed)
+    names = "abcd"[: r.randint(2, 4)]
+    repeats = {s: r.randint(1, 2) for s in names}
+    capacity = {tuple((s, r.randint(1, 2)) for s in sorted(r.sample(names, r.randint(1, len(names))))): r.randint(1, 60) for _ in range(10)}
+    quota = {s: r.randint(0, 300) for s in names}
+    flow = mixture.min_cost_flow(capacity, quota, repeats, each=True)
+    got = 0
+    for p, tokens in capacity.items():
+        of = {s: v for (q, s, _), v in flow.items() if q == p}
+        assert all(v <= tokens * dict(p)[s] * repeats[s] for s, v in of.items())
+        full, rest = divmod(sum(of.values()), tokens)
+        use = lambda k: k * 10**6 + k // sum(n for _, n in p) * 1000 + len(p) - 1  # noqa: B023, E731
+        got += tokens * sum(map(use, range(full))) + rest * use(full)
+    assert (sum(flow.values()), got) == cheapest(capacity, quota, repeats)
+    assert all(sum(v for (_, x, _), v in flow.items() if x == s) <= quota[s] for s in names)
+
+
+def test_uses_of_a_frequent_text_are_few_steps():
+    steps = mixture._steps(3_000_000)
+    assert len(steps) < 40 and sum(n for _, n in steps) == 3_000_000 and all(a + n == b for (a, n), (b, _) in zip(steps, steps[1:], strict=False))
+    flow = mixture.min_cost_flow({(("a", 1_000_000),): 7, (("a", 1), ("b", 1)): 7}, {"a": 7_000_000, "b": 7}, {"a": 1, "b": 1}, each=True)
+    assert sum(flow.values()) == 7_000_007 and all(sum(v for (_, x, _), v in flow.items() if x == s) == n for s, n in (("a", 7_000_000), ("b", 7)))
+
+
+def test_other_documents_of_a_text_come_before_repeats():
+    flow = mixture.min_cost_flow({(("a", 1),): 10, (("a", 2),): 10}, {"a": 30}, {"a": 2}, each=True)
+    assert flow == {((("a", 1),), "a", 0): 10, ((("a", 2),), "a", 0): 20}
+
+
+def test_texts_of_several_sources_are_spread_before_they_repeat(spark):
+    text = lambda k: f"barge {k + 100} wind"
+    docs = [(k, text(k), "a") for k in range(40)] + [(100 + k, text(k), "b") for k in range(20, 60)]  # 20 of each are the other's too
+    docs += [(1000 + k, text(k % 5), "b") for k in range(15)]  # and five of a's three times in b
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, share double, most int")
+    one = mixture.token_counts(df, "text", VOCABULARY).first()["tokens"]
+    of = {d[0]: d for d in docs}
+    for each_of, distinct, most in ((30, 60, 1), (40, 60, 2)):
+        got = mixture.mix(df, "doc_id", "text", "source", targets, "share", "most", VOCABULARY, total=2 * each_of * one, each_row=True)[0].collect()
+        uses = {}
+        for x in got:
+            assert of[x["doc_id"]][2] == x["source"] and x["copies"] <= {"a": 1, "b": 2}[x["source"]]
+            uses[of[x["doc_id"]][1]] = uses.get(of[x["doc_id"]][1], 0) + x["copies"]
+        assert {s: sum(x["copies"] for x in got if x["source"] == s) for s in "ab"} == {"a": each_of, "b": each_of}
+        assert len(uses) == distinct and max(uses.values()) == most
+    # all documents are capacity: b alone can give each of its 55 documents twice
+    alone = spark.createDataFrame([("b", 1.0, 2)], "source string, share double, most int")
+    got = mixture.mix(df, "doc_id", "text", "source", alone, "share", "most", VOCABULARY, each_row=True)[0].collect()
+    assert {(x["doc_id"], x["copies"]) for x in got} == {(d[0], 2) for d in docs if d[2] == "b"}
+    # the uses of a text are handed out evenly to its documents
+    got = mixture.mix(df.where("doc_id >= 1000"), "doc_id", "text", "source", alone, "share", "most", VOCABULARY, total=15 * one, each_row=True)[0].collect()
+    assert {(x["doc_id"], x["copies"]) for x in got} == {(1000 + k, 1) for k in range(15)}
+
+
 def test_tokens_and_empty_tables(spark):
     df = spark.createDataFrame([("Hello, world's end", 1), ("", 2), (None, 3), ("<|endoftext|>", 4)], "text string, k int")
     got = {x["k"]: x["tokens"] for x in mixture.token_counts(df, "text", VOCABULARY).collect()}
